@@ -17,6 +17,7 @@ STOP_WORDS = (
     "el los las y del se por con para una su al lo"
 ).split()
 
+STOP_FORMS = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
 METRICS = "n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words n_stop n_upper".split()
 
 
@@ -37,7 +38,7 @@ RULES = (
     Rule("symbol_ratio", "n_symbols", "n_words", high=0.1),
     Rule("dup_line_ratio", "n_dup_lines", "n_lines", high=0.5),
     Rule("stop_word_ratio", "n_stop", "n_words", low=0.02),
-    Rule("upper_word_ratio", "n_upper", "n_words", high=0.5),
+    Rule("upper_case_ratio", "n_upper", "word_chars", high=0.4),
 )
 
 
@@ -65,8 +66,10 @@ def _repeat_words(ws: Column) -> Column:
                         equal = equal & (F.get(ws, p + k) == F.get(ws, q + k))
                     return F.coalesce(equal, F.lit(False))
 
-                found = F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, F.when(i > 0, i - 1))))
-                places = F.sort_array(F.transform(found, lambda x: x.bitwiseAND(m)))
+                pairs = F.filter(
+                    F.transform(s, lambda x, i: F.when(same(x, F.get(s, i + 1)), F.array(x.bitwiseAND(m), F.get(s, i + 1).bitwiseAND(m)))), lambda x: x.isNotNull()
+                )
+                places = F.sort_array(F.array_distinct(F.flatten(pairs)))
                 return let(
                     places,
                     lambda p: F.aggregate(
@@ -87,8 +90,7 @@ def metrics(text: Column) -> Column:
 
     def of_words(ws: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-        upper = F.filter(ws, lambda w: (w == F.upper(w)) & (w != F.lower(w)))
-        stop = F.filter(ws, lambda w: F.lower(w).isin(*STOP_WORDS))
+        stop = F.filter(ws, lambda w: w.isin(*STOP_FORMS))
         return let(
             lines,
             lambda ls: F.struct(
@@ -99,7 +101,7 @@ def metrics(text: Column) -> Column:
                 (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
                 _repeat_words(ws).alias("n_repeat_words"),
                 F.size(stop).cast("long").alias("n_stop"),
-                F.size(upper).cast("long").alias("n_upper"),
+                F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
             ),
         )
 
@@ -156,14 +158,14 @@ WITH w AS (
     CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
     CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-    CAST(len([x for x in ws if lower(x) IN ({", ".join(f"'{s}'" for s in STOP_WORDS)})]) AS BIGINT) AS n_stop,
-    CAST(len([x for x in ws if x = upper(x) AND x <> lower(x)]) AS BIGINT) AS n_upper
+    CAST(len([x for x in ws if x IN ({", ".join(f"'{s}'" for s in STOP_FORMS)})]) AS BIGINT) AS n_stop,
+    CAST(length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS BIGINT) AS n_upper
   FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN lines USING (doc_id)
 ), b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars >= 2.0 * n_words AND word_chars <= 15.0 * n_words AND n_symbols <= 0.1 * n_words
-  AND n_dup_lines <= 0.5 * n_lines AND n_stop >= 0.02 * n_words AND n_upper <= 0.5 * n_words AS kept
+  AND n_dup_lines <= 0.5 * n_lines AND n_stop >= 0.02 * n_words AND n_upper <= 0.4 * word_chars AS kept
 FROM b
 """
