@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelmill.llm import decontamination, langid, mixing, quality, sharding, simhash
+from pixelmill.llm import decontamination, langid, lm, mixing, quality, sharding, simhash
 from pixelmill.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op4_simhash, op5_quality_rules, op6_decontamination, op8_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_langid, op3_lm_scoring, op4_simhash, op5_quality_rules, op6_decontamination, op8_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
