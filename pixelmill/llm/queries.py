@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelmill.llm import decontamination, langid, lm, mixing, quality, sharding, simhash
+from pixelmill.llm import decontamination, langid, line_dedup, lm, mixing, quality, sharding, simhash, suffix_dedup
 from pixelmill.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = mixing.mix_counts(table(spark, sf_dir, "documents"))
     return counted.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
@@ -41,7 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op3_lm_scoring, op4_simhash, op5_quality_rules, op6_decontamination, op8_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_langid, op2_line_dedup, op3_lm_scoring, op4_simhash, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
