@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelmill.llm import decontamination, langid, line_dedup, lm, mixing, quality, sharding, simhash, suffix_dedup
+from pixelmill.llm import decontamination, langid, licenses, line_dedup, lm, mixing, quality, sharding, simhash, suffix_dedup
 from pixelmill.llm.common import table
 
 
@@ -44,12 +44,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_line_dedup, op3_lm_scoring, op4_simhash, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_langid, op2_line_dedup, op3_lm_scoring, op4_simhash, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_mixing, op9_licenses, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
