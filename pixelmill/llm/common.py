@@ -1,4 +1,4 @@
-"""What the text operators share: word rules, tables, shipping code to executors, global ranks."""
+"""What the text operators share: word rules, tables, shipping code to executors."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
-
-from pixelmill.plans.storage import materialize
 
 # fixed values: the white space that parts words, as a Java pattern
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
@@ -57,19 +54,3 @@ def keep_columns(df: DataFrame, made: list[str]) -> DataFrame:
 def added(schema: T.StructType, fields: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(fields).fields])
 
-
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Rank all rows from 0 without one task seeing them all: range partitions, their counts, offsets.
-
-    Only one count per partition reaches the driver.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    counts = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    offsets, total = [], 0
-    for part in range(max(counts, default=-1) + 1):
-        offsets.append(total)
-        total += counts.get(part, 0)
-    start = F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("_part")) if offsets else F.lit(0).cast("long")
-    return dealt.withColumn(name, start + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).drop("_part")

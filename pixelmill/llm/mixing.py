@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import global_rank, words
+from pixelmill.llm.common import words
+from pixelmill.plans.ranks import global_rank
 from pixelmill.plans.storage import materialize
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), (3, 2), 2, 23
