@@ -31,10 +31,10 @@ def resize_nearest(images: DataFrame, pixels: DataFrame, w: Arg, h: Arg) -> tupl
     to = _targets(images, col(w), col(h))
     size = to.select(ID, F.col("width").alias("_w"), F.col("height").alias("_h"), "_ow", "_oh")
     names = pixels.columns
-    low = lambda s, n, out: f"((2 * cast({s} as bigint) * {out} + {n} - 1) div (2 * {n}))"
-    run = lambda v, n, out: F.expr(f"case when {low(f'({v} + 1)', n, out)} > {low(v, n, out)} then sequence(cast({low(v, n, out)} as int), cast({low(f'({v} + 1)', n, out)} as int) - 1) else cast(array() as array<int>) end")
-    met = pixels.join(size, ID).withColumn("_ys", run("y", "_h", "_oh")).withColumn("_xs", run("x", "_w", "_ow")).where("size(_ys) > 0 and size(_xs) > 0")
-    spread = met.withColumn("y", F.explode("_ys")).withColumn("x", F.explode("_xs")).select(*names)
+    low = lambda s, n, out: f"cast((2 * cast({s} as bigint) * {out} + {n} - 1) div (2 * {n}) as int)"
+    edges = {"_x0": low("x", "_w", "_ow"), "_x1": low("(x + 1)", "_w", "_ow"), "_y0": low("y", "_h", "_oh"), "_y1": low("(y + 1)", "_h", "_oh")}
+    met = pixels.join(size, ID).withColumns({k: F.expr(v) for k, v in edges.items()}).where("_x1 > _x0 and _y1 > _y0")
+    spread = met.withColumn("y", F.explode(F.expr("sequence(_y0, _y1 - 1)"))).withColumn("x", F.explode(F.expr("sequence(_x0, _x1 - 1)"))).select(*names)
     return to.withColumns({"width": F.col("_ow"), "height": F.col("_oh")}).select(*images.columns), spread
 
 

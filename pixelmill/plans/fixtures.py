@@ -39,9 +39,14 @@ def emb_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images 32 wide: one pixel per character of a text, clear where it is a space."""
+    """Images 32 wide: one pixel per character of a text, clear where it is a space.
+
+    Texts are dealt by id before they explode: what later groups or windows by image finds its pixels together,
+    and only the compact form has moved.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(f"(char_length(text) div {WIDTH}) * {WIDTH}").alias("n"))
-    each = docs.where("n > 0").select("doc_id", F.posexplode(F.split(F.expr("left(text, n)"), "")).alias("i", "c")).withColumn("q", F.ascii("c"))
+    dealt = docs.where("n > 0").repartition("doc_id")
+    each = dealt.select("doc_id", F.posexplode(F.split(F.expr("left(text, n)"), "")).alias("i", "c")).withColumn("q", F.ascii("c"))
     return each.select(
         F.col("doc_id").alias("image_id"),
         (F.col("i") % WIDTH).cast("int").alias("x"),

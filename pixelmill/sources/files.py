@@ -151,7 +151,9 @@ def dedupe_names(named: DataFrame, existing: DataFrame | None = None, overwrite:
     stem, suffix = _parts(F.col("file_name"))
     root = F.regexp_replace(stem, r"( \([0-9]+\))+$", "")
     keyed = named.withColumns({"_stem": stem, "_suffix": suffix, "_root": root})
-    taken = (existing if existing is not None else named.select("directory", "file_name").limit(0)).select("directory", "file_name").distinct()
+    if existing is None:
+        existing = named.sparkSession.createDataFrame([], "directory string, file_name string")
+    taken = existing.select("directory", "file_name").distinct()
     e_stem, e_suffix = _parts(F.col("file_name"))
     others = taken.withColumns({"_stem": e_stem, "_suffix": e_suffix, "_root": F.regexp_replace(e_stem, r"( \([0-9]+\))+$", "")})
     group = ["directory", "_root", "_suffix"]
