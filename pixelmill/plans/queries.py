@@ -564,3 +564,24 @@ def s_scan(spark, sf_dir):
 def s_dedupe_names(spark, sf_dir):
     named = table(spark, sf_dir, "part").select("p_partkey", F.lit("out").alias("directory"), F.concat("p_name", F.lit(".png")).alias("file_name"), F.col("p_partkey").alias("seq"))
     return files.dedupe_names(named, overwrite=False).select("p_partkey", "file_name")
+
+
+@register(f"""WITH {IM} SELECT image_id, {_FILE} AS file_name, 'out/' || {_FILE} AS path FROM im WHERE image_id % 7 <> 0""")
+def s_name_outputs(spark, sf_dir):
+    images = emb_images(spark, sf_dir).withColumn("name_stem", F.when(F.col("image_id") % 7 == 0, F.lit("con")).otherwise(F.col("name_stem")))
+    named, _ = files.name_outputs(images, "out")
+    return named.select("image_id", "file_name", F.concat("directory", F.lit("/"), "file_name").alias("path"))
+
+
+@register("""SELECT 'item' || item_id || '.txt' AS name, text, NULL AS container, octet_length(encode(text)) AS length FROM benchmark
+  UNION ALL SELECT 'clip' || item_id || '.M4V', NULL, 'mp4', octet_length(encode(text)) FROM benchmark""")
+def s_texts_media(spark, sf_dir):
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").cast("binary").alias("content"))
+    name = lambda before, after: F.concat(F.lit(before), F.col("item_id").cast("string"), F.lit(after)).alias("file_name")
+    spark.dataSource.register(files.Files)
+    out = items.select(name("item", ".txt"), "content").union(items.select(name("clip", ".M4V"), "content"))
+    out.union(items.limit(1).select(F.lit("bad.md").alias("file_name"), F.unhex(F.lit("FFFE")).alias("content"))).write.format("files").mode("append").option("path", folder).save()
+    last = F.regexp_extract("path", r"([^/]*)$", 1).alias("name")
+    texts = files.scan_texts(spark, folder).select(last, "text", F.lit(None).cast("string").alias("container"), F.octet_length("text").cast("bigint").alias("length"))
+    return texts.union(files.scan_media(spark, folder).select(last, F.lit(None).cast("string"), "container", "length"))
