@@ -125,15 +125,17 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base_rules:
     repeats and empty tables need no care; clashing input columns give way to the ones made here.
     """
     made = [*METRICS, "base_failed", "kept", "failed_rules"]
-    m = F.col("_m")
-    names = F.array_compact(F.array(*[F.when(~passes(r, m), F.lit(r.name)) for r in (*base_rules, *rules)]))
-    base_failed = F.exists(names, lambda x: x.isin(*[r.name for r in base_rules]))
-    text_col = F.col(f"`{text}`")
-    counted = keep_columns(docs, ["_m"]).withColumn("_m", metrics(text_col))
-    out = [F.col(f"`{c}`") for c in keep_columns(docs, made).columns]
-    return counted.select(
-        *out, *[m[k].alias(k) for k in METRICS], base_failed.alias("base_failed"), (F.size(names) == 0).alias("kept"), names.alias("failed_rules")
-    )
+    base = [r.name for r in base_rules]
+
+    def judged(m: Column) -> Column:
+        names = F.array_compact(F.array(*[F.when(~passes(r, m), F.lit(r.name)) for r in (*base_rules, *rules)]))
+        counts = [m[k].alias(k) for k in METRICS]
+        return let(names, lambda n: F.struct(*counts, F.exists(n, lambda x: x.isin(*base)).alias("base_failed"), (F.size(n) == 0).alias("kept"), n.alias("failed_rules")))
+
+    # one struct binds the counts once, so that a filter on a verdict, pushed below the projection, counts once too
+    counted = keep_columns(docs, ["_q"]).withColumn("_q", let(metrics(F.col(f"`{text}`")), judged))
+    out = [F.col(f"`{c}`") for c in keep_columns(docs, [*made, "_q"]).columns]
+    return counted.select(*out, *[F.col(f"_q.{k}").alias(k) for k in made])
 
 
 # DuckDB: the same over the table documents (doc_id unique)
