@@ -54,3 +54,11 @@ def keep_columns(df: DataFrame, made: list[str]) -> DataFrame:
 def added(schema: T.StructType, fields: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(fields).fields])
 
+
+def hash_sample(df: DataFrame, rows: int, most: int, ties: list[str]) -> DataFrame:
+    """The ``most`` rows of ``df`` with the least ``_h``, a 64-bit hash; ``rows`` is about how many there are.
+
+    Hashes are spread evenly, so all others but a few are filtered out before rows meet for the sort.
+    """
+    share = F.col("_h") / float(1 << 64) + 0.5
+    return df.where(share * rows <= 1.5 * most + 50).orderBy("_h", *ties).limit(most)
