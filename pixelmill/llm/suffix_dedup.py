@@ -105,8 +105,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def shared(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` two documents have: neighbours in sorted order. Counted before rows move."""
-    twice = rows.groupBy(key).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select(key)
+    """Rows whose ``key`` two documents have: neighbours in sorted order. Counted before rows move.
+
+    The keys are a table of their own, so that an adaptive join can split the rows of a frequent one.
+    """
+    twice = materialize(rows.groupBy(key).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select(key))
     return rows.join(twice, key, "left_semi")
 
 
