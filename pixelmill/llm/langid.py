@@ -134,21 +134,27 @@ _NO_ASCII_LETTERS = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b
 def training_windows(docs: DataFrame, config: Config) -> DataFrame:
     """One window of up to ``per_label`` texts of each label, all chosen by hash: (label, data).
 
-    Rows without label, text or letters teach nothing. The rank limit is applied in every task before rows
-    move, and only windows leave the scan.
+    Rows without label, text or letters teach nothing; of more labels than ``labels`` the most frequent count.
+    Only windows that may be chosen leave the scan, so a label's rank meets a bounded number of them however
+    many rows it has.
     """
     data = F.col("text").cast("binary")
     span = F.greatest(F.octet_length("text") - config.window + 1, F.lit(1))
     chosen = F.xxhash64(F.lit(config.seed), "doc_id", F.octet_length("text"))
-    rows = docs.where("lang is not null and text rlike '\\\\p{L}'").select(
-        F.col("lang").alias("label"), chosen.alias("_h"), F.substring(data, (F.pmod(F.hash("doc_id", F.lit(config.seed)), span) + 1).cast("int"), F.lit(config.window)).alias("data")
+    labelled = docs.where("lang is not null").withColumnRenamed("lang", "label")
+    counts = labelled.groupBy("label").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "label").limit(config.labels)
+    rows = labelled.where("text rlike '\\\\p{L}'").select(
+        "label", chosen.alias("_h"), F.substring(data, (F.pmod(F.hash("doc_id", F.lit(config.seed)), span) + 1).cast("int"), F.lit(config.window)).alias("data")
     )
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("_h", "data")))
+    # hashes are spread evenly, so the least per_label of n lie below about per_label / n of their range
+    share = F.col("_h") / float(1 << 64) + 0.5
+    likely = rows.join(F.broadcast(counts), "label").where(share * F.col("_n") <= 1.5 * config.per_label + 50)
+    ranked = likely.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("_h", "data")))
     return ranked.where(F.col("_r") <= config.per_label).select("label", "data")
 
 
 def fit(docs: DataFrame, config: Config = Config()) -> ByteConvNet | None:
-    """Train on the labelled rows' sample; None if there is none. More than ``labels`` labels: the most frequent."""
+    """Train on the labelled rows' sample; None if there is none."""
     rows = training_windows(docs, config)
     sample = rows.limit(config.per_label * config.labels).collect()  # bounded by two parameters
     if not sample:
@@ -156,8 +162,7 @@ def fit(docs: DataFrame, config: Config = Config()) -> ByteConvNet | None:
     by = {}
     for r in sample:
         by.setdefault(r["label"], []).append(bytes(r["data"]).ljust(config.window))
-    labels = sorted(sorted(by), key=lambda k: -len(by[k]))[: config.labels]
-    labels.sort()
+    labels = sorted(by)
     x = np.frombuffer(b"".join(d for k in labels for d in sorted(by[k])), np.uint8).reshape(-1, config.window)
     y = np.array([i for i, k in enumerate(labels) for _ in by[k]])
     net = ByteConvNet.new(config, labels)
