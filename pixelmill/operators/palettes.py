@@ -146,6 +146,11 @@ def _palette(image: int, rgb: np.ndarray, weights) -> pd.DataFrame:
     return pd.DataFrame({ID: np.full(n, image), "rank": np.arange(1, n + 1), "r": rgb[:, 0], "g": rgb[:, 1], "b": rgb[:, 2], "weight": weights})
 
 
+def _dealt(colors: DataFrame) -> DataFrame:
+    """Colours dealt by image over all tasks: their few bytes don't show what work Python has with them."""
+    return colors.repartition(int(colors.sparkSession.conf.get("spark.sql.shuffle.partitions")), ID)
+
+
 def _sample(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pdf = pdf.sort_values(["r", "g", "b"])
     rgb = pdf[["r", "g", "b"]].to_numpy(np.int64)
@@ -166,7 +171,7 @@ def palette_kmeans(pixels: DataFrame, k: int = 8) -> DataFrame:
         rgb, points, weights = _sample(pdf)
         return _palette(pdf[ID].iloc[0], from_oklab(kmeans(points, weights, min(_clamped(k), len(points)))), None)
 
-    return weighted_colors(pixels).groupBy(ID).applyInPandas(run, PALETTE)
+    return _dealt(weighted_colors(pixels)).groupBy(ID).applyInPandas(run, PALETTE)
 
 
 def palette_kmedoids(pixels: DataFrame, k: int = 8) -> DataFrame:
@@ -176,7 +181,7 @@ def palette_kmedoids(pixels: DataFrame, k: int = 8) -> DataFrame:
         rgb, points, weights = _sample(pdf)
         return _palette(pdf[ID].iloc[0], rgb[kmedoids(points, weights, min(_clamped(k), len(points)))], None)
 
-    return weighted_colors(pixels).groupBy(ID).applyInPandas(run, PALETTE)
+    return _dealt(weighted_colors(pixels)).groupBy(ID).applyInPandas(run, PALETTE)
 
 
 def _rgba_counts(pixels: DataFrame) -> DataFrame:
@@ -196,7 +201,7 @@ def palette_median_cut(pixels: DataFrame, k: int = 8) -> DataFrame:
         found = sorted(((box_mean(colors[b], counts[b]), int(counts[b].sum())) for b in boxes(colors, counts, _clamped(k))), key=lambda x: -x[1])
         return _palette(pdf[ID].iloc[0], np.array([m for m, _ in found]), [w for _, w in found])
 
-    return _rgba_counts(pixels.where("a <> 0")).groupBy(ID).applyInPandas(run, PALETTE)
+    return _dealt(_rgba_counts(pixels.where("a <> 0"))).groupBy(ID).applyInPandas(run, PALETTE)
 
 
 def extract_palette(pixels: DataFrame, algorithm: str = "kMeans", k: int = 8) -> DataFrame:
@@ -217,7 +222,7 @@ def quantize(pixels: DataFrame, colors: int = 64) -> DataFrame:
     in one task, its pixels anywhere.
     """
     target, names = _clamped(colors), pixels.columns
-    counted = _rgba_counts(pixels).withColumn("_k", F.count("*").over(Window.partitionBy(ID))).where(F.col("_k") > target)
+    counted = _dealt(_rgba_counts(pixels)).withColumn("_k", F.count("*").over(Window.partitionBy(ID))).where(F.col("_k") > target)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rgba, counts = _rgba(pdf)
