@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import decontamination, mixing, quality, sharding, simhash
+from pixelmill.llm import decontamination, mixing, near, quality, sharding
 from pixelmill.llm.common import table
 from pixelmill.plans.storage import checkpoint_dir
 
@@ -23,15 +23,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates stays.
+    """One row of each group of near copies stays: that with the smallest doc_id, nulls last, then by a text hash.
 
-    Rows that repeat that doc_id are one document and leave one row; rows whose group has only null ids stay.
+    Near copies have a Jaccard similarity of 0.8 or more over shingles of five words (``near.groups``); the
+    4 bits of ``op4_simhash`` would reach few of those.
     """
-    found = simhash.near_duplicates(docs)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.where("doc_id is null").join(found.where("component_id is null").select(F.lit(1)).limit(1), how="left_semi")
-    return named.union(unnamed).select(*docs.columns)
+    keyed = docs.withColumn("_h", near.text_key())
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_h").alias("_first")
+    least = keyed.groupBy("_h").agg(F.min(order).alias("_first")).join(near.groups(docs).withColumnRenamed("h", "_h"), "_h")
+    stay = least.groupBy("component").agg(F.min("_first").alias("_first")).select(F.col("_first._h").alias("_h"), F.col("_first.doc_id").alias("_id"))
+    kept = keyed.join(stay, (keyed["_h"] == stay["_h"]) & keyed["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    return kept.dropDuplicates(["_h"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

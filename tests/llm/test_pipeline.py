@@ -97,3 +97,23 @@ def test_names_are_registered():
     known = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in known) for k in range(1, 11)) and "pipeline" in known
     assert bench_words("A-b C") == ["a", "b", "c"]
+
+
+def shingle_sets(rows):
+    out = {}
+    for r in rows:
+        ws = (r["text"] or "").encode().lower().split()
+        out[r["doc_id"]] = {tuple(ws[i : i + 5]) for i in range(max(len(ws) - 4, 1))}
+    return out
+
+
+def test_near_copies_go_at_similarity(spark):
+    docs = quality.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("kept").select("doc_id", "text")
+    base = [f"w{i}" for i in range(200)]
+    ladder = [" ".join("x" if k in (20 * j for j in range(1, edits + 1)) else w for k, w in enumerate(base)) for edits in range(6)]
+    docs = spark.createDataFrame([*docs.collect(), *((10_000 + i, t) for i, t in enumerate(ladder))], "doc_id long, text string")
+    sets = shingle_sets(docs.collect())
+    pairs = [(a, b) for a, b in combinations(sorted(sets), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    parts = least(pairs, sorted(sets))
+    got = [r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()]
+    assert sorted(got) == sorted(d for d in sets if parts[d] == d)
