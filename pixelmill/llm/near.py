@@ -1,6 +1,6 @@
 """Groups of near copies by Jaccard similarity of word shingles: prefix filter, exact check, components.
 
-Two sets of similarity s share an element of the first n - ceil(s n) + 1 of each, whatever the order of all
+Two sets of similarity s or more share an element of the first n - ceil(s n) + 1 of each, whatever the order of all
 elements is, as long as it is one. Shingles that a sample finds often come last, so shared ones are rare.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.llm.common import LOWER, ship
@@ -68,62 +68,68 @@ def _order(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(batches):
-    """Rows sorted by g, h whose g another h has too."""
-    held = None
+    """Rows sorted by g, h whose g another h has too, with the first row of that g as y, y_n."""
+    names, held = ["g", "h", "n", "y", "y_n"], None
     for b in batches:
-        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "h", "n", "at")]
-        if not len(cols[0]):
+        g, h, n = (b.column(c).to_numpy(zero_copy_only=False) for c in names[:3])
+        if not len(g):
             continue
-        if held is not None:
-            cols = [np.r_[x, y] for x, y in zip(held[0], cols, strict=True)]
-        g = cols[0]
-        same = np.r_[held[1] if held is not None else False, g[1:] == g[:-1]]
+        if held is not None:  # the last row before, not yet given, and the first one of its g
+            g, h, n = np.r_[held[0], g], np.r_[held[1], h], np.r_[held[2], n]
+        same = np.r_[held is not None and held[5], g[1:] == g[:-1]]
+        first = np.maximum.accumulate(np.where(np.r_[True, ~same[1:]], np.arange(len(g)), 0))
+        y, y_n = h[first], n[first]
+        if same[0]:
+            y[first == 0], y_n[first == 0] = held[3], held[4]
         keep = same[:-1] | same[1:]
-        held = ([c[-1:] for c in cols], bool(same[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in cols], names=["g", "h", "n", "at"])
-    if held is not None and held[1]:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["g", "h", "n", "at"])
+        held = (g[-1], h[-1], n[-1], y[-1], y_n[-1], bool(same[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in (g, h, n, y, y_n)], names=names)
+    if held is not None and held[5]:
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([v])) for v in held[:5]], names=names)
 
 
-def _may(percent: int):
-    """Whether x and y, whose first common shingle this is, can be similar by their sizes and places."""
-    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    return F.lit(100 + percent) * rest >= F.lit(percent) * (F.col("x.n") + F.col("y.n"))
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """rows(h, n, y, y_n), one per shared prefix shingle -> pairs (a, b) that share enough of them to be similar.
+
+    Sets that share t elements share k of their first n - t + k; the prefixes say how large k may be.
+    """
+    away = (F.col("h") != F.col("y")) & (100 * F.least("n", "y_n") >= percent * F.greatest("n", "y_n"))
+    least = F.ceil(percent * (F.col("n") + F.col("y_n")) / (100 + percent) - 1e-6)
+    rest = lambda n: F.ceil(percent * F.col(n) / 100 - 1e-6)
+    need = least - F.greatest(rest("n"), rest("y_n")) + 1
+    made = rows.where(away).select(F.least("h", "y").alias("a"), F.greatest("h", "y").alias("b"), need.alias("need"))
+    return made.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("need").alias("need")).where("k >= need").select("a", "b")
 
 
-def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, stars: int = 3) -> DataFrame:
+def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``docs(text)`` -> (h, component) of every distinct text, h being ``text_key``.
 
     Two texts are linked if the Jaccard similarity of their shingles is ``percent`` or more; components are
-    those of all such pairs, each linked pair being checked on whole texts. Texts without words are alike.
-    A bucket first meets at single members, which joins large groups by few pairs; then all pairs that are
-    still apart are checked.
+    those of all such pairs, each link being checked on whole texts. Texts without words are alike.
+    Each bucket first meets at one member from either end, which joins large groups by few pairs; then all
+    pairs that are still apart are checked.
     """
     late, times = _order(docs, size)
 
     def prefixes(batches):
         for b in batches:
-            hs, keys, ns, at = [], [], [], []
+            hs, keys, ns = [], [], []
             for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 grams = shingles(text, size)
                 first = prefix(grams, late, times, percent) if len(grams) else np.zeros(1, np.int64)
                 keys.append(first)
                 hs.append(np.full(len(first), h, np.int64))
                 ns.append(np.full(len(first), len(grams), np.int32))
-                at.append(np.arange(len(first), dtype=np.int32))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, hs, ns, at)], names=["g", "h", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, hs, ns)], names=["g", "h", "n"])
 
-    fields = "g bigint, h bigint, n int, at int"
-    met = materialize(_texts(docs).mapInArrow(prefixes, fields).repartition("g").sortWithinPartitions("g", "h").mapInArrow(_shared, fields))
+    dealt = _texts(docs).mapInArrow(prefixes, "g bigint, h bigint, n int").repartition("g").sortWithinPartitions("g", "h")
+    met = materialize(dealt.mapInArrow(_shared, "g bigint, h bigint, n int, y bigint, y_n int"))
 
     def sets(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["h", "grams"])
 
-    wanted = met.select("h").distinct()
-    whole = materialize(_texts(docs.join(wanted.withColumnRenamed("h", "_h"), text_key() == F.col("_h"), "left_semi")).mapInArrow(sets, "h bigint, grams binary"))
-
     def check(batches):
         for b in batches:
             good = []
@@ -134,26 +140,31 @@ def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, stars: int
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
     def verify(pairs):
+        pairs = materialize(pairs)
+        wanted = pairs.select(F.col("a").alias("_h")).union(pairs.select("b")).distinct()
+        whole = materialize(_texts(docs.join(wanted, text_key() == F.col("_h"), "left_semi")).mapInArrow(sets, "h bigint, grams binary"))
         left = pairs.join(whole.select(F.col("h").alias("a"), F.col("grams").alias("x")), "a")
         both = left.join(whole.select(F.col("h").alias("b"), F.col("grams").alias("y")), "b")
         return materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint, good boolean"))
 
-    ends = [F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")]
-    tried, parts = None, None
-    for turn in range(stars + 1):
-        rows = met.withColumn("c", F.col("h")) if parts is None else met.join(parts, F.col("h") == F.col("node"), "left").select(*met.columns, F.coalesce("component", "h").alias("c"))
-        # buckets in which some are still apart, and one member each, from either end by turns
-        member = F.struct("c", "h", "n", "at")
-        per = rows.groupBy("g").agg((F.max if turn % 2 else F.min)(member).alias("y"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("g", "y")
-        rows = rows.select("g", member.alias("x"))
-        if turn < stars:
-            pairs = rows.join(per, "g")
-        else:
-            live = materialize(rows.join(per, "g", "left_semi"))
-            pairs = live.join(live.withColumnRenamed("x", "y"), "g").where("x.h < y.h")
-        pairs = pairs.where((F.col("x.c") != F.col("y.c")) & _may(percent)).select(*ends).distinct()
-        done = verify(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = done if tried is None else tried.union(done)
-        parts = materialize(connected_components(tried.where("good").select("a", "b")))
+    def apart(rows, parts):
+        """Rows of buckets whose members are in several components so far, and the last member as y."""
+        named = rows.select("g", "h", "n").join(parts, F.col("h") == F.col("node"), "left").select("g", "h", "n", F.coalesce("component", "h").alias("c"))
+        bucket = Window.partitionBy("g")
+        told = named.select("*", F.min("c").over(bucket).alias("low"), F.max(F.struct("c", "h", "n")).over(bucket).alias("last"))
+        return materialize(told.where("low < last.c").select("g", "h", "n", "c", F.col("last.h").alias("y"), F.col("last.n").alias("y_n"), F.col("last.c").alias("y_c")))
+
+    def linked(tried):
+        return materialize(connected_components(tried.where("good").select("a", "b")))
+
+    tried = verify(_pairs(met, percent))
+    parts = linked(tried)
+    live = apart(met, parts)
+    tried = tried.union(verify(_pairs(live.where("c <> y_c"), percent).join(tried, ["a", "b"], "left_anti")))
+    parts = linked(tried)
+    live = apart(live, parts).select("g", "h", "n", "c")
+    other = live.select("g", F.col("h").alias("y"), F.col("n").alias("y_n"), F.col("c").alias("y_c"))
+    tried = tried.union(verify(_pairs(live.join(other, "g").where("h < y and c <> y_c"), percent).join(tried, ["a", "b"], "left_anti")))
+    parts = linked(tried)
     distinct = docs.select(text_key().alias("h")).distinct()
     return distinct.join(parts.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("component", "h").alias("component"))
