@@ -117,3 +117,12 @@ def test_near_copies_go_at_similarity(spark):
     parts = least(pairs, sorted(sets))
     got = [r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()]
     assert sorted(got) == sorted(d for d in sets if parts[d] == d)
+
+
+def test_licenses_in_a_third_of_the_documents(spark, documents):
+    marked = F.pmod(F.col("doc_id"), F.lit(3)) == 0
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "(?m)^.*(?:MIT License|GNU General|CC BY-NC|Apache License).*$", "a line")
+    docs = documents.select("doc_id", F.when(marked, F.concat(plain, F.lit("\nReleased under the MIT License."))).otherwise(plain).alias("text"))
+    docs = docs.unionAll(docs.select((F.col("doc_id") + 3000).alias("doc_id"), F.regexp_extract("text", "[^\n]*$", 0).alias("text")))
+    rows = licenses.report(docs).collect()
+    assert all((r["family"] == "MIT") == (r["doc_id"] % 3 == 0) for r in rows)
