@@ -280,7 +280,7 @@ def training_streams(texts, lexicon: Lexicon, config: Config):
 
 
 def fit(docs: DataFrame, config: Config = Config()) -> tuple[Gru, Lexicon, DataFrame]:
-    """Counts over all of ``docs``, and a net that has trained on every one of them.
+    """Counts over all of ``docs``, and a net that has trained on runs of every one: each ``train_every``-th, at least one.
 
     The driver starts the net on a passage of each of ``warm_docs`` texts (a bounded sample), so that all
     tasks leave from one basin; then each task trains a copy on its own texts, and the copies are averaged
