@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from pixelmill.plans.storage import materialize
 
-SMALL = 5_000_000  # links up to which a hub's links fit in any task
-
 
 def connected_components(edges: DataFrame, group: list[str] | None = None, max_rounds: int = 100) -> DataFrame:
     """``edges(group..., a, b)`` -> ``(group..., node, component)`` with component = least node reachable.
@@ -23,15 +21,14 @@ def connected_components(edges: DataFrame, group: list[str] | None = None, max_r
     )
     nodes = base.select(*keys, F.col("a").alias("node")).union(base.select(*keys, F.col("b").alias("node"))).distinct()
     links = base.where("a < b")
-    # as a table of their own, the least neighbours leave a hub's join to adaptive splitting; small graphs don't need it
-    apart = materialize if links.count() > SMALL else lambda df: df
+    # the least neighbours are a table of their own, which leaves a hub's join to adaptive splitting
     for _ in range(max_rounds):
         # large-star: every larger neighbour of a node points at the node's least neighbour
         both = links.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(*keys, F.col("b"), F.col("a")))
-        least = apart(both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        least = materialize(both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         large = materialize(both.where("v > u").join(least, [*keys, "u"]).select(*keys, F.col("m").alias("a"), F.col("v").alias("b")).distinct())
         # small-star: a node and its smaller neighbours point at the least of them
-        least = apart(large.groupBy(*keys, "b").agg(F.min("a").alias("m")))
+        least = materialize(large.groupBy(*keys, "b").agg(F.min("a").alias("m")))
         joined = large.join(least, [*keys, "b"])
         small = joined.where("a <> m").select(*keys, F.col("m").alias("a"), F.col("a").alias("b")).union(least.select(*keys, F.col("m").alias("a"), "b"))
         links = materialize(small.distinct())

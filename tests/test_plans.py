@@ -2,15 +2,12 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from pixelmill.plans import graph, ranks
 
 
-@pytest.mark.parametrize("small", [0, 1 << 40])
-def test_components(spark, monkeypatch, small):
-    monkeypatch.setattr(graph, "SMALL", small)
+def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(50)] + [(rng.randrange(300, 360), rng.randrange(300, 360)) for _ in range(40)] + [(999, 999)]
     root = {n: n for e in edges for n in e}
