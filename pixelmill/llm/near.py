@@ -1,7 +1,8 @@
-"""Groups of near copies by Jaccard similarity of word shingles: prefix filter, exact check, components.
+"""Exact search for sets of word shingles of a similarity: a prefix filter over rarest shingles, checked on whole sets.
 
-Two sets of similarity s or more share an element of the first n - ceil(s n) + 1 of each, whatever the order of all
-elements is, as long as it is one. Shingles that a sample finds often come last, so shared ones are rare.
+``simhash.similar_groups`` uses it for the pairs that fingerprints can't reach. Two sets of similarity s or more share
+an element of the first n - ceil(s n) + 1 of each, whatever the order of all elements is, as long as it is one. Here
+rare shingles come first, by a table of counts over all texts, so shared ones are few.
 """
 
 from __future__ import annotations
@@ -12,159 +13,176 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.llm.common import LOWER, ship
-from pixelmill.plans.graph import connected_components
 from pixelmill.plans.storage import materialize
 
 ship(__name__)
 
-SIZE, PERCENT = 5, 80
-#: Texts whose shingles are counted for the order, and the texts among them that make a shingle a late one.
-#: Any order gives the same groups; this one keeps buckets small.
-SAMPLE, OFTEN = 5000, 10
+#: Counters of the table of shingle counts, and those that one row carries. A counter is shared by shingles of one
+#: slot, which only makes the order less sharp: any order gives the same groups. Its size is set here, not by the data.
+SLOTS, SLICE = 1 << 22, 1 << 12
 
 
-def shingles(text: bytes | None, size: int = SIZE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles; a shorter text is one; none without words."""
+def hash_runs(text: bytes | None, size: int):
+    """64-bit hashes of a text's word shingles, some at a time; a shorter text is one; none without words."""
     from xxhash import xxh64_intdigest
 
     ws = text.translate(LOWER).split() if text else []
-    if not ws:
-        return np.empty(0, np.int64)
-    join = b" ".join
-    parts = [join(ws)] if len(ws) < size else map(join, zip(*(ws[k:] for k in range(size)), strict=False))
-    return np.unique(np.array([xxh64_intdigest(s, 7) for s in parts], np.uint64).view(np.int64))
+    join, n = b" ".join, max(len(ws) - size + 1, 1)
+    for at in range(0, n if ws else 0, 1 << 16):
+        part = ws[at : at + (1 << 16) + size - 1]
+        shingles = [join(part)] if len(part) < size else map(join, zip(*(part[k:] for k in range(size)), strict=False))
+        yield np.array([xxh64_intdigest(s, 42) for s in shingles], np.uint64)
 
 
-def prefix(grams: np.ndarray, late: np.ndarray, times: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The elements, in the common order, one of which any set of that similarity shares."""
-    n = len(grams)
-    at = np.searchsorted(late, grams)
-    at[at == len(late)] = 0
-    rank = np.where(late[at] == grams, times[at], 0) if len(late) else np.zeros(n, np.int64)
-    return grams[np.lexsort((grams, rank))][: n + (-n * percent // 100) + 1]
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    found = list(hash_runs(text, size))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """(h, text): each text once."""
-    return docs.select(text_key().alias("h"), F.col("text").cast("binary").alias("text")).groupBy("h").agg(F.first("text").alias("text"))
+def slots(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - (SLOTS - 1).bit_length())).astype(np.int64)
 
 
-def text_key() -> F.Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+class Tally:
+    """How many texts of a task have a shingle of each slot; a task counts to 255."""
+
+    def __init__(self):
+        self.counts = np.zeros(SLOTS, np.int64)
 
+    def add(self, sets: list[np.ndarray]) -> None:
+        if sets:
+            self.counts += np.bincount(slots(np.concatenate(sets)), minlength=SLOTS)
 
-def _order(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a bounded sample, sorted, and their counts."""
-    share = text_key() / float(1 << 64) + 0.5
-    some = _texts(docs.where(share * docs.count() <= SAMPLE))
+    def slices(self) -> list[tuple[int, bytes]]:
+        rows = np.minimum(self.counts, 255).astype(np.uint8).reshape(-1, SLICE)
+        return [(i, r.tobytes()) for i, r in enumerate(rows) if r.any()]
+
+
+def levels(tallies: DataFrame) -> np.ndarray:
+    """``tallies(slice, counts)`` of all tasks -> the level of every slot: a logarithm of its sum, one byte each."""
 
     def run(batches):
+        at, total = None, np.zeros(SLICE, np.int64)
         for b in batches:
-            sets = [shingles(t, size) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))], names=["g"])
+            out = []
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if i != at:
+                    if at is not None:
+                        out.append((at, (4 * np.log2(total + 1)).astype(np.uint8).tobytes()))
+                    at, total = i, np.zeros(SLICE, np.int64)
+                total += np.frombuffer(raw, np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["slice", "levels"])
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([(4 * np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())], names=["slice", "levels"])
+
+    made, out = tallies.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "slice int, levels binary"), np.zeros(SLOTS, np.uint8)
+    for r in made.collect():  # SLOTS bytes
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["levels"], np.uint8)
+    return out
+
+
+def prefix(grams: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """The elements, in the common order, one of which any set of that similarity shares."""
+    n = len(grams)
+    return grams[np.lexsort((grams, level[slots(grams)]))][: n + (-n * percent // 100) + 1]
 
-    found = some.mapInArrow(run, "g bigint").groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy("g").collect()
-    return np.array([r["g"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64)
+
+def text_key() -> F.Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(text_key().alias("h"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
-def _shared(batches):
-    """Rows sorted by g, h whose g another h has too, with the first row of that g as y, y_n."""
-    names, held = ["g", "h", "n", "y", "y_n"], None
+def each_once(batches):
+    """(h, text) rows of a task's batches, a text the first time that the task sees it."""
+    seen: set[int] = set()
     for b in batches:
-        g, h, n = (b.column(c).to_numpy(zero_copy_only=False) for c in names[:3])
-        if not len(g):
-            continue
-        if held is not None:  # the last row before, not yet given, and the first one of its g
-            g, h, n = np.r_[held[0], g], np.r_[held[1], h], np.r_[held[2], n]
-        same = np.r_[held is not None and held[5], g[1:] == g[:-1]]
-        first = np.maximum.accumulate(np.where(np.r_[True, ~same[1:]], np.arange(len(g)), 0))
-        y, y_n = h[first], n[first]
-        if same[0]:
-            y[first == 0], y_n[first == 0] = held[3], held[4]
-        keep = same[:-1] | same[1:]
-        held = (g[-1], h[-1], n[-1], y[-1], y_n[-1], bool(same[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in (g, h, n, y, y_n)], names=names)
-    if held is not None and held[5]:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([v])) for v in held[:5]], names=names)
-
-
-def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+        hs, rows = b.column(0).to_pylist(), []
+        for i, h in enumerate(hs):
+            if h not in seen:
+                seen.add(h)
+                rows.append(i)
+        yield [hs[i] for i in rows], b.column(1).take(pa.array(rows, pa.int64())).to_pylist()
+
+
+def prefixes(docs: DataFrame, level: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(g, h, n) for every shingle g in the prefix of the text h of n shingles; once a task, so copies in one task are one."""
+    table = docs.sparkSession.sparkContext.broadcast(level)
+
+    def run(batches):
+        level = table.value
+        for hs, texts in each_once(batches):
+            keys, ids, ns = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            for h, text in zip(hs, texts, strict=True):
+                grams = shingle_set(text, size)
+                first = prefix(grams, level, percent).view(np.int64) if len(grams) else np.zeros(1, np.int64)
+                keys.append(first)
+                ids.append(np.full(len(first), h, np.int64))
+                ns.append(np.full(len(first), len(grams), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, ids, ns)], names=["g", "h", "n"])
+
+    return keyed_texts(docs).mapInArrow(run, "g bigint, h bigint, n int")
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """``rows(g, h, n)`` whose g another h has too. The keys are a table of their own, so an adaptive join can split a hot one."""
+    twice = materialize(rows.groupBy("g").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("g"))
+    return materialize(rows.join(twice, "g", "left_semi").distinct())
+
+
+def apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of buckets whose members lie in several components so far, with their component c and the bucket's least member y."""
+    named = materialize(rows.select("g", "h", "n").join(parts.withColumnRenamed("node", "h"), "h", "left").select("g", "h", "n", F.coalesce("component", "h").alias("c")))
+    told = named.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct("h", "n", "c")).alias("hub")).where("low < high")
+    hubs = materialize(told.select("g", F.col("hub.h").alias("y"), F.col("hub.n").alias("y_n"), F.col("hub.c").alias("y_c")))
+    return materialize(named.join(hubs, "g"))
+
+
+def pairs(rows: DataFrame, percent: int) -> DataFrame:
     """rows(h, n, y, y_n), one per shared prefix shingle -> pairs (a, b) that share enough of them to be similar.
 
     Sets that share t elements share k of their first n - t + k; the prefixes say how large k may be.
     """
-    away = (F.col("h") != F.col("y")) & (100 * F.least("n", "y_n") >= percent * F.greatest("n", "y_n"))
+    near = 100 * F.least("n", "y_n") >= percent * F.greatest("n", "y_n")
     least = F.ceil(percent * (F.col("n") + F.col("y_n")) / (100 + percent) - 1e-6)
     rest = lambda n: F.ceil(percent * F.col(n) / 100 - 1e-6)
     need = least - F.greatest(rest("n"), rest("y_n")) + 1
-    made = rows.where(away).select(F.least("h", "y").alias("a"), F.greatest("h", "y").alias("b"), need.alias("need"))
+    made = rows.where(near).select(F.least("h", "y").alias("a"), F.greatest("h", "y").alias("b"), need.alias("need"))
     return made.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("need").alias("need")).where("k >= need").select("a", "b")
 
 
-def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """``docs(text)`` -> (h, component) of every distinct text, h being ``text_key``.
+def hub_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """Each bucket's members with its least one, where their components differ: joins large groups by few pairs."""
+    return pairs(live.where("c <> y_c"), percent)
 
-    Two texts are linked if the Jaccard similarity of their shingles is ``percent`` or more; components are
-    those of all such pairs, each link being checked on whole texts. Texts without words are alike.
-    Each bucket first meets at one member from either end, which joins large groups by few pairs; then all
-    pairs that are still apart are checked.
-    """
-    late, times = _order(docs, size)
 
-    def prefixes(batches):
-        for b in batches:
-            hs, keys, ns = [], [], []
-            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                grams = shingles(text, size)
-                first = prefix(grams, late, times, percent) if len(grams) else np.zeros(1, np.int64)
-                keys.append(first)
-                hs.append(np.full(len(first), h, np.int64))
-                ns.append(np.full(len(first), len(grams), np.int32))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, hs, ns)], names=["g", "h", "n"])
+def open_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a bucket whose components still differ."""
+    other = live.select("g", F.col("h").alias("y"), F.col("n").alias("y_n"), F.col("c").alias("y_c"))
+    return pairs(live.select("g", "h", "n", "c").join(other, "g").where("h < y and c <> y_c"), percent)
+
 
-    dealt = _texts(docs).mapInArrow(prefixes, "g bigint, h bigint, n int").repartition("g").sortWithinPartitions("g", "h")
-    met = materialize(dealt.mapInArrow(_shared, "g bigint, h bigint, n int, y bigint, y_n int"))
+def verified(docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
+    """``found(a, b)`` with ``good``: whether the whole texts' shingle sets have that similarity (texts without words are alike)."""
+    found = materialize(found)
+    wanted = found.select(F.col("a").alias("h")).union(found.select("b")).distinct()
 
     def sets(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["h", "grams"])
+        for hs, texts in each_once(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array([shingle_set(t, size).tobytes() for t in texts], pa.binary())], names=["h", "grams"])
 
     def check(batches):
         for b in batches:
             good = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
                 m, n = len(x) // 8, len(y) // 8
-                k = len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
+                k = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                 good.append(100 * k >= percent * (m + n - k))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
-    def verify(pairs):
-        pairs = materialize(pairs)
-        wanted = pairs.select(F.col("a").alias("_h")).union(pairs.select("b")).distinct()
-        whole = materialize(_texts(docs.join(wanted, text_key() == F.col("_h"), "left_semi")).mapInArrow(sets, "h bigint, grams binary"))
-        left = pairs.join(whole.select(F.col("h").alias("a"), F.col("grams").alias("x")), "a")
-        both = left.join(whole.select(F.col("h").alias("b"), F.col("grams").alias("y")), "b")
-        return materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint, good boolean"))
-
-    def apart(rows, parts):
-        """Rows of buckets whose members are in several components so far, and the last member as y."""
-        named = rows.select("g", "h", "n").join(parts, F.col("h") == F.col("node"), "left").select("g", "h", "n", F.coalesce("component", "h").alias("c"))
-        bucket = Window.partitionBy("g")
-        told = named.select("*", F.min("c").over(bucket).alias("low"), F.max(F.struct("c", "h", "n")).over(bucket).alias("last"))
-        return materialize(told.where("low < last.c").select("g", "h", "n", "c", F.col("last.h").alias("y"), F.col("last.n").alias("y_n"), F.col("last.c").alias("y_c")))
-
-    def linked(tried):
-        return materialize(connected_components(tried.where("good").select("a", "b")))
-
-    tried = verify(_pairs(met, percent))
-    parts = linked(tried)
-    live = apart(met, parts)
-    tried = tried.union(verify(_pairs(live.where("c <> y_c"), percent).join(tried, ["a", "b"], "left_anti")))
-    parts = linked(tried)
-    live = apart(live, parts).select("g", "h", "n", "c")
-    other = live.select("g", F.col("h").alias("y"), F.col("n").alias("y_n"), F.col("c").alias("y_c"))
-    tried = tried.union(verify(_pairs(live.join(other, "g").where("h < y and c <> y_c"), percent).join(tried, ["a", "b"], "left_anti")))
-    parts = linked(tried)
-    distinct = docs.select(text_key().alias("h")).distinct()
-    return distinct.join(parts.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("component", "h").alias("component"))
+    whole = materialize(keyed_texts(docs).join(wanted, "h", "left_semi").mapInArrow(sets, "h bigint, grams binary").groupBy("h").agg(F.first("grams").alias("grams")))
+    left = found.join(whole.select(F.col("h").alias("a"), F.col("grams").alias("x")), "a")
+    both = left.join(whole.select(F.col("h").alias("b"), F.col("grams").alias("y")), "b")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint, good boolean"))

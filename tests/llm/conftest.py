@@ -26,4 +26,4 @@ def odd_docs(spark):
 
 @pytest.fixture(scope="session")
 def documents(spark):
-    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").cache()
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

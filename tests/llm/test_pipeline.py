@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from pixelmill.llm import licenses, mixing, quality
-from tests.llm.test_documents import bench_words, brute_hits, brute_print, counts, least
+from pixelmill.llm import licenses, mixing, quality, simhash
+from tests.llm.test_documents import bench_words, brute_hits, counts, least
 
 
 def test_licenses(spark):
@@ -35,6 +35,18 @@ def test_licenses_odd(spark, odd_docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def shingle_sets(rows, key="doc_id"):
+    out = {}
+    for r in rows:
+        ws = (r["text"] or "").encode().lower().split()
+        out[r[key]] = {tuple(ws[i : i + 5]) for i in range(max(len(ws) - 4, 1))}
+    return out
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
 def stages(spark, docs):
     """What each stage should keep, in plain Python."""
     rows = [r for r in docs.collect()]
@@ -44,12 +56,9 @@ def stages(spark, docs):
         assert not (r["doc_id"] in kept and (n[0] < 50 or 100 * n[4] > 50 * n[0]))
     rows = [r for r in rows if r["doc_id"] in kept]
     yield sorted(r["doc_id"] for r in rows)
-    prints = {r["doc_id"]: brute_print(r["text"]) for r in rows}
-    distinct = sorted(set(prints.values()))
-    parts, first = least([(a, b) for a, b in combinations(distinct, 2) if (a ^ b).bit_count() <= 4], distinct), {}
-    for d, p in prints.items():
-        first[parts[p]] = min(d, first.get(parts[p], d))
-    rows = [r for r in rows if first[parts[prints[r["doc_id"]]]] == r["doc_id"]]
+    sets = shingle_sets(rows)
+    parts = least([(a, b) for a, b in combinations(sorted(sets), 2) if alike(sets[a], sets[b])], sorted(sets))
+    rows = [r for r in rows if parts[r["doc_id"]] == r["doc_id"]]
     yield sorted(r["doc_id"] for r in rows)
     bench = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text").collect()]
     clean = {d for d, *_, bad in brute_hits([(r["doc_id"], r["text"]) for r in rows], bench) if not bad}
@@ -93,27 +102,39 @@ def test_simhash_stage_keeps_one_of_a_group(spark, odd_docs):
     assert len(ids) == len(set(ids)) and 1 in ids and 2 not in ids
 
 
+def test_near_copies_of_repeated_ids(spark):
+    """Rows with one doc_id, or none, are judged by their texts; every column stays."""
+    import random
+
+    rng = random.Random(4)
+    fresh = lambda: [f"{rng.getrandbits(40):x}" for _ in range(60)]
+    a, b, c, d, z, y = (fresh() for _ in range(6))
+    near_a = [*a[:30], "other", *a[31:]]
+    texts = [(3, a), (5, a), (5, b), (7, c), (7, d), (None, near_a), (None, z), (None, z), (9, near_a), (2, y), (2, y), (None, ["x"]), (4, ["x"])]
+    docs = spark.createDataFrame([(i, " ".join(t), k, "u") for k, (i, t) in enumerate(texts)] + [(8, None, 20, "v"), (None, "", 21, None)], "doc_id long, text string, h int, component string")
+    got = simhash.deduplicate(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], (r["text"] or "").split()) for r in rows) == sorted(
+        [(False, 3, a), (False, 5, b), (False, 7, c), (False, 7, d), (True, None, z), (False, 2, y), (False, 4, ["x"]), (False, 8, [])], key=lambda x: (x[0], x[1] or 0, x[2])
+    )
+    again = simhash.deduplicate(docs.repartition(7)).collect()
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
+
+
 def test_names_are_registered():
     known = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in known) for k in range(1, 11)) and "pipeline" in known
     assert bench_words("A-b C") == ["a", "b", "c"]
 
 
-def shingle_sets(rows):
-    out = {}
-    for r in rows:
-        ws = (r["text"] or "").encode().lower().split()
-        out[r["doc_id"]] = {tuple(ws[i : i + 5]) for i in range(max(len(ws) - 4, 1))}
-    return out
-
-
 def test_near_copies_go_at_similarity(spark):
     docs = quality.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("kept").select("doc_id", "text")
     base = [f"w{i}" for i in range(200)]
     ladder = [" ".join("x" if k in (20 * j for j in range(1, edits + 1)) else w for k, w in enumerate(base)) for edits in range(6)]
     docs = spark.createDataFrame([*docs.collect(), *((10_000 + i, t) for i, t in enumerate(ladder))], "doc_id long, text string")
     sets = shingle_sets(docs.collect())
-    pairs = [(a, b) for a, b in combinations(sorted(sets), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    pairs = [(a, b) for a, b in combinations(sorted(sets), 2) if alike(sets[a], sets[b])]
     parts = least(pairs, sorted(sets))
     got = [r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()]
     assert sorted(got) == sorted(d for d in sets if parts[d] == d)
