@@ -10,9 +10,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pixelmill.llm import decontamination, mixing, near, quality, sharding
+from pixelmill.llm import decontamination, mixing, quality, sharding, simhash
 from pixelmill.llm.common import table
 from pixelmill.plans.storage import checkpoint_dir
 
@@ -23,17 +22,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays: that with the smallest doc_id, nulls last, then by a text hash.
+    """One row of each group of near copies stays: that with the smallest doc_id, nulls last.
 
-    Near copies have a Jaccard similarity of 0.8 or more over shingles of five words (``near.groups``); the
-    4 bits of ``op4_simhash`` would reach few of those.
+    Near copies have a Jaccard similarity of 0.8 or more over shingles of five words, checked on whole texts; texts
+    without words are copies of each other. Rows with one doc_id and different texts are judged by their texts.
     """
-    keyed = docs.withColumn("_h", near.text_key())
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_h").alias("_first")
-    least = keyed.groupBy("_h").agg(F.min(order).alias("_first")).join(near.groups(docs).withColumnRenamed("h", "_h"), "_h")
-    stay = least.groupBy("component").agg(F.min("_first").alias("_first")).select(F.col("_first._h").alias("_h"), F.col("_first.doc_id").alias("_id"))
-    kept = keyed.join(stay, (keyed["_h"] == stay["_h"]) & keyed["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
-    return kept.dropDuplicates(["_h"]).select(*docs.columns)
+    return simhash.deduplicate(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
