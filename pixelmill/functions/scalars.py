@@ -279,16 +279,26 @@ def is_video(fmt: Column) -> Column:
 # --- parameters in JSON
 
 
+def _param(params: Column, key: str) -> tuple[Column, Column, Column]:
+    """(kind, text, number) of a value: kind is string, number, bool, or null for all else, absent ones included."""
+    value = F.try_variant_get(F.try_parse_json(params), f"$.{key}", "variant")
+    kind = F.schema_of_variant(value)
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    named = case([(kind == "STRING", "string"), (number, "number"), (kind == "BOOLEAN", "bool")])
+    return named, F.get_json_object(params, f"$.{key}"), F.try_variant_get(value, "$", "double")
+
+
 def param_text(params: Column, key: str, default: Arg) -> Column:
     """Strings, numbers and bools as text; anything else is the default."""
-    raw = F.get_json_object(params, f"$.{key}")
-    scalar = ~F.coalesce(raw.rlike(r"^\s*[\[{]"), F.lit(False)) & raw.isNotNull()
-    return F.when(scalar, raw).otherwise(col(default))
+    kind, text, _ = _param(params, key)
+    return F.when(kind.isNotNull(), text).otherwise(col(default))
 
 
 def param_number(params: Column, key: str, default: Arg) -> Column:
-    raw = F.get_json_object(params, f"$.{key}")
-    return F.coalesce(case([(raw == "true", 1.0), (raw == "false", 0.0)], text_to_number(raw)), _double(default))
+    """Numbers, bools as 1 and 0, strings that are numbers; anything else is the default."""
+    kind, text, number = _param(params, key)
+    found = case([(kind == "number", number), (kind == "string", text_to_number(text)), (kind == "bool", (text == "true").cast("double"))])
+    return F.coalesce(found, _double(default))
 
 
 def param_integer(params: Column, key: str, default: Arg) -> Column:
@@ -296,9 +306,9 @@ def param_integer(params: Column, key: str, default: Arg) -> Column:
 
 
 def param_bool(params: Column, key: str, default: Arg) -> Column:
-    """true, 1 and yes are true as text; numbers are true unless 0."""
-    raw = F.get_json_object(params, f"$.{key}")
-    return F.when(raw.isNull(), col(default)).otherwise(F.lower(F.trim(raw)).isin("true", "1", "yes") | (F.coalesce(raw.rlike(r"^-?[0-9.]+$"), F.lit(False)) & (F.coalesce(text_to_number(raw), F.lit(0.0)) != 0)))
+    """Bools; numbers are true unless 0; of strings, true, 1 and yes are. Anything else is the default."""
+    kind, text, number = _param(params, key)
+    return case([(kind == "bool", text == "true"), (kind == "number", number != 0), (kind == "string", F.lower(F.trim(text)).isin("true", "1", "yes"))], col(default))
 
 
 def with_defaults(given: dict[str, Column], defaults: dict[str, Arg], bounds: dict[str, tuple[float, float]] | None = None) -> Column:

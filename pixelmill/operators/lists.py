@@ -109,16 +109,17 @@ def rename_outputs(images: DataFrame, name: Arg, auto_extension: bool = True) ->
     return kept, note(notes, "rename", F.col("_s"), message)
 
 
-def run_report(notes: DataFrame) -> DataFrame:
-    """op, elapsed_ms (total), status (worst), warnings (messages of rows that didn't fail), error (the last)."""
+def run_report(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(report, warnings). The report has op, elapsed_ms (total), status (worst), warnings (how many rows that didn't
+    fail have a message) and error (the last). ``warnings`` has op, message and how often: rows, so that an op of very
+    many images gathers nothing in one place."""
     rank = case([(F.col("status") == "failed", 2), (F.col("status") == "skipped", 1)], 0)
-    order = F.struct("seq", ID)
-    told = F.sort_array(F.collect_list(F.when((F.col("status") != "failed") & (F.col("message") != ""), F.struct("seq", ID, "message"))))
+    failed, told = F.col("status") == "failed", (F.col("status") != "failed") & (F.col("message") != "")
     out = notes.withColumn("_rank", rank).groupBy("op").agg(
-        F.sum("elapsed_ms").alias("elapsed_ms"), F.max("_rank").alias("_rank"), told.alias("_told"), F.max_by(F.when(F.col("status") == "failed", F.col("message")), F.when(F.col("status") == "failed", order)).alias("error")
+        F.sum("elapsed_ms").alias("elapsed_ms"), F.max("_rank").alias("_rank"), F.count_if(told).alias("warnings"), F.max_by(F.when(failed, F.col("message")), F.when(failed, F.struct("seq", ID))).alias("error")
     )
     status = F.get(F.array(F.lit("ok"), F.lit("skipped"), F.lit("failed")), F.col("_rank"))
-    return out.select("op", "elapsed_ms", status.alias("status"), F.transform("_told", lambda x: x["message"]).alias("warnings"), "error")
+    return out.select("op", "elapsed_ms", status.alias("status"), "warnings", "error"), notes.where(told).groupBy("op", "message").agg(F.count("*").alias("n"))
 
 
 def require_format(images: DataFrame, fmt: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:

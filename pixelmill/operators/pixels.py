@@ -69,10 +69,16 @@ def flip_rotate(images: DataFrame, pixels: DataFrame, flip_h: bool = False, flip
 
 
 def crop_boxes(images: DataFrame, pixels: DataFrame, boxes: DataFrame, keys: tuple[str, ...] = (ID,)) -> tuple[DataFrame, DataFrame]:
-    """Cut ``boxes(keys..., x0, y0, w, h)`` out of their images; more columns of boxes in ``keys`` stay."""
+    """Cut ``boxes(keys..., x0, y0, w, h)`` out of their images; more columns of boxes in ``keys`` stay.
+
+    An image with several boxes (more ``keys``) meets them row by row, so a pixel meets the boxes of its row alone.
+    """
     names = [*keys, *(c for c in pixels.columns if c not in keys)]
-    inside = "x >= x0 and x < x0 + w and y >= y0 and y < y0 + h"
-    cut = pixels.join(boxes, ID).where(inside).withColumns({"x": F.expr("x - x0"), "y": F.expr("y - y0")}).select(*names)
+    inside, rows, on = "x >= x0 and x < x0 + w and y >= y0 and y < y0 + h", boxes, [ID]
+    if len(keys) > 1:
+        inside, on = "x >= x0 and x < x0 + w", [ID, "y"]
+        rows = boxes.where("h > 0").withColumn("y", F.explode(F.expr("sequence(y0, y0 + h - 1)")))
+    cut = pixels.join(rows, on).where(inside).withColumns({"x": F.expr("x - x0"), "y": F.expr("y - y0")}).select(*names)
     out = images.join(boxes, ID).withColumns({"width": F.col("w"), "height": F.col("h")})
     return out.select(*[c for c in keys if c not in images.columns], *images.columns), cut
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+import sys
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +18,10 @@ from pixelmill.operators.pixels import crop_boxes, note
 from pixelmill.plans.graph import connected_components
 from pixelmill.plans.storage import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no installed copy
+
 FEATHER = 24
+MOST_RUNS = 1_000_000  # of an image, that one task sweeps
 ROW = 1 << 32  # a run's id is y * ROW + x0: ids order like pixels, whatever the width
 
 
@@ -50,12 +57,13 @@ def merged(intervals: DataFrame) -> DataFrame:
     return parts.groupBy(ID, "y", "_part").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_part")
 
 
-def border(images: DataFrame, pixels: DataFrame, thickness: Arg = 1, color: str | Column = "#000000") -> tuple[DataFrame, DataFrame]:
-    """Outline: clear pixels within ``thickness`` + 0.5 of content take the colour; the canvas grows to fit it.
+def border(images: DataFrame, pixels: DataFrame, thickness: Arg = 1, color: str | Column = "#000000") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, pixels, notes) with an outline: clear pixels within ``thickness`` + 0.5 of content take the colour; the canvas grows to fit it.
 
     Distance is a chamfer with steps 1 and sqrt(2). A content run, moved by dy rows and widened by the dx that
     the distance still allows there, covers what it paints; those intervals are merged per row before any
-    pixel meets them, so the work grows with runs times thickness, not with its square.
+    pixel meets them, so the work grows with runs times thickness, not with its square. Notes tell of images that
+    stay as they are (thickness 0, or nothing but clear pixels) and of a clear colour, which adds margins alone.
     """
     names = pixels.columns
     bounds = content_bounds(pixels)
@@ -72,29 +80,104 @@ def border(images: DataFrame, pixels: DataFrame, thickness: Arg = 1, color: str
     wide = runs(pixels, "a <> 0").join(plan, ID).withColumn("_dy", F.explode(F.sequence(-F.col("_t"), F.col("_t")))).withColumn("_dx", F.when(far >= ady, far).otherwise(near))
     painted = merged(wide.select(ID, F.expr("y + _dy + _top").alias("y"), F.expr("x0 - _dx + _left").alias("x0"), F.expr("x1 + _dx + _left").alias("x1")))
     moved = pixels.join(plan.select(ID, "_left", "_top"), ID, "left").withColumns({"x": F.expr("x + coalesce(_left, 0)"), "y": F.expr("y + coalesce(_top, 0)")}).select(*names)
-    cells = plan.withColumn("y", F.explode(F.expr("sequence(0, _h + _top + _bottom - 1)"))).withColumn("x", F.explode(F.expr("sequence(0, _w + _left + _right - 1)")))
-    outside = cells.where("x < _left or x >= _left + _w or y < _top or y >= _top + _h").select(ID, "x", "y", *[F.lit(0).alias(c) for c in "rgba"])
-    canvas = moved.unionByName(outside.select(*names))
-    clear = canvas.where("a = 0").join(painted, [ID, "y"]).where("x between x0 and x1").select(ID, "x", "y").withColumn("_hit", F.lit(True))
-    inked = canvas.join(clear, [ID, "x", "y"], "left").join(plan.select(ID, "_c"), ID, "left")
-    out = inked.withColumns({c: F.when(F.col("_hit"), F.col(f"_c.{c}")).otherwise(F.col(c)) for c in "rgba"}).select(*names)
+    span = lambda low, high: F.expr(f"if({high} > {low}, sequence({low}, {high} - 1), cast(array() as array<int>))")
+    beside = F.concat(span("0", "_left"), span("_left + _w", "_left + _w + _right"))
+    rows = plan.withColumn("y", F.explode(F.expr("sequence(0, _h + _top + _bottom - 1)")))
+    cells = rows.withColumn("x", F.explode(F.when(F.expr("y < _top or y >= _top + _h"), span("0", "_left + _w + _right")).otherwise(beside)))
+    canvas = moved.unionByName(cells.select(ID, "x", "y", *[F.lit(0).alias(c) for c in "rgba"]).select(*names))
+    ink = painted.join(plan.select(ID, "_c"), ID).select(F.col(ID).alias("_id"), F.col("y").alias("_y"), "x0", "x1", "_c")
+    # a row's intervals lie apart, so a pixel meets one at most
+    inked = canvas.join(ink, F.expr("image_id = _id and y = _y and a = 0 and x between x0 and x1"), "left")
+    out = inked.withColumns({c: F.coalesce(F.col(f"_c.{c}"), F.col(c)) for c in "rgba"}).select(*names)
     grown = images.join(plan.select(ID, "_left", "_top", "_right", "_bottom"), ID, "left")
     bigger = grown.withColumns({"width": F.expr("width + coalesce(_left + _right, 0)"), "height": F.expr("height + coalesce(_top + _bottom, 0)")})
-    return bigger.select(*images.columns), out
+    sized, arg = bind(sizes(images), images, thickness=thickness, color=color)
+    told = sized.select(ID, arg["thickness"].cast("int").alias("_t"), arg["color"]["a"].alias("_a")).join(bounds.select(ID, "x0"), ID, "left")
+    text = F.when(F.col("_t") <= 0, F.lit("thickness 0: the image stays as it is")).when(F.col("x0").isNull(), F.lit("the image is clear: nothing to outline"))
+    text = text.when(F.col("_a") == 0, F.lit("the colour is clear: margins alone are added"))
+    return bigger.select(*images.columns), out, note(told.withColumn("_m", text).where("_m is not null"), "border", "ok", F.col("_m"))
+
 
+def swept(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, near: int) -> np.ndarray:
+    """Place of the first run of each run's component; runs of one image in order of (y, x0).
 
-def label_components(pixels: DataFrame, predicate: Column | str, connectivity: int = 8) -> DataFrame:
+    Rows are swept from the top, with one finger in each of two adjacent rows.
+    """
+    parent = list(range(len(y)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    starts = np.r_[np.flatnonzero(np.r_[True, y[1:] != y[:-1]]), len(y)].tolist()
+    ys, lows, highs = y.tolist(), x0.tolist(), x1.tolist()
+    for above, row, end in zip(starts, starts[1:], starts[2:], strict=False):
+        if ys[row] != ys[above] + 1:
+            continue
+        i, j = above, row
+        while i < row and j < end:
+            if lows[i] <= highs[j] + near and lows[j] <= highs[i] + near:
+                p, q = root(i), root(j)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+            if highs[i] < highs[j]:
+                i += 1
+            else:
+                j += 1
+    return np.array([root(i) for i in range(len(y))], np.int64)
+
+
+def _labels(near: int):
+    """mapInArrow over runs in order of (image, y, x0): one image at a time."""
+
+    def run(batches):
+        held = [np.empty(0, np.int64)] + [np.empty(0, np.int32)] * 3
+
+        def batch(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            out: list[list] = [[], [], [], [], []]
+            for image, y, x0, x1 in parts:
+                first = swept(y, x0, x1, near)
+                for column, values in zip(out, (image, y, x0, x1, y[first].astype(np.int64) * ROW + x0[first]), strict=True):
+                    column.append(values)
+            kinds = (np.int64, np.int32, np.int32, np.int32, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, k), *c]).astype(k)) for c, k in zip(out, kinds, strict=True)], names=[ID, "y", "x0", "x1", "component"])
+
+        for b in batches:
+            held = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, (ID, "y", "x0", "x1"), strict=True)]
+            cut = np.r_[0, np.flatnonzero(held[0][1:] != held[0][:-1]) + 1].tolist()
+            if len(cut) > 1:
+                yield batch([[h[s:e] for h in held] for s, e in zip(cut, cut[1:], strict=False)])
+                held = [h[cut[-1] :] for h in held]
+        if len(held[0]):
+            yield batch([held])
+
+    return run
+
+
+def label_components(pixels: DataFrame, predicate: Column | str, connectivity: int = 8, most_runs: int = MOST_RUNS) -> DataFrame:
     """image_id, y, x0, x1, component of every run; component = y * 2**32 + x of its first pixel.
 
-    Runs, not pixels, are the nodes, so the graph is small; runs of adjacent rows that overlap (8: or touch
-    at a corner) are joined by (image_id, row), and star rounds connect them.
+    Runs, not pixels, are the nodes. Those of an image are swept from the top in one task, after one shuffle.
+    Images of more than ``most_runs`` runs don't fit there; their runs are linked by a window and connected by star
+    rounds: runs of two adjacent rows, put in order of x0, link to the last one of the other row before them if that
+    reaches them (8: or touches at a corner). As runs of a row lie apart, no earlier one can.
     """
-    found = materialize(runs(pixels, predicate).withColumn("node", F.col("y").cast("bigint") * ROW + F.col("x0")))
-    below = found.select(ID, (F.col("y") - 1).alias("y"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("node").alias("b"))
-    d = 1 if connectivity == 8 else 0
-    links = found.withColumnRenamed("node", "a").join(below, [ID, "y"]).where(f"x0 <= _x1 + {d} and _x0 <= x1 + {d}").select(ID, "a", "b")
-    parts = connected_components(links.union(found.select(ID, F.col("node").alias("a"), F.col("node").alias("b"))), [ID])
-    return found.join(parts, [ID, "node"]).select(ID, "y", "x0", "x1", "component")
+    near = 1 if connectivity == 8 else 0
+    found = materialize(runs(pixels, predicate))
+    large = materialize(found.groupBy(ID).agg(F.count("*").alias("n")).where(F.col("n") > most_runs).select(ID))
+    small = found.join(F.broadcast(large) if large.isEmpty() else large, ID, "left_anti").select(ID, "y", "x0", "x1")
+    labels = small.repartition(ID).sortWithinPartitions(ID, "y", "x0").mapInArrow(_labels(near), "image_id bigint, y int, x0 int, x1 int, component bigint")
+    if large.isEmpty():
+        return labels
+    wide = materialize(found.join(large, ID, "left_semi").withColumn("node", F.col("y").cast("bigint") * ROW + F.col("x0")))
+    rows = wide.select(ID, "y", "x0", "x1", "node", F.lit(0).alias("_row")).union(wide.select(ID, F.col("y") - 1, "x0", "x1", "node", F.lit(1)))
+    before = Window.partitionBy(ID, "y").orderBy("x0", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col("_row") == k, F.struct("x1", "node")), True).over(before) for k in (1, 0)]
+    met = rows.withColumns({"_of1": last[0], "_of0": last[1]}).withColumn("_other", F.when(F.col("_row") == 0, F.col("_of1")).otherwise(F.col("_of0")))
+    links = met.where(F.col("_other.x1") + near >= F.col("x0")).select(ID, F.col("node").alias("a"), F.col("_other.node").alias("b"))
+    parts = connected_components(links.union(wide.select(ID, F.col("node").alias("a"), F.col("node").alias("b"))), [ID])
+    return labels.union(wide.join(parts, [ID, "node"]).select(ID, "y", "x0", "x1", "component"))
 
 
 def component_pixels(pixels: DataFrame, labels: DataFrame) -> DataFrame:

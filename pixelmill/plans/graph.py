@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.plans.storage import materialize
+from pixelmill.plans.storage import materialize, scratch
 
 
 def connected_components(edges: DataFrame, group: list[str] | None = None, max_rounds: int = 100) -> DataFrame:
     """``edges(group..., a, b)`` -> ``(group..., node, component)`` with component = least node reachable.
 
     Self loops stand for nodes of their own. Each star is one partial aggregation and one join, so a hub's
-    rows stay spread over tasks until an adaptive skew split; each round ends in a written table. Rounds
-    needed grow with the logarithm of the longest path; ``max_rounds`` only guards against endless loops.
+    rows stay spread over tasks until an adaptive skew split; each round ends in a written table, and the
+    result is one. Rounds needed grow with the logarithm of the longest path; ``max_rounds`` only guards against endless loops.
     """
-    keys = list(group or [])
+    with scratch() as keep:
+        return keep(_stars(edges, list(group or []), max_rounds))
+
+
+def _stars(edges: DataFrame, keys: list[str], max_rounds: int) -> DataFrame:
     base = materialize(
         edges.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null").distinct()
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pixelmill.functions import scalars as sc
 from pixelmill.operators import analysis, lists, palettes, pixels, resample, shapes
 from pixelmill.plans.fixtures import DPX, IM, PX, doc_images, doc_pixels, emb_images, emb_pixels, table
-from pixelmill.plans.storage import checkpoint_dir
+from pixelmill.plans.storage import new_folder
 from pixelmill.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,6 +200,91 @@ def c_oklab(spark, sf_dir):
 # --- resampling
 
 
+@register(f"""WITH {PX}, g AS (SELECT unnest(range(0, 19)) AS x), v AS (SELECT unnest(range(0, 5)) AS y)
+  SELECT image_id, CAST(g.x AS INT) AS x, CAST(v.y AS INT) AS y, r, g, b, a FROM g, v, px WHERE px.x = CAST(floor((g.x + 0.5) * 8 / 19) AS INT) AND px.y = CAST(floor((v.y + 0.5) * 8 / 5) AS INT)""".replace("r, g, b, a FROM g, v", "px.r, px.g, px.b, px.a FROM g, v"))
+def r_resize_nearest(spark, sf_dir):
+    return resample.resize_nearest(*both(spark, sf_dir), 19, 5)[1]
+
+
+@register(f"""WITH {PX}, t AS (SELECT image_id, CAST(greatest(1, round(8 * (50 + image_id % 4 * 50) / 100.0)) AS INT) AS n FROM (SELECT DISTINCT image_id FROM px))
+  SELECT image_id, n AS width, n AS height, CAST(n * n AS BIGINT) AS pixels, CAST(sum(px.r) AS BIGINT) AS total FROM t, (SELECT unnest(range(0, 16)) AS ox), (SELECT unnest(range(0, 16)) AS oy), px
+  WHERE ox < n AND oy < n AND px.image_id = t.image_id AND px.x = CAST(floor((ox + 0.5) * 8 / n) AS INT) AND px.y = CAST(floor((oy + 0.5) * 8 / n) AS INT) GROUP BY ALL""".replace("SELECT image_id, n AS width", "SELECT t.image_id, n AS width"))
+def r_upscale(spark, sf_dir):
+    images, px = both(spark, sf_dir)
+    out, spread, _ = resample.upscale(images, px, F.lit(50) + F.col("seq") % 4 * 50)
+    return out.select("image_id", "width", "height").join(spread.groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum("r").alias("total")), "image_id")
+
+
+@register(f"""WITH {PX} SELECT image_id, CAST(ox AS INT) AS x, CAST(oy AS INT) AS y, r, g, b, a FROM px, (SELECT unnest(range(0, 16)) AS ox), (SELECT unnest(range(0, 4)) AS oy)
+  WHERE x = ox // 2 AND y = CAST(floor((oy + 0.5) * 2) AS INT)""")
+def r_stretch(spark, sf_dir):
+    return resample.stretch(*both(spark, sf_dir), 200, 50)[1]
+
+
+@register(f"""WITH {PX}, k AS (SELECT o, i, greatest(0.0, 1.0 - abs((i - ((o + 0.5) * 8 / 5 - 0.5)) / 1.6)) AS w FROM (SELECT unnest(range(0, 5)) AS o), (SELECT unnest(range(0, 8)) AS i)),
+  n AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM k)
+  SELECT image_id, CAST(kx.o AS INT) AS x, CAST(ky.o AS INT) AS y, CAST(round(round(sum(kx.w * ky.w * r), 6)) AS INT) AS r, CAST(round(round(sum(kx.w * ky.w * g), 6)) AS INT) AS g,
+  CAST(round(round(sum(kx.w * ky.w * b), 6)) AS INT) AS b, CAST(round(round(sum(kx.w * ky.w * a), 6)) AS INT) AS a FROM px JOIN n kx ON kx.i = x JOIN n ky ON ky.i = y GROUP BY image_id, kx.o, ky.o""")
+def r_resize_triangle(spark, sf_dir):
+    return resample.resize_kernel(*both(spark, sf_dir), 5, 5, "triangle")[1]
+
+
+_KERNELS = """CASE f WHEN 'catmullRom' THEN CASE WHEN abs(d) < 1 THEN 1.5::DOUBLE * abs(d) ** 3 - 2.5::DOUBLE * d * d + 1 WHEN abs(d) < 2 THEN -0.5::DOUBLE * abs(d) ** 3 + 2.5::DOUBLE * d * d - 4 * abs(d) + 2 ELSE 0 END
+  WHEN 'gaussian' THEN exp(-2 * d * d) / (sqrt(2 * pi()) * 0.5::DOUBLE)
+  ELSE CASE WHEN d = 0 THEN 1 WHEN abs(d) < 3 THEN sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) ELSE 0 END END"""
+
+
+@register(f"""WITH {PX}, fs AS (SELECT * FROM (VALUES ('catmullRom', 2.0::DOUBLE), ('gaussian', 3.0::DOUBLE), ('lanczos3', 3.0::DOUBLE)) v(f, reach)), ns AS (SELECT * FROM (VALUES (12), (6)) v(n)),
+  o AS (SELECT f, reach, n, unnest(range(0, n)) AS o, 8.0::DOUBLE / n AS ratio, greatest(8.0::DOUBLE / n, 1) AS scale FROM fs, ns), c AS (SELECT *, (o + 0.5::DOUBLE) * ratio AS c FROM o),
+  e AS (SELECT *, unnest(range(0, 8)) AS i, least(7, greatest(0, floor(c - reach * scale))) AS lo, ceil(c + reach * scale) AS hi FROM c), t AS (SELECT f, n, o, i, (i - (c - 0.5::DOUBLE)) / scale AS d FROM e WHERE i >= lo AND (i < hi OR i = lo)),
+  w AS (SELECT f, n, o, i, {_KERNELS} AS w FROM t), k AS (SELECT f, n, o, i, w / sum(w) OVER (PARTITION BY f, n, o) AS w FROM w)
+  SELECT kx.f AS filter, image_id, CAST(kx.o AS INT) AS x, CAST(ky.o AS INT) AS y, {", ".join(f"CAST(greatest(0, least(255, round(round(sum(kx.w * ky.w * {ch}), 6)))) AS INT) AS {ch}" for ch in "rgba")}
+  FROM px JOIN k kx ON kx.i = x AND kx.n = 12 JOIN k ky ON ky.i = y AND ky.n = 6 AND ky.f = kx.f GROUP BY kx.f, image_id, kx.o, ky.o""")
+def r_resize_filters(spark, sf_dir):
+    images, px = both(spark, sf_dir)
+    each = [resample.resize_kernel(images, px, 12, 6, f)[1].select(F.lit(f).alias("filter"), *ALL) for f in ("catmullRom", "gaussian", "lanczos3")]
+    return each[0].union(each[1]).union(each[2])
+
+
+@register("""WITH d AS (SELECT doc_id, 32 AS w, CAST(length(text) // 32 AS INT) AS h FROM documents WHERE length(text) >= 32), s AS (
+  SELECT doc_id, CASE WHEN w / h > 0.5 THEN greatest(1, least(w, CAST(round(h * 0.5) AS INT))) ELSE w END AS nw, CASE WHEN w / h > 0.5 THEN h ELSE greatest(1, least(h, CAST(round(w / 0.5) AS INT))) END AS nh, w, h FROM d)
+  SELECT doc_id AS image_id, nw AS width, nh AS height, CAST(nw * nh AS BIGINT) AS n FROM s""")
+def c_crop_ratio(spark, sf_dir):
+    images, px = pixels.crop_ratio(doc_images(spark, sf_dir), doc_pixels(spark, sf_dir), 1, 2, "center")
+    return images.select("image_id", "width", "height").join(px.groupBy("image_id").agg(F.count("*").alias("n")), "image_id")
+
+
+@register(f"WITH {PX} SELECT image_id, x - 3 AS x, y AS y, r, g, b, a FROM px WHERE x >= 3 AND y < 4")
+def c_crop_size(spark, sf_dir):
+    return pixels.crop_size(*both(spark, sf_dir), 5, 4, "topRight")[1]
+
+
+@register(f"""WITH {PX}, rg AS (SELECT image_id, k + 1 AS piece, CASE WHEN k = 0 THEN 0 ELSE 3 END AS x0, CASE WHEN k = 0 THEN 1 ELSE 5 END AS y0, CASE WHEN k = 0 THEN 5 ELSE 5 END AS w, CASE WHEN k = 0 THEN 4 ELSE 3 END AS h, k
+  FROM (SELECT DISTINCT image_id FROM px), (VALUES (0), (1)) v(k)), c AS (SELECT image_id, piece, x - x0 AS x, y - y0 AS y, r, g, b, a, w, h, k FROM px JOIN rg USING (image_id) WHERE x >= x0 AND x < x0 + w AND y >= y0 AND y < y0 + h)
+  SELECT image_id, piece, x, y, r, g, b, CASE WHEN k = 1 AND ((x + 0.5 - w / 2) / (w / 2)) ** 2 + ((y + 0.5 - h / 2) / (h / 2)) ** 2 > 1 THEN 0 ELSE a END AS a FROM c""")
+def c_crop_regions(spark, sf_dir):
+    images, px = both(spark, sf_dir)
+    region = lambda *v: F.struct(*[F.lit(x).alias(n) for n, x in zip(("x", "y", "w", "h", "shape"), v, strict=True)])
+    regions = images.select("image_id", F.explode(F.array(region(-4, 1, 5, 4, "rect"), region(3, 5, 90, 90, "ellipse"))).alias("v")).select("image_id", "v.*")
+    return pixels.crop_regions(images, px, regions)[1]
+
+
+_LIN = "CASE WHEN {0} / 255.0 <= 0.04045 THEN {0} / 255.0 / 12.92 ELSE (({0} / 255.0 + 0.055) / 1.055) ** 2.4 END"
+
+
+@register(f"""WITH {PX}, n AS (SELECT image_id, x, y, r AS c0, g AS c1, b AS c2, {_LIN.format("r")} AS r, {_LIN.format("g")} AS g, {_LIN.format("b")} AS b FROM px), m AS (
+  SELECT *, cbrt(0.41222147 * r + 0.53633254 * g + 0.051445995 * b) AS l_, cbrt(0.2119035 * r + 0.6806995 * g + 0.10739696 * b) AS m_, cbrt(0.08830246 * r + 0.28171885 * g + 0.6299787 * b) AS s_ FROM n)
+  SELECT image_id, x, y, round(0.21045426 * l_ + 0.7936178 * m_ - 0.004072047 * s_, 6) AS l, round(1.9779985 * l_ - 2.4285922 * m_ + 0.4505937 * s_, 6) AS a, round(0.025904037 * l_ + 0.78277177 * m_ - 0.80867577 * s_, 6) AS b,
+  c0 AS back_r, c1 AS back_g, c2 AS back_b FROM m""")
+def c_oklab(spark, sf_dir):
+    lab = emb_pixels(spark, sf_dir).select("image_id", "x", "y", sc.oklab(F.col("r"), F.col("g"), F.col("b")).alias("lab"))
+    back = sc.oklab_to_rgb(F.col("lab"))
+    return lab.select("image_id", "x", "y", *[F.round(F.col(f"lab.{c}"), 6).alias(c) for c in "lab"], *[back[c].alias(f"back_{c}") for c in "rgb"])
+
+
+# --- resampling
+
+
 @register(f"""WITH {PX}, g AS (SELECT unnest(range(0, 19)) AS x), v AS (SELECT unnest(range(0, 5)) AS y)
   SELECT image_id, CAST(g.x AS INT) AS x, CAST(v.y AS INT) AS y, r, g, b, a FROM g, v, px WHERE px.x = CAST(floor((g.x + 0.5) * 8 / 19) AS INT) AND px.y = CAST(floor((v.y + 0.5) * 8 / 5) AS INT)""".replace("r, g, b, a FROM g, v", "px.r, px.g, px.b, px.a FROM g, v"))
 def r_resize_nearest(spark, sf_dir):
@@ -267,8 +351,8 @@ def n_crop_content(spark, sf_dir):
   SELECT image_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, t FROM (SELECT *, unnest(range(0, 8 + l + rr)) AS x FROM p) a, (SELECT unnest(range(0, 20)) AS y) b WHERE y < 8 + u + d), s AS (
   SELECT image_id, x + coalesce(l, 0) AS x, y + coalesce(u, 0) AS y, r, g, b, a FROM k LEFT JOIN p USING (image_id)), f AS (
   SELECT coalesce(c.image_id, s.image_id) AS image_id, coalesce(c.x, s.x) AS x, coalesce(c.y, s.y) AS y, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, coalesce(a, 0) AS a, coalesce(t, 0) AS t FROM c FULL JOIN s ON c.image_id = s.image_id AND c.x = s.x AND c.y = s.y), h AS (
-  SELECT DISTINCT f.image_id, f.x, f.y FROM f JOIN f q ON f.image_id = q.image_id AND f.a = 0 AND q.a <> 0 AND f.t > 0
-    AND greatest(abs(f.x - q.x), abs(f.y - q.y)) - least(abs(f.x - q.x), abs(f.y - q.y)) + sqrt(2) * least(abs(f.x - q.x), abs(f.y - q.y)) <= f.t + 0.5)
+  SELECT DISTINCT f.image_id, f.x, f.y FROM (SELECT *, f.x + dx AS qx, f.y + dy AS qy, greatest(abs(dx), abs(dy)) - least(abs(dx), abs(dy)) + sqrt(2) * least(abs(dx), abs(dy)) AS far
+    FROM f, (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy) WHERE a = 0 AND t > 0) f JOIN f q ON f.image_id = q.image_id AND f.qx = q.x AND f.qy = q.y AND q.a <> 0 AND far <= f.t + 0.5)
   SELECT f.image_id, f.x, f.y, CASE WHEN h.x IS NULL THEN r ELSE 255 END AS r, CASE WHEN h.x IS NULL THEN g ELSE 0 END AS g, CASE WHEN h.x IS NULL THEN b ELSE 16 END AS b, CASE WHEN h.x IS NULL THEN a ELSE 255 END AS a
   FROM f LEFT JOIN h ON f.image_id = h.image_id AND f.x = h.x AND f.y = h.y""")
 def n_border(spark, sf_dir):
@@ -318,20 +402,31 @@ def n_split(spark, sf_dir):
 
 
 def _masks(spark, sf_dir):
-    return emb_pixels(spark, sf_dir).select("image_id", "x", "y", (F.col("g") / 200.0 - 0.1).alias("value"), F.lit(8).alias("mask_w"), F.lit(8).alias("mask_h"))
+    """4 x 4 masks for the 8 x 8 images."""
+    corner = emb_pixels(spark, sf_dir).where("x < 4 and y < 4")
+    return corner.select("image_id", "x", "y", (F.col("g") / 200.0 - 0.1).alias("value"), F.lit(4).alias("mask_w"), F.lit(4).alias("mask_h"))
+
+
+def _triangle_sql(n_in: int, n_out: int) -> str:
+    ratio, scale = f"({n_in}.0::DOUBLE / {n_out})", f"greatest({n_in}.0::DOUBLE / {n_out}, 1)"
+    return f"""kt AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, i, greatest(0.0::DOUBLE, 1 - abs((i - ((o + 0.5::DOUBLE) * {ratio} - 0.5::DOUBLE)) / {scale})) AS w
+    FROM (SELECT unnest(range(0, {n_out})) AS o), (SELECT unnest(range(0, {n_in})) AS i)) WHERE w > 0)"""
 
 
-@register(f"""WITH {PX}, m AS (SELECT *, g / 200.0::DOUBLE - 0.1 AS v FROM px), s AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM m GROUP BY image_id)
-  SELECT image_id, x, y, r, g, b, CAST(round(greatest(0.0, least(1.0, CASE WHEN hi - lo <= 1e-6 THEN v ELSE (v - lo) / (hi - lo) END)) * 255) AS INT) AS a FROM m JOIN s USING (image_id)""")
+@register(f"""WITH {PX}, {_triangle_sql(4, 8)}, m AS (SELECT *, g / 200.0::DOUBLE - 0.1 AS v FROM px WHERE x < 4 AND y < 4), s AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM m GROUP BY image_id),
+  gray AS (SELECT image_id, x, y, CAST(round(greatest(0.0, least(1.0, CASE WHEN hi - lo <= 1e-6 THEN v ELSE (v - lo) / (hi - lo) END)) * 255) AS INT) AS a FROM m JOIN s USING (image_id)),
+  big AS (SELECT image_id, kx.o AS x, ky.o AS y, CAST(greatest(0, least(255, round(round(sum(kx.w * ky.w * a), 6)))) AS INT) AS a FROM gray JOIN kt kx ON kx.i = x JOIN kt ky ON ky.i = y GROUP BY image_id, kx.o, ky.o)
+  SELECT px.image_id, px.x, px.y, r, g, b, big.a FROM px JOIN big ON px.image_id = big.image_id AND px.x = big.x AND px.y = big.y""")
 def n_apply_mask(spark, sf_dir):
     return resample.apply_mask(*both(spark, sf_dir), _masks(spark, sf_dir))
 
 
-@register(f"""WITH {PX}, p AS (SELECT image_id, greatest(max(greatest(r, g, b)) / 255.0::DOUBLE, 1.1754943508222875e-38) AS peak FROM px GROUP BY image_id)
-  SELECT image_id, CAST(c AS INT) AS channel, y, x, (CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END / 255.0::DOUBLE / peak - [0.485, 0.456, 0.406][c + 1]) / [0.229, 0.224, 0.225][c + 1] AS value
-  FROM px JOIN p USING (image_id), (VALUES (0), (1), (2)) v(c)""")
+@register(f"""WITH {PX}, {_triangle_sql(8, 5)}, q AS (SELECT image_id, CAST(kx.o AS INT) AS x, CAST(ky.o AS INT) AS y, {", ".join(f"CAST(round(round(sum(kx.w * ky.w * {ch}), 6)) AS INT) AS {ch}" for ch in "rgb")} FROM px JOIN kt kx ON kx.i = x JOIN kt ky ON ky.i = y GROUP BY image_id, kx.o, ky.o),
+  p AS (SELECT image_id, greatest(max(greatest(r, g, b)) / 255.0::DOUBLE, 1.1754943508222875e-38) AS peak FROM q GROUP BY image_id)
+  SELECT image_id, CAST(c AS INT) AS channel, y, x, round((CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END / 255.0::DOUBLE / peak - [0.485, 0.456, 0.406][c + 1]) / [0.229, 0.224, 0.225][c + 1], 9) AS value
+  FROM q JOIN p USING (image_id), (VALUES (0), (1), (2)) v(c)""")
 def n_model_input(spark, sf_dir):
-    return resample.model_input(*both(spark, sf_dir), 8)
+    return resample.model_input(*both(spark, sf_dir), 5).withColumn("value", F.round("value", 9))
 
 
 @register(f"""WITH {PX}, k AS (SELECT image_id, x, y, CASE WHEN image_id % 3 = 0 THEN r // 85 * 85 ELSE r END AS r, CASE WHEN image_id % 3 = 0 THEN r // 85 * 85 ELSE g END AS g, CASE WHEN image_id % 3 = 0 THEN r // 85 * 85 ELSE b END AS b, CASE WHEN image_id % 2 = 0 THEN 255 ELSE a END AS a FROM px),
@@ -453,17 +548,17 @@ def l_for_each(spark, sf_dir):
     return lists.for_each(turns, "turns", 2).select("conv_id", "index", F.col("element.role").alias("role"))
 
 
-@register("SELECT n_nationkey, CAST(i AS INT) AS index, CAST(j AS INT) AS inner_index FROM nation, (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 2)) AS j) WHERE i < n_nationkey % 4")
+@register("SELECT o_orderkey, CAST(i AS INT) AS index, CAST(j AS INT) AS inner_index FROM orders, (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 2)) AS j) WHERE i < o_orderkey % 4")
 def l_repeat(spark, sf_dir):
-    once = lists.repeat(table(spark, sf_dir, "nation"), F.col("n_nationkey") % 4).drop("index")
+    once = lists.repeat(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("o_orderkey") % 4).drop("index")
     twice = lists.repeat(once, 2)
-    return twice.select("n_nationkey", F.get("iter_path", F.lit(0)).alias("index"), F.get("iter_path", F.lit(1)).alias("inner_index"))
+    return twice.select("o_orderkey", F.get("iter_path", F.lit(0)).alias("index"), F.get("iter_path", F.lit(1)).alias("inner_index"))
 
 
-@register("SELECT 0 AS branch, r_regionkey AS k, r_name AS v FROM region UNION ALL SELECT 1, n_nationkey, n_name FROM nation")
+@register("SELECT 0 AS branch, CAST(o_orderkey AS BIGINT) AS k, o_orderpriority AS v FROM orders UNION ALL SELECT 1, CAST(event_id AS BIGINT), event_type FROM events")
 def l_in_sequence(spark, sf_dir):
-    first = table(spark, sf_dir, "region").selectExpr("r_regionkey AS k", "r_name AS v")
-    second = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS k", "n_name AS v")
+    first = table(spark, sf_dir, "orders").selectExpr("cast(o_orderkey as bigint) AS k", "o_orderpriority AS v")
+    second = table(spark, sf_dir, "events").selectExpr("cast(event_id as bigint) AS k", "event_type AS v")
     return lists.in_sequence(first, second).select("branch", "k", "v")
 
 
@@ -502,12 +597,13 @@ def l_last_write(spark, sf_dir):
     return lists.last_write(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderpriority", "none")
 
 
-@register("SELECT n_nationkey, 'text' AS t, 2.0::DOUBLE AS n, true AS f, CAST(n_nationkey AS DOUBLE) AS as_number, CAST(n_nationkey AS VARCHAR) AS as_text, CAST(NULL AS DOUBLE) AS bad FROM nation")
+@register("SELECT o_orderkey, 'text' AS t, 2.0::DOUBLE AS n, true AS f, CAST(o_orderkey AS DOUBLE) AS as_number, CAST(o_orderkey AS VARCHAR) AS as_text, CAST(NULL AS DOUBLE) AS bad FROM orders")
 def l_literal_set(spark, sf_dir):
-    df = lists.literal(lists.literal(lists.literal(table(spark, sf_dir, "nation"), "t", "text"), "n", 2), "f", True)
-    df = lists.set_value(df, "as_number", F.col("n_nationkey"), "number")
-    df = lists.set_value(lists.set_value(df, "as_text", F.col("n_nationkey"), "text"), "bad", F.col("n_name"), "number")
-    return df.select("n_nationkey", "t", "n", "f", "as_number", "as_text", "bad")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    df = lists.literal(lists.literal(lists.literal(orders, "t", "text"), "n", 2), "f", True)
+    df = lists.set_value(df, "as_number", F.col("o_orderkey"), "number")
+    df = lists.set_value(lists.set_value(df, "as_text", F.col("o_orderkey"), "text"), "bad", F.col("o_orderpriority"), "number")
+    return df.select("o_orderkey", "t", "n", "f", "as_number", "as_text", "bad")
 
 
 _NAMES = "CASE image_id % 4 WHEN 0 THEN 'ok name' WHEN 1 THEN '  ' WHEN 2 THEN 'tail ' ELSE 'a/b' END"
@@ -520,10 +616,10 @@ def l_rename(spark, sf_dir):
 
 
 @register(f"""WITH {IM}, n AS (SELECT image_id, 'rename' AS op, CASE WHEN image_id % 4 = 1 THEN 'ok' ELSE 'failed' END AS status FROM im WHERE image_id % 4 > 0)
-  SELECT op, 'failed' AS status, CAST(count(*) FILTER (status = 'ok') AS INT) AS warnings, max(CASE WHEN status = 'failed' THEN 'invalid file name' END) AS error FROM n GROUP BY op""")
+  SELECT op, 'failed' AS status, count(*) FILTER (status = 'ok') AS warnings, max(CASE WHEN status = 'failed' THEN 'invalid file name' END) AS error FROM n GROUP BY op""")
 def l_run_report(spark, sf_dir):
     notes = lists.rename_outputs(emb_images(spark, sf_dir), F.expr(_NAMES))[1]
-    return lists.run_report(notes).select("op", "status", F.size("warnings").alias("warnings"), "error")
+    return lists.run_report(notes)[0].select("op", "status", "warnings", "error")
 
 
 # --- files
@@ -532,8 +628,8 @@ def l_run_report(spark, sf_dir):
 def _written(spark, sf_dir) -> tuple[str, DataFrame]:
     """The sprites as PNG files in a fresh folder of the shared store."""
     images, px = both(spark, sf_dir)
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
-    named = files.dedupe_names(files.name_outputs(images, folder)[0])
+    folder = new_folder(spark, "files")
+    named = files.dedupe_names(files.name_outputs(images, folder)[0])[0]
     return folder, files.write_images(named, px, folder)
 
 
@@ -563,7 +659,7 @@ def s_scan(spark, sf_dir):
 @register("""WITH n AS (SELECT p_partkey, p_name AS stem, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part) SELECT p_partkey, CASE WHEN k = 1 THEN stem || '.png' ELSE stem || ' (' || k || ').png' END AS file_name FROM n""")
 def s_dedupe_names(spark, sf_dir):
     named = table(spark, sf_dir, "part").select("p_partkey", F.lit("out").alias("directory"), F.concat("p_name", F.lit(".png")).alias("file_name"), F.col("p_partkey").alias("seq"))
-    return files.dedupe_names(named, overwrite=False).select("p_partkey", "file_name")
+    return files.dedupe_names(named.withColumn("image_id", F.col("seq")), overwrite=False)[0].select("p_partkey", "file_name")
 
 
 @register(f"""WITH {IM} SELECT image_id, {_FILE} AS file_name, 'out/' || {_FILE} AS path FROM im WHERE image_id % 7 <> 0""")
@@ -576,12 +672,12 @@ def s_name_outputs(spark, sf_dir):
 @register("""SELECT 'item' || item_id || '.txt' AS name, text, NULL AS container, octet_length(encode(text)) AS length FROM benchmark
   UNION ALL SELECT 'clip' || item_id || '.M4V', NULL, 'mp4', octet_length(encode(text)) FROM benchmark""")
 def s_texts_media(spark, sf_dir):
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "files")
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").cast("binary").alias("content"))
     name = lambda before, after: F.concat(F.lit(before), F.col("item_id").cast("string"), F.lit(after)).alias("file_name")
     spark.dataSource.register(files.Files)
     out = items.select(name("item", ".txt"), "content").union(items.select(name("clip", ".M4V"), "content"))
     out.union(items.limit(1).select(F.lit("bad.md").alias("file_name"), F.unhex(F.lit("FFFE")).alias("content"))).write.format("files").mode("append").option("path", folder).save()
     last = F.regexp_extract("path", r"([^/]*)$", 1).alias("name")
-    texts = files.scan_texts(spark, folder).select(last, "text", F.lit(None).cast("string").alias("container"), F.octet_length("text").cast("bigint").alias("length"))
+    texts = files.scan_texts(spark, folder)[0].select(last, "text", F.lit(None).cast("string").alias("container"), F.octet_length("text").cast("bigint").alias("length"))
     return texts.union(files.scan_media(spark, folder).select(last, F.lit(None).cast("string"), "container", "length"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,16 +14,25 @@ _written: dict[str, SparkSession] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new local one only where that setting is absent (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a new local one only where that setting is absent and so is a cluster (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the checkpoint folder; what is written there goes when the driver's interpreter ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the checkpoint folder and read it back.
 
@@ -29,17 +40,41 @@ def materialize(df: DataFrame) -> DataFrame:
     Tables are removed when the driver's interpreter ends.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = new_folder(spark, "tables")
     df.write.parquet(path)
-    _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch():
+    """Tables written inside go at its end, but for those that ``keep``, which it gives, has written.
+
+    A result that is kept is a table, so nothing reads the others afterwards.
+    """
+    before, kept = set(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        had = set(_written)
+        out = materialize(df)
+        kept.update(set(_written) - had)
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in set(_written) - before - kept:
+            _delete(path, _written.pop(path))
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 @atexit.register
 def _remove() -> None:
     for path, spark in _written.items():
         try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(path, spark)
         except Exception:  # the session is gone: nothing to remove with
             return

@@ -38,15 +38,20 @@ def path_id(path: Column) -> Column:
     return F.xxhash64(F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/"))
 
 
+def _missing(found: DataFrame, op: str) -> DataFrame:
+    """A failed note, without an image_id, if there is no row."""
+    none = found.agg(F.count("*").alias("n")).where("n = 0")
+    return note(none.select(F.lit(None).cast("bigint").alias(ID)), op, "failed", "no readable file")
+
+
 def _ordered(found: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
-    """Files by path components with ``seq``; beyond ``limit`` files are left out, with a note."""
-    parts = F.split("path", "/")
+    """Files by path components with ``seq``; notes tell of files beyond ``limit``, which are left out, and of no file at all."""
+    parts, notes = F.split("path", "/"), _missing(found, "scan")
     if limit is not None:
         total = found.count()
         found = found.orderBy(parts).limit(limit)
-        notes = note(found.limit(1), "scan", "ok", f"{total} files, the first {limit} are read") if total > limit else note(found.limit(0), "scan", "ok", "")
-    else:
-        notes = note(found.limit(0), "scan", "ok", "")
+        if total > limit:
+            notes = notes.union(note(found.limit(1), "scan", "ok", f"{total} files, the first {limit} are read"))
     return global_rank(found, [parts], "seq"), notes
 
 
@@ -57,10 +62,13 @@ def scan_images(spark: SparkSession, path: str | list[str], recursive: bool = Fa
     return _ordered(listed, limit)
 
 
-def scan_texts(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
-    """image_id, path, text of text files; those that aren't valid UTF-8 are left out."""
-    found = _listing(spark, path, recursive).where(extension(F.col("path")).isin(*TEXT_EXTENSIONS))
-    return found.where(F.is_valid_utf8(F.col("content").cast("string"))).select(path_id(F.col("path")).alias(ID), "path", F.col("content").cast("string").alias("text"))
+def scan_texts(spark: SparkSession, path: str | list[str], recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(image_id, path, text; notes) of text files. Notes tell of those that aren't valid UTF-8, which are left out, and of no text at all."""
+    found = _listing(spark, path, recursive).where(extension(F.col("path")).isin(*TEXT_EXTENSIONS)).withColumn(ID, path_id(F.col("path")))
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    texts = found.where(valid).select(ID, "path", F.col("content").cast("string").alias("text"))
+    skipped = note(found.where(~valid), "scan", "skipped", F.concat(F.lit("not UTF-8: "), F.col("path")))
+    return texts, skipped.union(_missing(found.where(valid).select(ID), "scan"))
 
 
 def scan_media(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
@@ -138,8 +146,8 @@ def _parts(name: Column) -> tuple[Column, Column]:
     return stem, F.substring(name, F.length(stem) + 1, F.length(name))
 
 
-def dedupe_names(named: DataFrame, existing: DataFrame | None = None, overwrite: bool = True) -> DataFrame:
-    """``named(directory, file_name, seq, ...)`` with the names that files get.
+def dedupe_names(named: DataFrame, existing: DataFrame | None = None, overwrite: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(``named(image_id, directory, file_name, seq, ...)`` with the names that files get; failed notes).
 
     ``overwrite``: the last writer of a name wins. Otherwise later ones become ``stem (2).ext`` and so on past
     ``existing(directory, file_name)`` too. Names that can meet share a stem without its `` (n)``; those
@@ -147,7 +155,7 @@ def dedupe_names(named: DataFrame, existing: DataFrame | None = None, overwrite:
     """
     if overwrite:
         last = Window.partitionBy("directory", "file_name").orderBy(F.desc("seq"))
-        return named.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+        return named.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n"), note(named.where("false"), "dedupe", "ok", "")
     stem, suffix = _parts(F.col("file_name"))
     root = F.regexp_replace(stem, r"( \([0-9]+\))+$", "")
     keyed = named.withColumns({"_stem": stem, "_suffix": suffix, "_root": root})
@@ -161,7 +169,7 @@ def dedupe_names(named: DataFrame, existing: DataFrame | None = None, overwrite:
     odd = natural.groupBy(*group).agg(F.bool_or("_odd").alias("_odd")).where("_odd").select(*group)
     plain = keyed.join(odd, group, "left_anti").withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("seq")))
     numbered = F.when(F.col("_n") == 1, F.col("file_name")).otherwise(F.concat("_stem", F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), "_suffix"))
-    simple = plain.where(F.col("_n") <= MOST_NAMES).withColumn("file_name", numbered).select(*named.columns)
+    simple = plain.withColumn("file_name", F.when(F.col("_n") <= MOST_NAMES, numbered)).select(*named.columns)
     columns = named.columns
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields]
 
@@ -175,10 +183,13 @@ def dedupe_names(named: DataFrame, existing: DataFrame | None = None, overwrite:
                 new = f"{stem_} ({n}){suffix_}"
             out.append(None if new in used else new)
             used.add(new)
-        return left.assign(file_name=out)[lambda d: d["file_name"].notna()][columns]
+        return left.assign(file_name=out)[columns]
 
     hard = keyed.join(odd, group, "left_semi").groupBy(*group).cogroup(others.groupBy(*group)).applyInPandas(resolve, ", ".join(fields))
-    return simple.union(hard.where("file_name is not null"))
+    renamed = simple.union(hard)
+    ok = F.coalesce(valid_file_name(F.col("file_name")), F.lit(False))
+    failed = note(renamed.where(~ok), "dedupe", "failed", F.coalesce(F.concat(F.lit("invalid file name: "), F.col("file_name")), F.lit("no name is free")))
+    return renamed.where(ok), failed
 
 
 def encode_png(images: DataFrame, pixels: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ from pixelmill.functions.args import ID
 from pixelmill.sources.files import decode_pixels, load_images, path_id
 
 
-def watch_images(spark: SparkSession, path: str) -> DataFrame:
-    """image_id and path of image files, as a stream over a directory."""
+def watch_images(spark: SparkSession, path: str, most: int = 1000) -> DataFrame:
+    """image_id and path of image files, as a stream over a directory, at most ``most`` files a micro-batch."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    found = spark.readStream.format("binaryFile").schema(schema).load(path)
+    found = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", most).schema(schema).load(path)
     return found.select(path_id(F.col("path")).alias(ID), "path", F.col("length").alias("byte_len"))
 
 
@@ -23,7 +23,7 @@ def process_images(files: DataFrame, tool: Callable[[DataFrame], DataFrame], sin
     """Decode each micro-batch's files, apply a pixel operator and hand the rows to an idempotent sink."""
 
     def step(batch: DataFrame, epoch: int) -> None:
-        paths = [r["path"] for r in batch.select("path").collect()]  # names of one micro-batch, bounded by maxFilesPerTrigger
+        paths = [r["path"] for r in batch.select("path").collect()]  # names of one micro-batch, bounded by ``most``
         if paths:
             sink(tool(decode_pixels(load_images(batch.sparkSession, paths))), epoch)
 

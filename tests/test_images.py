@@ -78,7 +78,9 @@ def brute_border(w, h, at, t, color):
 def test_border(spark, t):
     specs = [(4, 4, WHITE, {}), (7, 7, CLEAR, {(x, y): WHITE for x in range(2, 5) for y in range(2, 5)}), (5, 5, WHITE, {(2, 2): CLEAR}), (3, 3, CLEAR, {}), noise(9, 6, 1, 0.9)]
     images, px = grid(spark, *specs)
-    bigger, out = shapes.border(images, px, t, "#ff0000")
+    bigger, out, notes = shapes.border(images, px, t, "#ff0000")
+    clear = {r["image_id"] for r in px.groupBy("image_id").agg(F.max("a").alias("a")).where("a = 0").collect()}
+    assert {r["image_id"] for r in notes.collect()} == (clear if t else set(range(len(specs))))
     for i, (w, h, bg, at) in enumerate(specs):
         full = {(x, y): at.get((x, y), bg) for x in range(w) for y in range(h)}
         want, dims = brute_border(w, h, full, t, RED)
@@ -119,10 +121,11 @@ def spiral(n):
 
 
 @pytest.mark.parametrize("connectivity", [4, 8])
-def test_components(spark, connectivity):
+@pytest.mark.parametrize("most_runs", [shapes.MOST_RUNS, 30])
+def test_components(spark, connectivity, most_runs):
     specs = [spiral(21), noise(16, 12, 4, 0.45), noise(10, 10, 5, 0.7), (3, 3, CLEAR, {}), (4, 2, RED, {})]
     _, px = grid(spark, *specs)
-    found = shapes.component_pixels(px, shapes.label_components(px, "a <> 0", connectivity)).collect()
+    found = shapes.component_pixels(px, shapes.label_components(px, "a <> 0", connectivity, most_runs)).collect()
     for i, (w, h, bg, at) in enumerate(specs):
         full = {(x, y): at.get((x, y), bg) for x in range(w) for y in range(h)}
         assert {(r["x"], r["y"]): r["component"] for r in found if r["image_id"] == i} == brute_labels(full, connectivity == 8)
@@ -176,7 +179,7 @@ def test_resize(spark):
     got, source = cells(small, 2), cells(px, 2)
     assert got == {(x, y): source[int((x + 0.5) * 5 / 7), int((y + 0.5) * 3 / 2)] for x in range(7) for y in range(2)}
     _, _, notes = resample.upscale(images.withColumn("width", F.lit(100_000)), px, 1600)
-    assert notes.where("status = 'failed'").count() == 0
+    assert notes.where("status = 'failed'").count() == 2  # 1600000 x 32 fits, x 64 and x 48 don't
     too_large = resample.upscale(images.withColumns({"width": F.lit(9000), "height": F.lit(9000)}), px, 100)
     assert too_large[0].count() == 0 and too_large[2].where("status = 'failed'").count() == 3
     for name in resample.SUPPORT:
@@ -271,7 +274,13 @@ def test_files(spark, tmp_path):
     back = files.decode_pixels(loaded).join(info.select("image_id", F.substring("name_stem", 4, 1).cast("long").alias("n")), "image_id").drop("image_id").withColumnRenamed("n", "image_id").select(px.columns)
     want = px.where("image_id < 2")
     assert back.exceptAll(want).count() == 0 and want.exceptAll(back).count() == 0
-    assert [r["text"] for r in files.scan_texts(spark, folder).collect()] == ["héllo"]
+    texts, told = files.scan_texts(spark, folder)
+    assert [r["text"] for r in texts.collect()] == ["héllo"] and [r["status"] for r in told.collect()] == ["skipped"]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "v.mkv").write_bytes(b"1234")
+    for scan in (files.scan_images, files.scan_texts):
+        none, told = scan(spark, f"file://{tmp_path}/empty")
+        assert none.count() == 0 and [(r["image_id"], r["status"]) for r in told.collect()] == [(None, "failed")]
     assert files.read_text(spark, folder + "/b.md")[1].count() == 1
     assert [(r["container"], r["length"]) for r in files.scan_media(spark, folder).collect()] == [("mkv", 4)]
     before = spark.createDataFrame(files.product_manifest(spark, folder).where("name in ('pic0.png', 'pic1.png', 'a.txt')").collect())
@@ -281,15 +290,21 @@ def test_files(spark, tmp_path):
     assert status == {"pic0.png": "owned", "pic1.png": "edited", "a.txt": "missing", "junk.png": "foreign", "b.md": "foreign", "v.mkv": "foreign"}
 
 
-def test_dedupe_names(spark):
-    schema = "directory string, file_name string, seq long"
-    rows = [("d", n, i) for i, n in enumerate(["input.png", "input.png", "input (2).png", "b.png", "b.png", "input.jpg"])]
+def test_dedupe_names(spark, monkeypatch):
+    schema = "image_id long, directory string, file_name string, seq long"
+    rows = [(i, "d", n, i) for i, n in enumerate(["input.png", "input.png", "input (2).png", "b.png", "b.png", "input.jpg"])]
     named = spark.createDataFrame(rows, schema)
     there = spark.createDataFrame([("d", "b.png")], "directory string, file_name string")
-    got = {r["seq"]: r["file_name"] for r in files.dedupe_names(named, there, overwrite=False).collect()}
+    got = {r["seq"]: r["file_name"] for r in files.dedupe_names(named, there, overwrite=False)[0].collect()}
     assert got == {0: "input.png", 1: "input (2).png", 2: "input (2) (2).png", 3: "b (2).png", 4: "b (3).png", 5: "input.jpg"}
-    last = {r["file_name"]: r["seq"] for r in files.dedupe_names(named).collect()}
+    last = {r["file_name"]: r["seq"] for r in files.dedupe_names(named)[0].collect()}
     assert last["input.png"] == 1 and len(last) == 4
+    monkeypatch.setattr(files, "MOST_NAMES", 2)
+    long = "x" * 236 + ".png"  # valid, but not with a number
+    many = spark.createDataFrame([(i, "d", n, i) for i, n in enumerate(["a.png"] * 4 + ["b (2).png"] + ["b.png"] * 3 + [long] * 2)], schema)
+    kept, failed = files.dedupe_names(many, overwrite=False)
+    assert {r["image_id"] for r in kept.collect()} == {0, 1, 4, 5, 8}
+    assert {r["image_id"]: r["message"][:7] for r in failed.where("status = 'failed'").collect()} == {2: "no name", 3: "no name", 6: "no name", 7: "no name", 9: "invalid"}
 
 
 def test_stream(spark, tmp_path):
@@ -307,3 +322,103 @@ def test_stream(spark, tmp_path):
 
 def test_registry():
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_border_notes(spark):
+    images, px = grid(spark, (3, 3, RED, {}), (3, 3, CLEAR, {}), (3, 3, RED, {}))
+    assert {r["image_id"]: r["message"][:9] for r in shapes.border(images, px, F.col("image_id"), "#000000")[2].collect()} == {0: "thickness", 1: "the image"}
+    assert {r["image_id"]: r["message"][:10] for r in shapes.border(images, px, 1, "transparent")[2].collect()} == {0: "the colour", 1: "the image ", 2: "the colour"}
+
+
+def test_run_report(spark):
+    rows = [(i, "crop", 0, "ok", "small" if i % 2 else "", 5) for i in range(6)] + [(9, "crop", 1, "failed", "bad", 2), (9, "crop", 0, "failed", "worse", None), (1, "flip", 0, "skipped", "none", 1), (2, "flip", 0, "ok", None, None)]
+    report, warnings = lists.run_report(spark.createDataFrame(rows, "image_id long, op string, seq int, status string, message string, elapsed_ms long"))
+    assert {tuple(r) for r in report.collect()} == {("crop", 32, "failed", 3, "bad"), ("flip", 1, "skipped", 1, None)}
+    assert {tuple(r) for r in warnings.collect()} == {("crop", "small", 3), ("flip", "none", 1)}
+
+
+def mean(cells_, at):
+    n = sum(cells_[c] for c in at)
+    return tuple((sum(c[k] * cells_[c] for c in at) + n // 2) // n for k in range(len(at[0])))
+
+
+def brute_cut(cells_, target):
+    """Median cut by lists of colours: cells_ has counts by colour."""
+    boxes = [sorted(cells_)]
+    while len(boxes) < target:
+        best, worth = None, -1
+        for i, box in enumerate(boxes):
+            wide = max(max(c[k] for c in box) - min(c[k] for c in box) for k in range(len(box[0])))
+            if len(box) > 1 and wide * sum(cells_[c] for c in box) >= worth:
+                best, worth = i, wide * sum(cells_[c] for c in box)
+        if best is None:
+            break
+        box = boxes[best]
+        boxes[best] = boxes[-1]
+        boxes.pop()
+        spans = [max(c[k] for c in box) - min(c[k] for c in box) for k in range(len(box[0]))]
+        axis = max(range(len(spans)), key=lambda k: (spans[k], k))
+        box = sorted(box, key=lambda c: c[axis])
+        half, run, cut = sum(cells_[c] for c in box), 0, 0
+        while 2 * run < half:
+            run, cut = run + cells_[box[cut]], cut + 1
+        cut = max(1, min(cut, len(box) - 1))
+        boxes += [box[:cut], box[cut:]]
+    return boxes
+
+
+def counted(px):
+    out = {}
+    for r in px.collect():
+        image = out.setdefault(r["image_id"], {})
+        key = (r["r"], r["g"], r["b"], r["a"])
+        image[key] = image.get(key, 0) + 1
+    return out
+
+
+def test_median_cut_and_quantize_by_brute_force(spark):
+    """Both registered queries over all of their images."""
+    folder = "/root/testdata/sf0.001"
+    images = counted(queries.emb_pixels(spark, folder))
+    got = {}
+    for r in queries.QUERIES["a_palette_median_cut"](spark, folder).collect():
+        got.setdefault(r["image_id"], []).append((r["rank"], (r["r"], r["g"], r["b"]), r["weight"]))
+    changed = {(r["image_id"], r["x"], r["y"]): (r["r"], r["g"], r["b"], r["a"]) for r in queries.QUERIES["a_quantize"](spark, folder).collect()}
+    source = {(r["image_id"], r["x"], r["y"]): (r["r"], r["g"], r["b"], r["a"]) for r in queries.emb_pixels(spark, folder).collect()}
+    maps = {}
+    for i, cells_ in images.items():
+        seen = {c: n for c, n in cells_.items() if c[3]}
+        want = sorted(((mean(seen, b)[:3], sum(seen[c] for c in b)) for b in brute_cut(seen, 4)), key=lambda x: -x[1])
+        assert [(c, w) for _, c, w in sorted(got.pop(i, []))] == want
+        maps[i] = {c: mean(cells_, b) for b in brute_cut(cells_, 8) for c in b} if len(cells_) > 8 else {c: c for c in cells_}
+    assert not got and changed == {k: maps[k[0]][v] for k, v in source.items()}
+
+
+@pytest.mark.parametrize("query", ["a_palette_kmeans", "a_palette_kmedoids"])
+def test_clusters_are_settled(spark, query):
+    """What the registered queries return can't be bettered by a step of the algorithm, on any of their images."""
+    folder = "/root/testdata/sf0.001"
+    images, got = counted(queries.emb_pixels(spark, folder)), {}
+    for r in queries.QUERIES[query](spark, folder).collect():
+        got.setdefault(r["image_id"], []).append((r["r"], r["g"], r["b"]))
+    shown = {i: {} for i in images}
+    for i, cells_ in images.items():
+        for c, n in cells_.items():
+            if c[3]:
+                shown[i][c[:3]] = shown[i].get(c[:3], 0) + n
+    assert set(got) == {i for i, c in shown.items() if c}
+    for i, centres in got.items():
+        colors, weights = np.array(list(shown[i])), np.array(list(shown[i].values()), float)
+        points, near = palettes.to_oklab(colors).astype(float), palettes.to_oklab(np.array(centres)).astype(float)
+        assert len(centres) == min(4, len(colors))
+        away = ((points[:, None] - near[None]) ** 2).sum(2)
+        at = away.argmin(1)
+        for k, centre in enumerate(centres):
+            mine = at == k
+            assert mine.any()
+            if query.endswith("medoids"):
+                inside = ((points[mine][:, None] - points[mine][None]) ** 2).sum(2) @ weights[mine]
+                assert tuple(centre) in {tuple(c) for c in colors[mine]} and away[mine, k] @ weights[mine] <= inside.min() * (1 + 1e-4) + 1e-7
+            else:
+                rgb = palettes.from_oklab((points[mine] * weights[mine][:, None]).sum(0, keepdims=True) / weights[mine].sum())
+                assert abs(rgb[0] - np.array(centre)).max() <= 2

@@ -74,3 +74,9 @@ def test_params(spark):
         sc.param_integer(p, "a", 1).alias("a"), sc.param_number(p, "b", 5).alias("b"), sc.param_bool(p, "c", False).alias("c"), sc.param_text(p, "d", "x").alias("d"), sc.param_bool(p, "e", True).alias("e"), sc.param_number(p, "z", 9).alias("z"), sc.param_bool(p, "z", True).alias("f")
     ).first()
     assert list(row) == [4, 1.0, True, "x", False, 9.0, True]
+    rows = ['{"k": "true"}', '{"k": "2"}', '{"k": "[a]"}', '{"k": [1]}', '{"k": null}', '{"k": 2.5}', '{"k": false}', '{"k": " YES "}', '{"k": {"a": 1}}', "{}", "no json", '{"k": 1e400}', '{"k": 12345678901234567890}']
+    assert values(spark, lambda p: sc.param_number(p, "k", 7), rows, "string")[:11] == [7.0, 2.0, 7.0, 7.0, 7.0, 2.5, 0.0, 7.0, 7.0, 7.0, 7.0]
+    assert values(spark, lambda p: sc.param_bool(p, "k", False), rows, "string")[:11] == [True, False, False, False, False, True, False, True, False, False, False]
+    assert values(spark, lambda p: sc.param_bool(p, "k", True), rows, "string")[3:5] == [True, True]
+    assert values(spark, lambda p: sc.param_text(p, "k", "x"), rows, "string")[:11] == ["true", "2", "[a]", "x", "x", "2.5", "false", " YES ", "x", "x", "x"]
+    assert values(spark, lambda p: sc.param_number(p, "k", 7), rows, "string")[12] == 12345678901234567890.0
