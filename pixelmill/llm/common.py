@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +63,29 @@ def hash_sample(df: DataFrame, rows: int, most: int, ties: list[str]) -> DataFra
     """
     share = F.col("_h") / float(1 << 64) + 0.5
     return df.where(share * rows <= 1.5 * most + 50).orderBy("_h", *ties).limit(most)
+
+
+BITS = 1 << 25  # of a set of ids that tasks know: 4 MB, however many ids there are
+
+
+def bit_of(key: Column, bits: int = BITS) -> Column:
+    """The bit of a key in ``id_bits``."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    return F.bitmap_bucket_number(place) * (8 * _BITMAP) + F.bitmap_bit_position(place)
+
+
+_BITMAP = 4096  # bytes of Spark's bitmaps
+
+
+def id_bits(ids: DataFrame, key: str, bits: int = BITS) -> np.ndarray:
+    """A bitmap of the hashes of ``ids``, to keep most other rows in the scan; an exact join follows it."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    made = ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((bits // (8 * _BITMAP) + 2, _BITMAP), np.uint8)
+    for r in made.collect():  # of one size, set by ``bits``
+        out[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def has_bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

@@ -63,33 +63,41 @@ class WuManber:
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct (pattern, item): the items' word windows, shorter items whole; items without words have none."""
+    """Distinct (pattern, item): the items' word windows, shorter items whole; items without words have none.
+    Rows without item_id are one item, whose name is null."""
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    ws = benchmark.select(F.col("item_id").cast("string").alias("item"), F.array_remove(F.split(lowered, SEPARATORS), "").alias("ws")).where("size(ws) > 0 and item is not null")
+    ws = benchmark.select(F.col("item_id").cast("string").alias("item"), F.array_remove(F.split(lowered, SEPARATORS), "").alias("ws")).where("size(ws) > 0")
     starts = ws.select("item", "ws", F.explode(F.sequence(F.lit(1), F.greatest(F.size("ws") - window + 1, F.lit(1)))).alias("i"))
     return starts.select("item", F.array_join(F.slice("ws", F.col("i"), window), " ").alias("pattern")).distinct()
 
 
-def _search(patterns: list[tuple[bytes, str]], text: str, fields: list[str], schema: pa.Schema):
-    """A mapInArrow function that adds hits of these patterns to what earlier blocks of patterns found."""
-    by_length: dict[int, dict[bytes, list[str]]] = defaultdict(lambda: defaultdict(list))
+FIELDS = "n_words bigint, hit_spans array<struct<start:int,stop:int>>, hit_items array<string>"
+
+
+def _search(patterns: list[tuple[bytes, str | None]], made: list[str], every: bool):
+    """A mapInArrow function over rows that end in ``_text``: the other columns and what these patterns find; rows
+    with hits alone unless ``every``."""
+    by_length: dict[int, dict[bytes, list[str | None]]] = defaultdict(lambda: defaultdict(list))
     for pattern, item in patterns:
         by_length[pattern.count(b" ") + 1][pattern].append(item)
     plain = {n: dict(found) for n, found in by_length.items()}
+    types = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string())]
 
     def run(batches):
         tables = [WuManber(n, found) for n, found in plain.items()]
         for batch in batches:
-            counts, spans, items = [], [], []
-            had = [batch.column(c).to_pylist() if c in batch.schema.names else None for c in fields[1:]]
-            for k, value in enumerate(batch.column(text).to_pylist()):
-                ws = split_words(value.encode() if isinstance(value, str) else value)
+            rows, counts, spans, items = [], [], [], []
+            for k, value in enumerate(batch.column("_text").to_pylist()):
+                ws = split_words(value)
                 hits = [(s, t.length, i) for t in tables for s, i in t.find(ws)]
-                counts.append(len(ws))
-                spans.append(sorted({(s, s + n) for s, n, _ in hits} | {(x["start"], x["stop"]) for x in (had[0][k] if had[0] else [])}))
-                items.append(sorted({x for _, _, i in hits for x in i} | set(had[1][k] if had[1] else [])))
-            made = dict(zip(fields, (counts, [[{"start": a, "stop": b} for a, b in s] for s in spans], items), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name) for f in schema], schema=schema)
+                if hits or every:
+                    rows.append(k)
+                    counts.append(len(ws))
+                    spans.append([{"start": a, "stop": b} for a, b in sorted({(s, s + n) for s, n, _ in hits})])
+                    items.append(sorted({x for _, _, i in hits for x in i}, key=lambda x: (x is None, x or "")))
+            at = pa.array(rows, pa.int64())
+            kept = [batch.column(c).take(at) for c in batch.schema.names if c != "_text"]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip((counts, spans, items), types, strict=True))], names=[*(c for c in batch.schema.names if c != "_text"), *made])
 
     return run
 
@@ -97,25 +105,38 @@ def _search(patterns: list[tuple[bytes, str]], text: str, fields: list[str], sch
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_pairs: int = MAX_PAIRS, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with its word count, hit spans and the items found.
 
-    Adds ``n_words``, ``hit_spans`` (array of start, stop in words), ``hit_items`` (sorted strings). Patterns
-    are counted first; beyond ``max_pairs`` they are split by hash into blocks of that size, and each block
-    scans the documents once more, with a written table between blocks. Null texts have no words; an empty
-    benchmark hits nothing; repeated rows are searched each; clashing columns of ``docs`` are replaced.
+    Adds ``n_words``, ``hit_spans`` (array of start, stop in words), ``hit_items`` (sorted strings; null, last, for
+    benchmark rows without item_id). Patterns are counted first. Beyond ``max_pairs`` they are split by hash into
+    blocks of that size: rows are numbered and written once, each block scans the texts and gives the rows that it
+    hits, and hits of all blocks meet by row. Null texts have no words; an empty benchmark hits nothing, an empty
+    table gives no rows; repeated rows are searched each; clashing columns of ``docs`` are replaced.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    fields = ["n_words", "hit_spans", "hit_items"]
+    made = ["n_words", "hit_spans", "hit_items"]
     pairs = materialize(windows(benchmark, window))
     blocks = max(1, -(-pairs.count() // max_pairs))
-    out = keep_columns(docs, fields)
+    keep = keep_columns(docs, made)
+    # columns travel by number, so that no name of theirs can clash
+    row = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep.columns)]
+    narrow = docs.select(*row, F.col(f"`{text}`").cast("binary").alias("_text"))
+    named = [F.col(f"c{i}").alias(c) for i, c in enumerate(keep.columns)]
+
+    def chosen(k: int) -> list[tuple[bytes, str | None]]:
+        some = pairs.where(F.pmod(F.xxhash64("pattern", "item"), F.lit(blocks)) == k).select("pattern", "item").collect()
+        return [(r["pattern"].encode(), r["item"]) for r in some]
+
+    if blocks == 1:
+        return narrow.mapInArrow(_search(chosen(0), made, True), added(narrow.drop("_text").schema, FIELDS)).select(*named, *made)
+    numbered = materialize(narrow.withColumn("_n", F.monotonically_increasing_id()))
+    found = None
     for k in range(blocks):
-        chosen = pairs.where(F.pmod(F.xxhash64("pattern", "item"), F.lit(blocks)) == k).select("pattern", "item").collect()
-        base = out.schema if k else added(out.schema, "n_words bigint, hit_spans array<struct<start:int,stop:int>>, hit_items array<string>")
-        search = _search([(r["pattern"].encode(), r["item"]) for r in chosen], text, fields, to_arrow_schema(base))
-        out = out.mapInArrow(search, base)
-        if k < blocks - 1:
-            out = materialize(out)
-    return out
+        hits = numbered.select("_n", "_text").mapInArrow(_search(chosen(k), made, k == 0), "_n bigint, " + FIELDS)
+        found = hits if found is None else found.union(hits)
+    merged = materialize(
+        found.groupBy("_n").agg(
+            F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_spans")))).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items")
+        )
+    )
+    return numbered.join(merged, "_n").select(*named, *made)
 
 
 def hit_words(spans) -> F.Column:

@@ -174,7 +174,8 @@ def identify(docs: DataFrame, net: ByteConvNet | None, keep: tuple[str, ...] = (
     """``keep`` with ``lang_pred`` and ``score`` of every whole text.
 
     A text that is null or has no letter is ``und`` with score 0; without a trained net every text is. Each
-    row is judged alone; windows of many texts are scored together, however long one of them is.
+    row is judged alone, repeated ones alike; windows of many texts are scored together, however long one of them
+    is. An empty table gives no rows; clashing columns of ``docs`` give way to the ones made here.
     """
     narrow = keep_columns(docs, ["lang_pred", "score"]).select(*keep, F.col("text").cast("binary").alias("_text"))
 

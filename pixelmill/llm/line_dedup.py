@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import ship
+from pixelmill.llm.common import added, bit_of, has_bit, id_bits, ship
 from pixelmill.plans.graph import connected_components
 from pixelmill.plans.storage import materialize
 
@@ -20,13 +20,15 @@ ship(__name__)
 class Config:
     """Lines of ``least`` characters or more link at ``edits`` or fewer edits; shorter ones when equal.
 
-    ``block`` members of a bucket are compared in one task; ``sent`` line ids at most are broadcast.
+    ``block`` members of a bucket are compared in one task; larger buckets are cut by a further segment, ``levels``
+    times at most; ``bits`` is the size of the filter that spares most lines the join with candidate ids.
     """
 
     edits: int = 2
     least: int = 20
     block: int = 1024
-    sent: int = 4_000_000
+    levels: int = 6
+    bits: int = 1 << 25
 
 
 def segments(length: int, parts: int) -> list[tuple[int, int]]:
@@ -113,22 +115,54 @@ def _flush(columns: list[list], types: list[pa.DataType], names: list[str]) -> p
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def line_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no and a 64-bit id of each line with a word."""
+def line_ids(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, line_no and a 64-bit id of each line with a word."""
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            doc, no, ids = [], [], []
-            for d, text in zip(b.column("doc_id").to_pylist(), b.column("_text").to_pylist(), strict=True):
+            row, no, ids = [], [], []
+            for k, text in enumerate(b.column("_text").to_pylist()):
                 for i, line in _lines(text):
-                    doc.append(d)
+                    row.append(k)
                     no.append(i)
                     ids.append(xxh64_intdigest(line))
-            yield _flush([doc, no, np.array(ids, np.uint64).view(np.int64)], [pa.int64(), pa.int32(), pa.int64()], ["doc_id", "line_no", "line_id"])
+            at = pa.array(row, pa.int64())
+            made = [pa.array(no, pa.int32()), pa.array(np.array(ids, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keep), *made], names=[*keep, "line_no", "line_id"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("_text")).mapInArrow(run, "doc_id bigint, line_no int, line_id bigint")
+    narrow = docs.select(*keep, F.col("text").cast("binary").alias("_text"))
+    return narrow.mapInArrow(run, added(narrow.drop("_text").schema, "line_no int, line_id bigint"))
+
+
+class Plans:
+    """Where a line of each length has segments of its own and substrings to look up: (seed, start, end) of either."""
+
+    def __init__(self, edits: int):
+        self.edits, self.known = edits, {}
+
+    def of(self, n: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        if n not in self.known:
+            own = [(n * 64 + i, s, s + k) for i, (s, k) in enumerate(segments(n, self.edits + 1))]
+            self.known[n] = own, [(o * 64 + i, s, s + k) for o, i, s, k in probes(n, self.edits)]
+        return self.known[n]
+
+    def keys(self, line: str, base: int = 0):
+        """(key, start, end, own) of every segment and lookup, once a key and place."""
+        from xxhash import xxh64_intdigest
+
+        own, look = self.of(len(line))
+        mine = {(xxh64_intdigest(line[s:e], seed ^ base), s, e) for seed, s, e in own}
+        yield from ((*x, True) for x in mine)
+        yield from ((*x, False) for x in {(xxh64_intdigest(line[s:e], seed ^ base), s, e) for seed, s, e in look} - mine)
+
+
+SIGNATURE = ["key", "line_id", "indexed"]
+
+
+def _signature_batch(keys: list[int], ids, own: list[bool]) -> pa.RecordBatch:
+    return _flush([np.array(keys, np.uint64).view(np.int64), ids, own], [pa.int64(), pa.int64(), pa.bool_()], SIGNATURE)
 
 
 def signatures(docs: DataFrame, config: Config) -> DataFrame:
@@ -137,7 +171,7 @@ def signatures(docs: DataFrame, config: Config) -> DataFrame:
     def run(batches):
         from xxhash import xxh64_intdigest
 
-        plans: dict[int, tuple] = {}
+        plans = Plans(config.edits)
         for b in batches:
             seen: set[int] = set()
             keys, ids, own = [], [], []
@@ -150,26 +184,42 @@ def signatures(docs: DataFrame, config: Config) -> DataFrame:
                         continue
                     seen.add(x)
                     line = raw.decode("utf-8", "replace")
-                    n = len(line)
-                    if n < config.least:
+                    if len(line) < config.least:
                         continue
-                    if n not in plans:
-                        plans[n] = ([(n * 64 + i, s, s + k) for i, (s, k) in enumerate(segments(n, config.edits + 1))], [(o * 64 + i, s, s + k) for o, i, s, k in probes(n, config.edits)])
-                    index, probe = plans[n]
-                    mine = {xxh64_intdigest(line[s:e], seed) for seed, s, e in index}
-                    look = {xxh64_intdigest(line[s:e], seed) for seed, s, e in probe} - mine
-                    keys += mine
-                    keys += look
-                    own += [True] * len(mine) + [False] * len(look)
-                    ids += [x] * (len(mine) + len(look))
+                    found = {}
+                    for key, _, _, mine in plans.keys(line):
+                        found[key] = found.get(key, False) or mine
+                    keys += found
+                    own += found.values()
+                    ids += [x] * len(found)
                 if len(keys) > 200_000:
-                    yield _flush([np.array(keys, np.uint64).view(np.int64), np.array(ids, np.uint64).view(np.int64), own], [pa.int64(), pa.int64(), pa.bool_()], ["key", "line_id", "indexed"])
+                    yield _signature_batch(keys, np.array(ids, np.uint64).view(np.int64), own)
                     keys, ids, own = [], [], []
-            yield _flush([np.array(keys, np.uint64).view(np.int64), np.array(ids, np.uint64).view(np.int64), own], [pa.int64(), pa.int64(), pa.bool_()], ["key", "line_id", "indexed"])
+            yield _signature_batch(keys, np.array(ids, np.uint64).view(np.int64), own)
 
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key bigint, line_id bigint, indexed boolean")
 
 
+def matched(rests: DataFrame, config: Config) -> DataFrame:
+    """``rests(base, line_id, rest)`` -> (key, base, line_id, rest, start, stop, indexed): the places of all its keys."""
+
+    def run(batches):
+        plans = Plans(config.edits)
+        for b in batches:
+            bases, ids, rests_ = (b.column(c).to_pylist() for c in ("base", "line_id", "rest"))
+            row, out = [], []
+            for i, (base, rest) in enumerate(zip(bases, rests_, strict=True)):
+                for found in plans.keys(rest, base % (1 << 64)):
+                    row.append(i)
+                    out.append(found)
+            keys, starts, stops, own = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [], [])
+            at = pa.array(row, pa.int64())
+            made = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(own, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([made[0], *(b.column(c).take(at) for c in ("base", "line_id", "rest")), *made[1:]], names=["key", "base", "line_id", "rest", "start", "stop", "indexed"])
+
+    return rests.mapInArrow(run, "key bigint, base bigint, line_id bigint, rest string, start int, stop int, indexed boolean")
+
+
 def _buckets(block: int):
     """mapInArrow over rows sorted by (key, line_id): the blocks of buckets with two lines or more.
 
@@ -259,75 +309,101 @@ def _verify(edits: int):
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame, config: Config) -> DataFrame:
-    """(line_id, line) of the wanted ids: filtered in the scan while they are few, by a join beyond that."""
-    ids = None
-    if wanted.count() <= config.sent:
-        ids = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.toLocalIterator()], np.int64)))
+    """(line_id, line) of the wanted ids. A bitmap of their hashes, of a set size, keeps most others in the scan."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_bits(wanted, "line_id", config.bits))
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
-        keep = ids.value if ids is not None else None
         for b in batches:
-            lines, seen = {}, []
+            lines: dict[int, bytes] = {}
             for text in b.column(0).to_pylist():
                 for _, line in _lines(text):
                     if len(line) >= config.least:
                         lines.setdefault(xxh64_intdigest(line), line)
-            seen = np.array(list(lines), np.uint64).view(np.int64)
-            chosen = np.isin(seen, keep) if keep is not None else np.ones(len(seen), bool)
-            texts = [t.decode("utf-8", "replace") for t, c in zip(lines.values(), chosen, strict=True) if c]
-            yield _flush([seen[chosen], texts], [pa.int64(), pa.string()], ["line_id", "line"])
+            ids = np.array(list(lines), np.uint64).view(np.int64)
+            yield _flush([ids, list(lines.values())], [pa.int64(), pa.binary()], ["line_id", "line"])
 
-    found = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "line_id bigint, line string")
-    if ids is None:
-        found = found.join(wanted, "line_id", "left_semi")
-    return found.groupBy("line_id").agg(F.min("line").alias("line"))
+    def filtered(batches):
+        for b in batches:
+            b = b.filter(pa.array(has_bit(shared.value, b.column("at").to_numpy())))
+            yield _flush([b.column("line_id"), [t.decode("utf-8", "replace") for t in b.column("line").to_pylist()]], [pa.int64(), pa.string()], ["line_id", "line"])
+
+    every = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "line_id bigint, line binary")
+    likely = every.select("line_id", "line", bit_of(F.col("line_id"), config.bits).alias("at")).mapInArrow(filtered, "line_id bigint, line string")
+    return likely.join(wanted, "line_id", "left_semi").groupBy("line_id").agg(F.min("line").alias("line"))
 
 
 def line_links(docs: DataFrame, config: Config) -> DataFrame:
-    """Links (a, b) between line ids; their components are those of all pairs within the edit distance."""
-    signed = signatures(docs, config).repartition("key").sortWithinPartitions("key", "line_id")
-    buckets = materialize(signed.mapInArrow(_buckets(config.block), "key bigint, block int, line_id bigint, blocks int"))
-    large = buckets.where("blocks > 1").select("key", "blocks")
-    # a bucket's members meet once; of a large one, every two blocks meet
-    small = buckets.where("block = 0").join(large.select("key"), "key", "left_anti").select(F.xxhash64("key").alias("group"), "line_id")
-    pairs = buckets.drop("blocks").join(large, "key").select("key", "block", "line_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    wide = pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "line_id")
+    """Links (a, b) between line ids; their components are those of all pairs within the edit distance.
+
+    A bucket's members meet once, in one task. Those of a bucket beyond ``block`` lines share a segment; without it,
+    what is left of two of them is within the edit distance too, so it is cut into segments anew and dealt again,
+    within the bucket. What is still too large after ``levels`` cuts meets block by block.
+    """
+    signed, places, parts, texts = signatures(docs, config), None, [], None
+    for level in range(config.levels + 1):
+        dealt = signed.repartition("key").sortWithinPartitions("key", "line_id")
+        found = materialize(dealt.mapInArrow(_buckets(config.block), "key bigint, block int, line_id bigint, blocks int"))
+        large = materialize(found.where("blocks > 1").select("key", "blocks"))
+        parts.append(found.where("block = 0").join(large.select("key"), "key", "left_anti").select(F.xxhash64("key").alias("group"), "line_id"))
+        if large.isEmpty():
+            break
+        if level == config.levels:
+            pairs = found.drop("blocks").join(large, "key").select("key", "block", "line_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            parts.append(pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "line_id"))
+            break
+        if places is None:
+            texts = line_texts(docs, found.join(large, "key", "left_semi").select("line_id").distinct(), config)
+            places = matched(texts.select(F.lit(0).cast("bigint").alias("base"), "line_id", F.col("line").alias("rest")), config)
+        hot = places.join(large.select("key"), "key", "left_semi")
+        rest = F.concat(F.substring("rest", F.lit(1), F.col("start")), F.substring("rest", F.col("stop") + 1, F.length("rest")))
+        rests = materialize(hot.select(F.col("key").alias("base"), "line_id", rest.alias("rest")).distinct())
+        places = matched(rests, config)
+        signed = places.select("key", "line_id", "indexed")
     # buckets with the same lines say the same: one of them is enough
+    small = parts[0]
+    for p in parts[1:]:
+        small = small.union(p)
+    small = materialize(small.distinct())
     sets = small.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.xxhash64("line_id").cast("decimal(38,0)")).alias("s"), F.min("line_id").alias("m"))
     once = sets.groupBy("n", "s", "m").agg(F.min("group").alias("group")).select("group")
-    members = materialize(small.join(once, "group", "left_semi").union(wide).distinct())
+    members = materialize(small.join(once, "group", "left_semi"))
     texts = line_texts(docs, members.select("line_id").distinct(), config)
     met = members.join(texts, "line_id").repartition("group").sortWithinPartitions("group", "line_id")
     return met.mapInArrow(_verify(config.edits), "a bigint, b bigint").distinct()
 
 
-def line_classes(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """Every line with a word: doc_id, line_no, class_doc_id, class_line_no and duplicate.
+def line_classes(docs: DataFrame, config: Config = Config(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Every line with a word: ``keep``, line_no, class_doc_id, class_line_no and duplicate.
 
     A class holds equal lines and all that is reachable by links; it is named by its first line in order of
-    doc_id and line number, and every other line of it is a duplicate. Blank lines, null and empty texts give
-    no rows; a null doc_id orders first. Equal lines are one id throughout, so copies form no pairs.
+    doc_id and line number, and every other line of it is a duplicate: of lines that tie, as those of repeated rows
+    or of rows with one doc_id, one is first. Blank lines, null and empty texts give no rows, an empty table none at
+    all; a null doc_id orders first, and doc_id may be of any type. Equal lines are one id throughout, so copies form
+    no pairs. Other columns of ``docs`` play no part, whatever their names.
     """
-    lines = materialize(line_ids(docs))
-    first = lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    lines = materialize(line_ids(docs, keep).withColumn("_place", F.monotonically_increasing_id()))
+    first = lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no", "_place")).alias("first"))
     parts = connected_components(line_links(docs, config)).withColumnRenamed("node", "line_id")
-    rooted = first.join(parts, "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
-    least = rooted.groupBy("component").agg(F.min("first").alias("named"))
-    label = rooted.join(least, "component").select("line_id", "named")
+    rooted = materialize(first.join(parts, "line_id", "left").withColumn("component", F.coalesce("component", "line_id")))
+    # tables of their own, so that adaptive joins can split a frequent line or a large class
+    least = materialize(rooted.groupBy("component").agg(F.min("first").alias("named")))
+    label = materialize(rooted.join(least, "component").select("line_id", "named"))
     return lines.join(label, "line_id").select(
-        "doc_id",
-        "line_no",
-        F.col("named.doc_id").alias("class_doc_id"),
-        F.col("named.line_no").alias("class_line_no"),
-        (~(F.col("doc_id").eqNullSafe(F.col("named.doc_id")) & (F.col("line_no") == F.col("named.line_no")))).alias("duplicate"),
+        *keep, "line_no", F.col("named.doc_id").alias("class_doc_id"), F.col("named.line_no").alias("class_line_no"), (F.col("_place") != F.col("named._place")).alias("duplicate")
     )
 
 
 def deduplicate(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """``docs`` with the duplicate lines taken out of their texts; other columns unchanged."""
-    gone = line_classes(docs, config).where("duplicate").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i))
-    met = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    return met.withColumn("text", F.array_join(kept, "\n")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with the duplicate lines taken out of their texts; other columns unchanged, whatever their names.
+
+    Rows are numbered and written once, so that a line goes from the row that has it, however often a doc_id
+    occurs. Null texts stay null.
+    """
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    numbered = materialize(docs.select("doc_id", "text", row.alias("row"), F.monotonically_increasing_id().alias("n")))
+    gone = materialize(line_classes(numbered, config, ("doc_id", "n")).where("duplicate").groupBy("n").agg(F.collect_set("line_no").alias("gone")))
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
+    out = [F.array_join(kept, "\n").alias(c) if c == "text" else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return numbered.join(gone, "n", "left").select(*out)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import LOWER, added, hash_sample, keep_columns, ship
+from pixelmill.llm.common import LOWER, added, hash_sample, ship
 from pixelmill.llm.langid import fold
 from pixelmill.plans.storage import materialize
 
@@ -24,23 +26,35 @@ MOST = np.float32(60)  # logits above this would overflow a float32 sum
 
 @dataclass(frozen=True)
 class Config:
-    """``vocab`` words have probabilities of their own; ``dictionary`` words (of up to ``longest`` bytes) travel
-    to every task with their counts, which bounds what is broadcast; the counts of all others are joined."""
+    """The ``vocab`` most frequent words have probabilities of their own; all others share ``bands`` by frequency and
+    enter the net by one of ``buckets``, so every word of the corpus has a place, however many there are.
+
+    ``dictionary`` words (of up to ``longest`` bytes) travel to every task with their counts, which bounds what is
+    broadcast; the counts of all others are joined. A shard of about ``shard`` words trains one copy of the net in
+    each of ``rounds``; the net starts from ``warm`` runs of words.
+    """
 
     vocab: int = 1024
     classes: int = 32
+    bands: int = 16
+    buckets: int = 1024
     hidden: int = 16
     window: int = 16
     dictionary: int = 200_000
     longest: int = 64
-    warm_docs: int = 256
-    warm_words: int = 256
-    train_every: int = 8
-    train_windows: int = 8
-    streams: int = 256
+    warm: int = 1024
+    warm_turns: int = 4
+    shard: int = 4_000_000
+    rounds: int = 2
+    run_windows: int = 8
+    streams: int = 1024
     rate: float = 0.01
     seed: int = 5
 
+    @property
+    def run(self) -> int:
+        return self.window * self.run_windows
+
 
 def split_words(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER).split() if text else []
@@ -49,32 +63,35 @@ def split_words(text: bytes | None) -> list[bytes]:
 class Gru:
     """One-hot GRU with a softmax factored into classes: P(class | state) P(word | class, state).
 
-    Word 0 is the end of a text, which also starts one; the last word stands for all words outside the
-    vocabulary and is a class alone. Words are sorted by frequency and cut into equal classes.
+    A word's code is its rank in the vocabulary or, beyond it, ``vocab + bucket * bands + band``. Code 0 is the end
+    of a text, which also starts one. Vocabulary words are sorted by frequency and cut into equal classes; a band is
+    a class alone, whose words are told apart by their counts outside the net.
     """
 
     def __init__(self, config: Config, params: dict[str, np.ndarray]):
         self.config, self.p = config, params
         self.size = config.vocab // config.classes
-        self.unknown = config.vocab
-        self.of = np.r_[np.arange(config.vocab) // self.size, config.classes].astype(np.int16)
+        codes, v = np.arange(config.vocab + config.bands * config.buckets), config.vocab
+        self.input = np.where(codes < v, codes, v + (codes - v) // config.bands).astype(np.int16)
+        self.group = np.where(codes < v, codes // self.size, config.classes + (codes - v) % config.bands).astype(np.int16)
+        self.place = np.where(codes < v, codes % self.size, 0).astype(np.int16)
 
     @classmethod
     def new(cls, config: Config, counts: np.ndarray) -> Gru:
-        """counts: of vocab + 1 words; the softmax starts from their frequencies."""
+        """counts: of the vocabulary's words, then of the bands; the softmax starts from their frequencies."""
         rng, h, c = np.random.default_rng(config.seed), config.hidden, config.classes
         net = cls(config, {})
-        log = np.log(np.maximum(counts, 0.5)).astype(np.float32)
-        mass = np.log(np.maximum(np.r_[counts[:-1].reshape(c, -1).sum(1), counts[-1]], 0.5))
+        log = np.log(np.maximum(counts, 0.5)).astype(np.float32)[: config.vocab].reshape(c, -1)
+        mass = np.log(np.maximum(np.r_[counts[: config.vocab].reshape(c, -1).sum(1), counts[config.vocab :]], 0.5))
         small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         net.p = {
-            "x": small(config.vocab + 1, 3 * h),
+            "x": small(config.vocab + config.buckets, 3 * h),
             "u": small(h, 3 * h) + np.tile(np.eye(h, dtype=np.float32) * 0.3, 3),
             "b": np.zeros(h, np.float32),
-            "c": small(h, c + 1),
+            "c": small(h, c + config.bands),
             "cb": (mass - mass.max()).astype(np.float32),
             "w": small(c, h, net.size),
-            "wb": log[:-1].reshape(c, -1) - log[:-1].reshape(c, -1).max(1, keepdims=True),
+            "wb": log - log.max(1, keepdims=True),
         }
         return net
 
@@ -90,73 +107,83 @@ class Gru:
         c = np.tanh(x[:, 2 * n :] + r * a)
         return c + z * (h - c), z, r, a, c
 
-    def log_probs(self, states: np.ndarray, words: np.ndarray, back: bool = False):
-        """Natural log P(word | state) of each row; with ``back`` also gradients of their negative sum."""
-        p, k = self.p, self.of[words]
+    def log_probs(self, states: np.ndarray, codes: np.ndarray, back: bool = False):
+        """Natural log P(code | state) of each row; with ``back`` also gradients of their negative sum."""
+        p, k = self.p, self.group[codes]
+        order = np.argsort(k, kind="stable")
+        states, k, y = states[order], k[order], self.place[codes[order]]  # rows of a class lie together
+        cut = np.searchsorted(k, np.arange(self.config.classes + 1))
+        rows = np.arange(len(k))
         z = states @ p["c"] + p["cb"]
         np.minimum(z, MOST, out=z)
         e = np.exp(z)
-        s = e @ np.ones((e.shape[1], 1), np.float32)
-        rows = np.arange(len(words))
-        out = z[rows, k] - np.log(s[:, 0])
-        order = np.argsort(k, kind="stable")
-        cut = np.searchsorted(k[order], np.arange(self.config.classes + 1))
+        s = e @ np.ones(e.shape[1], e.dtype)
+        found = z[rows, k] - np.log(s)
         grads = None
         if back:
-            e /= s
+            e /= s[:, None]
             e[rows, k] -= 1
             dh = e @ p["c"].T
             grads = {"c": states.T @ e, "cb": e.sum(0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
+        ones = np.ones(self.size, states.dtype)
         for i in range(self.config.classes):
-            at = order[cut[i] : cut[i + 1]]
-            if not len(at):
+            at = slice(cut[i], cut[i + 1])
+            if cut[i] == cut[i + 1]:
                 continue
-            y, h, j = words[at] - i * self.size, states[at], np.arange(len(at))
+            h, j = states[at], (np.arange(cut[i + 1] - cut[i]), y[at])
             z = h @ p["w"][i] + p["wb"][i]
             np.minimum(z, MOST, out=z)
             e = np.exp(z)
-            s = e @ np.ones(e.shape[1], np.float32)
-            out[at] += z[j, y] - np.log(s)
+            s = e @ ones
+            found[at] += z[j] - np.log(s)
             if back:
                 e /= s[:, None]
-                e[j, y] -= 1
+                e[j] -= 1
                 dh[at] += e @ p["w"][i].T
                 grads["w"][i], grads["wb"][i] = h.T @ e, e.sum(0)
-        return (out, dh, grads) if back else out
+        out = np.empty_like(found)
+        out[order] = found
+        if not back:
+            return out
+        down = np.empty_like(dh)
+        down[order] = dh
+        return out, down, grads
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural log-likelihood of whole texts (word ids, the end last); state runs through all windows."""
+        """Natural log-likelihood of whole texts (codes, the end last); state runs through all windows."""
         lengths = np.array([len(t) for t in texts])
         order, total, t = np.argsort(-lengths, kind="stable"), np.zeros(len(texts)), self.config.window
         sorted_lengths = lengths[order]
-        stream = np.concatenate([*(texts[i] for i in order), np.full(t, self.unknown, np.int32)])
-        start = np.cumsum(sorted_lengths) - sorted_lengths
+        stream = np.concatenate([*(texts[i] for i in order), np.zeros(t, np.int16)])
+        inputs, start = self.input[stream], np.cumsum(sorted_lengths) - sorted_lengths
         h = np.zeros((len(texts), self.config.hidden), np.float32)
         last = np.zeros(len(texts), np.int64)
         for at in range(0, int(lengths.max(initial=0)), t):
             live = int(np.searchsorted(-sorted_lengths, -at, side="left"))
-            ids = stream[(start[:live] + at)[:, None] + np.arange(t)]  # past a text's end: of no account
+            where = (start[:live] + at)[:, None] + np.arange(t)  # past a text's end: of no account
+            ids = inputs[where]
             x = self.p["x"][np.c_[last[:live], ids[:, :-1]].T]
             states, h = np.empty((t, live, self.config.hidden), np.float32), h[:live]
             for k in range(t):
                 h = self.step(x[k], h)[0]
                 states[k] = h
             inside = np.arange(t)[:, None] < sorted_lengths[None, :live] - at
-            lp = self.log_probs(states[inside], ids.T[inside])
+            lp = self.log_probs(states[inside], stream[where].T[inside])
             total += np.bincount(order[np.nonzero(inside)[1]], lp, len(texts))
             last = ids[:, -1]
         return total
 
-    def train(self, streams, adam: Adam) -> None:
-        """Truncated backpropagation: ``streams`` yields (ids (n, windows * window + 1), mask) and state runs on."""
+    def train(self, batches, adam: Adam) -> None:
+        """Truncated backpropagation: ``batches`` yields (codes (n, run + 1), mask) and state runs on along a run."""
         t, n = self.config.window, self.config.hidden
-        for ids, known in streams:
-            h = np.zeros((len(ids), n), np.float32)
-            for at in range(0, ids.shape[1] - 1, t):
-                src, dst, inside = ids[:, at : at + t].T, ids[:, at + 1 : at + t + 1].T, known[:, at + 1 : at + t + 1].T
+        for codes, known in batches:
+            inputs = self.input[codes]
+            h = np.zeros((len(codes), n), self.p["b"].dtype)
+            for at in range(0, codes.shape[1] - 1, t):
+                src, dst, inside = inputs[:, at : at + t].T, codes[:, at + 1 : at + t + 1].T, known[:, at + 1 : at + t + 1].T
                 if not inside.any():
                     break
-                x, kept, states = self.p["x"][src], [], np.empty((len(src), len(ids), n), np.float32)
+                x, kept, states = self.p["x"][src], [], np.empty((len(src), len(codes), n), h.dtype)
                 for k in range(len(src)):
                     before = h
                     h, z, r, a, c = self.step(x[k], before)
@@ -165,36 +192,44 @@ class Gru:
                 _, dh, grads = self.log_probs(states[inside], dst[inside], back=True)
                 down = np.zeros_like(states)
                 down[inside] = dh
-                gates, du, db, carry = np.empty_like(x), np.zeros_like(self.p["u"]), np.zeros(n, np.float32), 0
+                gates, du, db, carry = np.empty_like(x), np.zeros_like(self.p["u"]), np.zeros(n, h.dtype), 0
                 for k in range(len(src) - 1, -1, -1):
                     before, z, r, a, c = kept[k]
                     d = down[k] + carry
                     dc = d * (1 - z) * (1 - c * c)
-                    dz = d * (before - c) * z * (1 - z)
-                    dr = dc * a * r * (1 - r)
-                    gates[k] = np.concatenate([dz, dr, dc], 1)
-                    inner = np.concatenate([dz, dr, dc * r], 1)
+                    gate = gates[k]
+                    gate[:, :n] = d * (before - c) * z * (1 - z)
+                    gate[:, n : 2 * n] = dc * a * r * (1 - r)
+                    gate[:, 2 * n :] = dc
+                    inner = gate.copy()
+                    inner[:, 2 * n :] *= r
                     du += before.T @ inner
-                    db += (dc * r).sum(0)
+                    db += inner[:, 2 * n :].sum(0)
                     carry = d * z + inner @ self.p["u"].T
-                gx = np.zeros_like(self.p["x"])
-                np.add.at(gx, src.ravel(), gates.reshape(-1, 3 * n))
-                count = np.float32(inside.sum())
-                adam.step(self.p, {"x": gx, "u": du, "b": db, **grads}, count)
+                order = np.argsort(src.ravel(), kind="stable")
+                ids = src.ravel()[order]
+                first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+                gx = np.add.reduceat(gates.reshape(-1, 3 * n)[order], first, axis=0)
+                adam.step(self.p, {"u": du, "b": db, **grads}, float(inside.sum()), {"x": (ids[first], gx)})
 
 
 class Adam:
+    """Steps by gradients of sums over ``count`` words; of ``sparse`` ones, rows that the batch has move."""
+
     def __init__(self, rate: float):
         self.rate, self.t, self.m, self.v = rate, 0, {}, {}
 
-    def step(self, params: dict, grads: dict, count: float) -> None:
+    def step(self, params: dict, grads: dict, count: float, sparse: dict) -> None:
         self.t += 1
-        fix = math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-        for k, g in grads.items():
-            g = np.clip(g / count, -1, 1)
-            m = self.m[k] = 0.9 * self.m.get(k, 0) + 0.1 * g
-            v = self.v[k] = 0.999 * self.v.get(k, 0) + 0.001 * g * g
-            params[k] = params[k] - self.rate * fix * m / (np.sqrt(v) + 1e-8)
+        fix = self.rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        for k, g in [*grads.items(), *sparse.items()]:
+            at, g = g if k in sparse else (slice(None), g)
+            if k not in self.m:
+                self.m[k], self.v[k] = np.zeros_like(params[k]), np.zeros_like(params[k])
+            g = np.clip(g / np.float32(count), -1, 1)
+            m = self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * g
+            v = self.v[k][at] = 0.999 * self.v[k][at] + 0.001 * g * g
+            params[k][at] -= fix * m / (np.sqrt(v) + 1e-8)
 
 
 def flat(params: dict[str, np.ndarray]) -> np.ndarray:
@@ -241,148 +276,234 @@ def frequent(counts: DataFrame, config: Config) -> list[tuple[bytes, int]]:
 
 @dataclass
 class Lexicon:
-    """What every task knows: ids of frequent words, their counts, the corpus totals."""
+    """What every task knows: codes of frequent words, their counts, the corpus totals.
+
+    ``band_mass`` is the sum of count + 1 over a band's words; the last band has all words outside the dictionary,
+    those that training never saw included.
+    """
 
-    index: dict[bytes, int]
-    logs: np.ndarray  # log10(count + 1) by index; 0 is END
-    vocab: int
+    index: dict[bytes, int]  # place among the frequent words; 0 is END
+    codes: np.ndarray
+    logs: np.ndarray  # log10(count + 1)
+    fixed: np.ndarray  # log10 probability within the band, 0 for vocabulary words
+    rare_mass: float
     total: int
     distinct: int
-    spared: float  # share of the base model's mass outside the vocabulary
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-
-
-def training_streams(texts, lexicon: Lexicon, config: Config):
-    """Runs of windows out of every text: each ``train_every``-th run, at least one of a text."""
-    t = config.window * config.train_windows
-    rows = []
-
-    def pack():
-        ids = np.full((len(rows), t + 1), config.vocab, np.int64)
-        known = np.zeros((len(rows), t + 1), bool)
-        for i, r in enumerate(rows):
-            ids[i, : len(r)], known[i, : len(r)] = r, True
-        return ids, known
-
-    for n, text in enumerate(texts):
-        ws = [END, *split_words(text), END]
-        runs = -(-(len(ws) - 1) // t)
-        for run in range(n % min(config.train_every, runs), runs, config.train_every):
-            ids = lexicon.ids(ws[run * t : run * t + t + 1])
-            rows.append(np.where((ids < 0) | (ids >= config.vocab), config.vocab, ids))
-            if len(rows) == config.streams:
-                yield pack()
-                rows.clear()
-    if rows:
-        yield pack()
-
-
-def fit(docs: DataFrame, config: Config = Config()) -> tuple[Gru, Lexicon, DataFrame]:
-    """Counts over all of ``docs``, and a net that has trained on runs of every one: each ``train_every``-th, at least one.
-
-    The driver starts the net on a passage of each of ``warm_docs`` texts (a bounded sample), so that all
-    tasks leave from one basin; then each task trains a copy on its own texts, and the copies are averaged
-    by the words they saw. The averaging is a Spark aggregate over weight positions.
+
+    @classmethod
+    def of(cls, top: list[tuple[bytes, int]], total: int, distinct: int, config: Config) -> Lexicon:
+        """``top``: END, then words by falling count; those beyond the vocabulary are cut into bands of about equal mass."""
+        n, v = np.array([c for _, c in top], np.float64) + 1, config.vocab
+        mass = np.cumsum(n[v:])
+        band = np.minimum((mass - n[v:]) / max(mass[-1] if len(mass) else 1, 1) * (config.bands - 1), config.bands - 2).astype(np.int64)
+        bucket = np.array([crc32(w) % config.buckets for w, _ in top[v:]], np.int64)
+        codes = np.r_[np.arange(min(len(n), v)), v + bucket * config.bands + band].astype(np.int16)
+        fixed = np.r_[np.zeros(min(len(n), v)), np.log10(n[v:] / np.maximum(np.bincount(band, n[v:], config.bands), 1)[band])]
+        return cls({w: i for i, (w, _) in enumerate(top)}, codes, np.log10(n), fixed, max(total + distinct + 1 - float(n.sum()), 1.0), total, distinct)
+
+    def masses(self, config: Config) -> np.ndarray:
+        """Counts of the vocabulary's words, then of the bands."""
+        n, v = 10**self.logs, config.vocab
+        bands = np.bincount((self.codes[v:] - v) % config.bands, n[v:], config.bands)
+        bands[-1] = self.rare_mass
+        return np.r_[n[:v], np.zeros(max(v - len(n), 0)), bands]
+
+
+def encode(docs: DataFrame, lexicon: Lexicon, config: Config, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` with the codes (16 bits each) of every whole text and what the counts of its words add up to.
+
+    seen, sums and fixed are of the dictionary's words; ``rare`` has the others with their ``times``. A null text
+    is empty: one token, its end.
     """
-    spark = docs.sparkSession
-    counts = materialize(count_words(docs))
-    total, distinct, ends = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.octet_length("word") == 0, F.col("n")))).first()
-    total, ends = int(total or 0), int(ends or 0)
-    top = [(END, ends), *frequent(counts, config)]
-    known = np.array([n for _, n in top], np.float64)
-    inside = known[: config.vocab]
-    spared = 1 - float((inside + 1).sum()) / (total + distinct + 1)
-    lexicon = Lexicon({w: i for i, (w, _) in enumerate(top)}, np.log10(known + 1), config.vocab, total, distinct, max(spared, 1e-12))
-    net = Gru.new(config, np.r_[inside, np.zeros(config.vocab - len(inside)), max(total - inside.sum(), 0)])
-    if not total:
-        return net, lexicon, counts
-    first = lambda ws, h: (F.pmod(h, F.greatest(F.size(ws) - config.warm_words, F.lit(0)) + 1) + 1).cast("int")
-    passages = docs.where("text is not null").select(F.xxhash64(F.lit(config.seed), "doc_id").alias("_h"), F.split("text", r"[\x20\x09-\x0D]+").alias("ws"))
-    passage = F.array_join(F.slice("ws", first(F.col("ws"), F.col("_h")), config.warm_words), " ")
-    warm = hash_sample(passages, docs.count(), config.warm_docs, ["ws"]).select(F.substring(passage, 1, 16 * config.warm_words).cast("binary").alias("t")).collect()
-    for _ in range(4):
-        net.train(training_streams([bytes(r["t"]) for r in warm], lexicon, config), Adam(config.rate))
-    shared, like = spark.sparkContext.broadcast((vars(lexicon), net.p)), net.p
+    shared = docs.sparkSession.sparkContext.broadcast(vars(lexicon))  # plain values: executors have no copy of the class
+    made = ["n_tokens", "seen", "sums", "fixed", "n_rare", "rare", "times", "codes"]
+    narrow = docs.select(*keep, F.col("text").cast("binary").alias("_text"))
 
     def run(batches):
-        known, params = shared.value
-        lex = Lexicon(**known)
-        own, adam, words = Gru(config, {k: v.copy() for k, v in params.items()}), Adam(config.rate / 2), 0
+        lex = Lexicon(**shared.value)
+        index, last = lex.index, config.bands - 1
         for b in batches:
-            texts = b.column(0).to_pylist()
-            words += sum(len(x) for x in texts if x)
-            own.train(training_streams(texts, lex, config), adam)
-        if words:
-            yield pa.RecordBatch.from_arrays([pa.array([flat(own.p).tolist()], pa.list_(pa.float32())), pa.array([float(words)])], names=["weights", "share"])
-
-    copies = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "weights array<float>, share double")
-    at = copies.select("share", F.posexplode("weights").alias("at", "w"))
-    mean = at.groupBy("at").agg((F.sum(F.col("w") * F.col("share")) / F.sum("share")).alias("w")).collect()
-    if mean:
-        values = np.empty(len(mean), np.float64)
-        for r in mean:
-            values[r["at"]] = r["w"]
-        net = Gru(config, unflat(values.round(5), like))
-    return net, lexicon, counts
-
-
-def score(docs: DataFrame, net: Gru, lexicon: Lexicon, counts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` with n_tokens, n_known, base_score and score of every whole text.
-
-    Words of the dictionary are counted where the text is; the others leave as (word, times in this text) and
-    meet their counts in a join, then sum up by text. Such words are rare in the corpus, so no join key is
-    hot but one that training never saw, whose partition an adaptive join splits. A null text is empty: it has
-    one token, its end. Repeated rows are scored each.
+            rows: list[list] = [[] for _ in made]
+            for text in b.column("_text").to_pylist():
+                ws = [*split_words(text), END]
+                found = np.fromiter(map(index.get, ws, repeat(-1)), np.int64, len(ws))
+                known = found >= 0
+                codes, odd = lex.codes[found], {}
+                if not known.all():
+                    at = np.flatnonzero(~known).tolist()
+                    codes[at] = [config.vocab + crc32(ws[i]) % config.buckets * config.bands + last for i in at]
+                    odd = Counter(ws[i] for i in at)
+                inside = found[known]
+                values = (len(ws), len(inside), float(lex.logs[inside].sum()), float(lex.fixed[inside].sum()), len(ws) - len(inside), list(odd), list(odd.values()), codes.tobytes())
+                for column, value in zip(rows, values, strict=True):
+                    column.append(value)
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(rows, types, strict=True))], names=[*keep, *made])
+
+    fields = "n_tokens bigint, seen bigint, sums double, fixed double, n_rare bigint, rare array<binary>, times array<int>, codes binary"
+    return narrow.mapInArrow(run, added(narrow.drop("_text").schema, fields))
+
+
+def runs(encoded: DataFrame, shards: int, config: Config) -> DataFrame:
+    """(shard, turn, place, codes): every run of words of every text, each with the word before it.
+
+    Where a run goes and when it is its turn comes from a hash of its text, doc_id and place, not from the tasks.
     """
-    spark, config = docs.sparkSession, net.config
-    shared = spark.sparkContext.broadcast((vars(lexicon), net.p))  # plain values: executors have no copy of the class
-    base = math.log10(lexicon.total + lexicon.distinct + 1)
-    narrow = keep_columns(docs, ["n_tokens", "n_known", "base_score", "score"]).select(*keep, F.col("text").cast("binary").alias("_text"))
 
     def run(batches):
-        known, params = shared.value
-        lex, own = Lexicon(**known), Gru(config, params)
+        t = config.run
         for b in batches:
-            texts = b.column("_text").to_pylist()
-            tokens, seen, sums, rest, unknown, ids, rare, times = [], [], [], [], [], [], [], []
-            for text in texts:
-                ws = split_words(text)
-                found = np.r_[lex.ids(ws), 0]
-                logs = np.where(found >= 0, lex.logs[found], 0.0)
-                out = (found < 0) | (found >= config.vocab)
-                odd = Counter(w for w, i in zip(ws, found.tolist(), strict=False) if i < 0)
-                tokens.append(len(found))
-                seen.append(int((found >= 0).sum()))
-                sums.append(float(logs.sum()))
-                rest.append(float(logs[out].sum()))
-                unknown.append(int(out.sum()))
-                rare.append(list(odd))
-                times.append(list(odd.values()))
-                ids.append(np.where(out, config.vocab, found).astype(np.int32))
-            lp = np.concatenate([own.score(ids[i : i + 8192]) for i in range(0, len(ids), 8192)]) / math.log(10) if ids else np.zeros(0)
-            made = [pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(lp + np.array(rest), pa.float64()), pa.array(unknown, pa.int64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], names=[*keep, "n_tokens", "seen", "sums", "net", "unknown", "rare", "times"])
-
-    fields = "n_tokens bigint, seen bigint, sums double, net double, unknown bigint, rare array<binary>, times array<int>"
-    rows = materialize(narrow.mapInArrow(run, added(narrow.drop("_text").schema, fields)).withColumn("_row", F.monotonically_increasing_id()))
-    odd = rows.where("size(rare) > 0").select("_row", F.explode(F.arrays_zip("rare", "times")).alias("o")).select("_row", F.col("o.rare").alias("word"), F.col("o.times").alias("times"))
-    met = odd.join(counts, "word")
-    late = met.groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("late"), F.sum("times").alias("found"))
-    whole = rows.drop("rare", "times").join(late, "_row", "left").withColumn("late", F.coalesce("late", F.lit(0.0)))
+            row, at, out = [], [], []
+            for i, raw in enumerate(b.column("codes").to_pylist()):
+                codes = np.frombuffer(b"\0\0" + raw, np.int16)
+                for k in range(0, len(codes) - 1, t):
+                    row.append(i)
+                    at.append(k)
+                    out.append(codes[k : k + t + 1].tobytes())
+                if len(out) > 20_000 or i == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([b.column("_h").take(pa.array(row, pa.int64())), pa.array(at, pa.int64()), pa.array(out, pa.binary())], names=["_h", "at", "codes"])
+                    row, at, out = [], [], []
+
+    cut = encoded.select(F.xxhash64("codes", "doc_id").alias("_h"), "codes").mapInArrow(run, "_h bigint, at bigint, codes binary")
+    place = F.xxhash64(F.lit(config.seed), "_h", "at")
+    turn = F.pmod(F.xxhash64(place), F.lit(config.rounds)).cast("int")
+    return cut.select(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), turn.alias("turn"), place.alias("place"), "codes")
+
+
+def batches(rows: list[bytes], config: Config):
+    """(codes, mask) of some runs at a time."""
+    for at in range(0, len(rows), config.streams):
+        some = [np.frombuffer(r, np.int16) for r in rows[at : at + config.streams]]
+        codes, known = np.zeros((len(some), config.run + 1), np.int16), np.zeros((len(some), config.run + 1), bool)
+        for i, r in enumerate(some):
+            codes[i, : len(r)], known[i, : len(r)] = r, True
+        yield codes, known
+
+
+PIECE = 4096  # weights that travel together
+
+
+def trained(rows: DataFrame, net: Gru, rate: float) -> Gru:
+    """Each shard trains a copy of the net on its ``rows`` in order of place; the copies' mean by words is returned.
+
+    A task adds up its shards' copies, and pieces of these sums meet by their number, so what moves is one net a
+    task. The mean is rounded, so that the order of sums doesn't show.
+    """
+    config, like = net.config, net.p
+    shared = rows.sparkSession.sparkContext.broadcast(like)
+
+    def run(batches_):
+        params, total, words = shared.value, None, 0
+
+        def shard(codes: list[bytes]) -> None:
+            nonlocal total, words
+            own, n = Gru(config, {k: v.copy() for k, v in params.items()}), sum(len(c) // 2 - 1 for c in codes)
+            own.train(batches(codes, config), Adam(rate))
+            weights = flat(own.p).astype(np.float64) * n
+            total, words = weights if total is None else total + weights, words + n
+
+        at, held = None, []
+        for b in batches_:
+            for s, codes in zip(b.column("shard").to_pylist(), b.column("codes").to_pylist(), strict=True):
+                if s != at and held:
+                    shard(held)
+                    held = []
+                at = s
+                held.append(codes)
+        if held:
+            shard(held)
+        if words:
+            pieces = [total[k : k + PIECE].tobytes() for k in range(0, len(total), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary()), pa.array([words] * len(pieces), pa.int64())], names=["piece", "weights", "words"])
+
+    def add(batches_):
+        found: dict[int, list] = {}
+        for b in batches_:
+            for piece, raw, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                value = np.frombuffer(raw, np.float64)
+                found[piece] = [found[piece][0] + value, found[piece][1] + n] if piece in found else [value, n]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v, _ in found.values()], pa.binary()), pa.array([n for _, n in found.values()], pa.int64())], names=["piece", "weights", "words"])
+
+    fields = "piece int, weights binary, words bigint"
+    dealt = rows.select("shard", "place", "codes").repartition("shard").sortWithinPartitions("shard", "place", "codes")
+    mean = sorted(dealt.mapInArrow(run, fields).repartition("piece").mapInArrow(add, fields).collect(), key=lambda r: r["piece"])  # one net
+    if not mean:
+        return net
+    return Gru(config, unflat(np.concatenate([np.frombuffer(r["weights"], np.float64) / r["words"] for r in mean]).round(5), like))
+
+
+def fit(docs: DataFrame, encoded: Callable[[Lexicon], DataFrame], config: Config = Config()) -> tuple[Gru, Lexicon, DataFrame, DataFrame]:
+    """Counts over all of ``docs``, and a net that has trained on every run of words of their texts.
+
+    ``encoded`` gives the table of ``encode`` with ``taught``, the rows to learn from. The driver starts the net on
+    ``warm`` runs, chosen by hash (a bounded start, not the training): so all shards leave from one basin. Then in
+    each round all shards train copies on their runs of that turn, and the copies are averaged by words.
+    """
+    counts = materialize(count_words(docs))
+    total, distinct, ends = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.octet_length("word") == 0, F.col("n")))).first()
+    total = int(total or 0)
+    lexicon = Lexicon.of([(END, int(ends or 0)), *frequent(counts, config)], total, distinct, config)
+    rows = materialize(encoded(lexicon))
+    net = Gru.new(config, lexicon.masses(config))
+    if total:
+        every = runs(rows.where("taught"), max(1, round(total / config.shard)), config)
+        warm = hash_sample(every.select(F.col("place").alias("_h"), "codes"), total // config.run, config.warm, ["codes"]).collect()
+        for _ in range(config.warm_turns):
+            net.train(batches([bytes(r["codes"]) for r in warm], config), Adam(config.rate))
+        net = Gru(config, unflat(flat(net.p).astype(np.float64).round(5), net.p))
+        for turn in range(config.rounds):
+            net = trained(every.where(F.col("turn") == turn), net, config.rate / (turn + 2))
+    return net, lexicon, counts, rows
+
+
+def score(rows: DataFrame, net: Gru, lexicon: Lexicon, counts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` with n_tokens, n_known, base_score and score of every row of ``encode``.
+
+    Words of the dictionary were counted where the text is; the others meet their counts in a join, then sum up by
+    row. Such words are rare in the corpus, so no join key is hot but one that training never saw, whose partition
+    an adaptive join splits. Repeated rows are scored each.
+    """
+    spark, config = rows.sparkSession, net.config
+    shared = spark.sparkContext.broadcast(net.p)
+    base = math.log10(lexicon.total + lexicon.distinct + 1)
+    small = ["n_tokens", "seen", "sums", "fixed", "n_rare"]
+
+    def run(batches_):
+        own = Gru(config, shared.value)
+        for b in batches_:
+            codes = [np.frombuffer(c, np.int16) for c in b.column("codes").to_pylist()]
+            lp = np.concatenate([own.score(codes[i : i + 8192]) for i in range(0, len(codes), 8192)]) / math.log(10) if codes else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lp)], names=[*keep, "_row", *small, "net"])
+
+    scored = rows.select(*keep, "_row", *small, "codes")
+    scored = scored.mapInArrow(run, added(scored.drop("codes").schema, "net double"))
+    odd = rows.where("n_rare > 0").select("_row", F.explode(F.arrays_zip("rare", "times")).alias("o")).select("_row", F.col("o.rare").alias("word"), F.col("o.times").alias("times"))
+    late = odd.join(counts, "word").groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("late"), F.sum("times").alias("found"))
+    whole = scored.join(late, "_row", "left").withColumn("late", F.coalesce("late", F.lit(0.0)))
     return whole.select(
         *keep,
         "n_tokens",
         (F.col("seen") + F.coalesce("found", F.lit(0))).alias("n_known"),
         (F.col("sums") + F.col("late") - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        (F.col("net") + F.col("late") - F.col("unknown") * F.lit(base + math.log10(lexicon.spared))).alias("score"),
+        (F.col("net") + F.col("fixed") + F.col("late") - F.col("n_rare") * F.lit(math.log10(lexicon.rare_mass))).alias("score"),
     )
 
 
+def fit_and_score(docs: DataFrame, taught: Column, config: Config = Config()) -> DataFrame:
+    """doc_id, taught, n_tokens, n_known, train_tokens, base_score and score of every document.
+
+    The model learns from the rows where ``taught`` holds, all of their words; every whole text is scored. Scores
+    don't depend on how rows lie in tasks. Null and empty texts have one token, their end; repeated rows are scored
+    each; an empty table gives no rows; columns of ``docs`` other than doc_id and text play no part, whatever their names.
+    """
+    narrow = docs.select("doc_id", "text", F.coalesce(taught, F.lit(False)).alias("taught"))
+    numbered = lambda lexicon: encode(narrow, lexicon, config, ("doc_id", "taught")).withColumn("_row", F.monotonically_increasing_id())
+    net, lexicon, counts, rows = fit(narrow.where("taught"), numbered, config)
+    return score(rows, net, lexicon, counts, ("doc_id", "taught")).withColumn("train_tokens", F.lit(lexicon.total).cast("long"))
+
+
 def report(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     held = fold(F.col("doc_id"), 7) == 2
-    net, lexicon, counts = fit(docs.where(~held), config)
-    scored = score(docs, net, lexicon, counts)
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(lexicon.total).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = fit_and_score(docs, ~held, config)
+    return scored.select("doc_id", (~F.col("taught")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

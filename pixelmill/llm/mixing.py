@@ -13,8 +13,8 @@ WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), (3, 2), 2, 23
 
 
 def uniform(key: Column, seed: int) -> Column:
-    """A number in [0, 1) from 52 bits of an MD5 of seed and key; null keys share one draw."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
+    """A number in [0, 1) from 52 bits of an MD5 of seed and key."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -49,28 +49,41 @@ def mix_counts(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ("doc_
     """``keep``, source, size, source_size, target and ``copies`` of every document.
 
     copies = floor(rate) + 1 with the probability of the rate's fraction, drawn from a hash of doc_id, so a
-    rerun agrees. Null texts have size 0; null sources are one source; a source without words has target 0.
+    rerun agrees; rows without doc_id draw by their texts. Null texts have size 0; null sources are one source; a
+    source without words has target 0. Repeated rows draw alike; an empty table gives no rows; columns of ``docs``
+    that aren't in ``keep`` play no part, whatever their names.
     """
-    sized = materialize(docs.select(*keep, *([] if "source" in keep else ["source"]), F.size(words(F.col("text"))).cast("long").alias("size")))
-    targets = source_targets(sized, **more).withColumnRenamed("source", "_source")
-    met = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    counted = materialize(sized(docs, tuple(dict.fromkeys((*keep, "source"))), seed))
+    return with_copies(counted, counted, **more).select(*keep, *([] if "source" in keep else ["source"]), "size", "source_size", "target", "copies")
+
+
+def sized(docs: DataFrame, keep: tuple[str, ...], seed: int) -> DataFrame:
+    draw = uniform(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit(""))))), seed)
+    return docs.select(*keep, F.size(words(F.col("text"))).cast("long").alias("size"), draw.alias("_draw"))
+
+
+def with_copies(rows: DataFrame, sizes: DataFrame, **more) -> DataFrame:
+    """``rows`` of ``sized`` with source_size, target and copies, by the totals of ``sizes``."""
+    targets = source_targets(sizes, **more).withColumnRenamed("source", "_source")
+    met = rows.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = uniform(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")
-    return met.withColumn("_rate", rate).withColumn("copies", (F.floor("_rate") + extra.cast("int")).cast("long")).drop("_rate")
+    extra = F.col("_draw") < F.col("_rate") - F.floor("_rate")
+    return met.withColumn("_rate", rate).withColumn("copies", (F.floor("_rate") + extra.cast("int")).cast("long")).drop("_rate", "_draw")
 
 
-def mix(docs: DataFrame, **more) -> DataFrame:
-    """The mixed documents themselves: every row as often as its copies say, columns unchanged."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    whole = docs.select("doc_id", "source", "text", F.struct(*columns).alias("_row"))
-    counted = mix_counts(whole, keep=("doc_id", "source", "_row"), **more)
-    return counted.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
+def mix(docs: DataFrame, seed: int = SEED, **more) -> DataFrame:
+    """The mixed documents themselves: every row as often as its copies say, columns unchanged, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    sizes = sized(docs.select("doc_id", "source", "text"), ("source",), seed)
+    counted = with_copies(sized(docs.select("doc_id", "source", "text", row.alias("_row")), ("source", "_row"), seed), sizes, **more)
+    out = [F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return counted.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*out)
 
 
 # DuckDB: water filling in closed form; sources sorted by size per weight are capped up to some point
 ORACLE = rf"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS key, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS weight
@@ -86,10 +99,10 @@ WITH d AS (
   SELECT s.source, source_size, CASE WHEN weight * num > 4 * source_size * rest THEN CAST(2 * source_size AS DOUBLE)
     ELSE CAST(weight * num AS DOUBLE) / CAST(2 * rest AS DOUBLE) END AS target FROM s, f
 ), r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+  SELECT d.doc_id, d.key, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN
-  CAST(CAST('0x' || substr(md5('{SEED}:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(CAST('0x' || substr(md5('{SEED}:' || key), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r
 """

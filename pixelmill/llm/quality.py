@@ -133,9 +133,10 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base_rules:
         return let(names, lambda n: F.struct(*counts, F.exists(n, lambda x: x.isin(*base)).alias("base_failed"), (F.size(n) == 0).alias("kept"), n.alias("failed_rules")))
 
     # one struct binds the counts once, so that a filter on a verdict, pushed below the projection, counts once too
-    counted = keep_columns(docs, ["_q"]).withColumn("_q", let(metrics(F.col(f"`{text}`")), judged))
-    out = [F.col(f"`{c}`") for c in keep_columns(docs, [*made, "_q"]).columns]
-    return counted.select(*out, *[F.col(f"_q.{k}").alias(k) for k in made])
+    q = "_q" + "_" * max(len(c) for c in docs.columns)  # no column has this name
+    counted = docs.withColumn(q, let(metrics(F.col(f"`{text}`")), judged))
+    out = [F.col(f"`{c}`") for c in keep_columns(docs, made).columns]
+    return counted.select(*out, *[F.col(f"{q}.{k}").alias(k) for k in made])
 
 
 # DuckDB: the same over the table documents (doc_id unique)

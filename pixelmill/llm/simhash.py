@@ -13,7 +13,7 @@ from pixelmill.llm import near
 from pixelmill.llm.common import keep_columns, ship
 from pixelmill.llm.near import hash_runs
 from pixelmill.plans.graph import connected_components
-from pixelmill.plans.storage import materialize
+from pixelmill.plans.storage import materialize, scratch
 
 ship(__name__)
 
@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, bucket: int = BUC
 
     component_id is the smallest doc_id reachable by links of ``distance`` bits. Texts without words have
     fingerprint 0 and link like any other; copies share one fingerprint, which is searched once. A component
-    whose doc_ids are all null has a null id.
+    whose doc_ids are all null has a null id. An empty table gives no rows; repeated rows are listed each; columns
+    of ``docs`` other than doc_id and text play no part, whatever their names.
     """
     marked = materialize(fingerprints(docs, size=size))
     classes = materialize(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
@@ -181,54 +182,58 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, bucket: int = BUC
     return marked.join(label, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def similar_groups(docs: DataFrame, size: int = SIMILAR_SHINGLE, percent: int = SIMILAR, distance: int = DISTANCE) -> DataFrame:
-    """``docs(text)`` -> (h, component) of every distinct text, h being ``near.text_key``.
+def remixed(h: np.ndarray) -> np.ndarray:
+    """Other 64 bits from a hash, as good as independent of it."""
+    x = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
-    Texts are linked if the Jaccard similarity of their shingles is ``percent`` or more, each link being checked on
-    whole texts. Fingerprints propose pairs first: those within ``distance`` bits, by blocks as above, which join most
-    members of a group. Of 64 bits, though, a pair at 0.8 differs in 10 on average and at times in 20, more than any
-    blocks of use can bridge; so a prefix filter over shingles (``near``) proposes the pairs whose components still
-    differ, first those with a bucket's least member, then all. Texts without words are alike.
+def similar_groups(docs: DataFrame, size: int = SIMILAR_SHINGLE, percent: int = SIMILAR, distance: int = DISTANCE) -> DataFrame:
+    """``docs(text)`` -> (h, component) of every distinct text, h being ``near.text_key``; a written table.
+
+    Texts are linked if the Jaccard similarity of their shingle sets is ``percent`` or more, each link being checked
+    on whole texts. Fingerprints of the sets propose first: those linked within ``distance`` bits, by blocks as above,
+    are tried with the first text of their component, which joins most members of a group. Of 64 bits, though, a pair
+    at 0.8 differs in 10 on average and at times in 20, more than any blocks of use can bridge; so a prefix filter over
+    shingles (``near``) proposes the pairs whose components still differ: those with a bucket's least member, then
+    all that two fingerprints together don't tell apart for certain. Texts without words are alike.
     An empty table gives no rows; repeated rows and copies are one text.
     """
+    with scratch() as keep:
+        return keep(_similar_groups(docs, size, percent, distance))
+
+
+def _similar_groups(docs: DataFrame, size: int, percent: int, distance: int) -> DataFrame:
+    names = ["h", "fingerprint", "second", "slice", "counts"]
 
     def first_pass(batches):
         tally = near.Tally()
         for hs, texts in near.each_once(batches):
-            prints, sets = [], []
-            for text in texts:
-                runs = list(hash_runs(text, size))
-                prints.append(print_of(runs))
-                sets += [np.unique(np.concatenate(runs))] if runs else []
+            sets = [near.shingle_set(t, size) for t in texts]
             tally.add(sets)
-            none = pa.nulls(len(hs), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(prints, pa.int64()), none, pa.nulls(len(hs), pa.binary())], names=["h", "fingerprint", "slice", "counts"])
+            prints = [pa.array([print_of([f(s)] if len(s) else []) for s in sets], pa.int64()) for f in (lambda s: s, remixed)]
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), *prints, pa.nulls(len(hs), pa.int32()), pa.nulls(len(hs), pa.binary())], names=names)
         rows = tally.slices()
         none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array([i for i, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], names=["h", "fingerprint", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i for i, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], names=names)
 
-    made = materialize(near.keyed_texts(docs).mapInArrow(first_pass, "h bigint, fingerprint bigint, slice int, counts binary"))
+    made = materialize(near.keyed_texts(docs).mapInArrow(first_pass, "h bigint, fingerprint bigint, second bigint, slice int, counts binary"))
     level = near.levels(made.where("slice is not null").select("slice", "counts"))
-    marked = materialize(made.where("h is not null").select("h", "fingerprint").distinct())
-    # texts of one fingerprint are linked to the first of them, which stands for it
-    first = materialize(marked.groupBy("fingerprint").agg(F.min("h").alias("first")))
-    same = marked.join(first, "fingerprint").where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b"))
-    close = links(first.select("fingerprint"), distance)
-    for end in ("a", "b"):
-        close = close.join(first.select(F.col("fingerprint").alias(end), F.col("first").alias(f"{end}_h")), end)
-    close = close.select(F.least("a_h", "b_h").alias("a"), F.greatest("a_h", "b_h").alias("b"))
+    marked = materialize(made.where("h is not null").select("h", "fingerprint", "second").distinct())
+    parts = connected_components(links(marked.select("fingerprint").distinct(), distance)).withColumnRenamed("node", "fingerprint")
+    rooted = materialize(marked.join(parts, "fingerprint", "left").select("h", F.coalesce("component", "fingerprint").alias("c")))
+    first = materialize(rooted.groupBy("c").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("c", "a"))
+    tried = near.verified(docs, rooted.join(first, "c").where("h <> a").select("a", F.col("h").alias("b")), size, percent)
 
     def linked(tried: DataFrame) -> DataFrame:
-        return materialize(connected_components(tried.where("good").select("a", "b")))
+        return connected_components(tried.where("good").select("a", "b"))
 
-    tried = near.verified(docs, close.union(same).distinct(), size, percent)
-    parts = linked(tried)
-    live = near.apart(near.buckets(near.prefixes(docs, level, size, percent)), parts)
+    live = near.apart(near.buckets(near.prefixes(docs, level, size, percent)), linked(tried))
     tried = tried.union(near.verified(docs, near.hub_pairs(live, percent).join(tried, ["a", "b"], "left_anti"), size, percent))
     live = near.apart(live, linked(tried))
-    tried = tried.union(near.verified(docs, near.open_pairs(live, percent).join(tried, ["a", "b"], "left_anti"), size, percent))
-    parts = linked(tried)
-    return marked.select("h").join(parts.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("component", "h").alias("component"))
+    tried = tried.union(near.verified(docs, near.open_pairs(live, marked, percent).join(tried, ["a", "b"], "left_anti"), size, percent))
+    return marked.select("h").join(linked(tried).withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("component", "h").alias("component"))
 
 
 def deduplicate(docs: DataFrame, size: int = SIMILAR_SHINGLE, percent: int = SIMILAR) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Repeated passages by sparse suffix arrays: suffixes at minimiser positions, sorted, compared, extended."""
+"""Repeated passages by sparse suffix arrays: suffixes at minimiser positions, sorted by words, compared with their
+neighbours, and matches extended to the left."""
 
 from __future__ import annotations
 
@@ -8,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+from xxhash import xxh3_128_intdigest
 
-from pixelmill.llm.common import LOWER, ship
+from pixelmill.llm.common import LOWER, added, ship
 from pixelmill.plans.storage import materialize
 
 ship(__name__)
@@ -17,7 +20,7 @@ ship(__name__)
 
 @dataclass(frozen=True)
 class Config:
-    """A passage counts from ``passage`` words on; suffixes are compared by their first ``gram`` words."""
+    """A passage counts from ``passage`` words on; positions are chosen by hashes of ``gram`` words."""
 
     passage: int = 50
     gram: int = 18
@@ -81,88 +84,226 @@ def owners(grams: np.ndarray, reach: int) -> np.ndarray:
 
 
 def sparse_suffixes(docs: DataFrame, config: Config) -> DataFrame:
-    """doc_id, digest, n_words and the retained suffixes (hash of the first words, position) of every text."""
-    suffix = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32())]))
+    """doc_id, digest, n_words and the retained suffixes of every text: the hash of the first words, position, and
+    the passages that the position stands for, as the least and the most words before it. A text that the task has
+    had before has null for them."""
+    suffix = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32())]))
 
     def run(batches):
-        hasher = Hasher()
+        hasher, had = Hasher(), set()
         for b in batches:
             counts, found = [], []
-            for text in b.column("_text").to_pylist():
+            for digest, text in zip(b.column("digest").to_pylist(), b.column("_text").to_pylist(), strict=True):
                 prefix = hasher.prefix(text)
-                grams = hasher.runs(prefix, config.gram)
-                at = np.unique(owners(grams, config.reach))
                 counts.append(len(prefix) - 1)
-                found.append([{"gram": g, "at": p} for g, p in zip(grams[at].view(np.int64).tolist(), at.tolist(), strict=True)])
+                if digest in had:
+                    found.append(None)
+                    continue
+                had.add(digest)
+                grams = hasher.runs(prefix, config.gram)
+                owner = owners(grams, config.reach)
+                at, first, times = np.unique(owner, return_index=True, return_counts=True)  # a position owns a run of starts
+                high = at - first
+                found.append([dict(zip(("gram", "at", "low", "high"), x, strict=True)) for x in zip(grams[at].view(np.int64).tolist(), at.tolist(), (high - times + 1).tolist(), high.tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(counts, pa.int64()), pa.array(found, suffix)], names=["doc_id", "digest", "n_words", "suffixes"])
 
-    return keyed(docs).mapInArrow(run, "doc_id bigint, digest binary, n_words bigint, suffixes array<struct<gram:bigint,at:int>>")
+    rows = keyed(docs)
+    return rows.mapInArrow(run, added(rows.drop("_text").schema, "n_words bigint, suffixes array<struct<gram:bigint,at:int,low:int,high:int>>"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(text)).alias("digest"), text.alias("_text"))
+    return docs.select("doc_id", F.unhex(F.md5(text)).alias("digest"), text.alias("_text"))
 
 
-def shared(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` two documents have: neighbours in sorted order. Counted before rows move.
+def contexts(docs: DataFrame, alive: DataFrame, config: Config) -> DataFrame:
+    """(digest, at, low, high, right, left) of ``alive`` suffixes: their words from ``at`` on, as many as a passage has,
+    and those before it, backwards. Each word ends in a space, so bytes order as words do."""
 
-    The keys are a table of their own, so that an adaptive join can split the rows of a frequent one.
+    def once(batches):
+        had = set()
+        for b in batches:
+            rows = [i for i, d in enumerate(b.column(0).to_pylist()) if not (d in had or had.add(d))]
+            yield b.take(pa.array(rows, pa.int64()))
+
+    def run(batches):
+        names = ["digest", "at", "low", "high", "right", "left"]
+        for b in batches:
+            out = []
+            for digest, text, live in zip(b.column("digest").to_pylist(), b.column("_text").to_pylist(), b.column("alive").to_pylist(), strict=True):
+                ws = [w + b" " for w in text.translate(LOWER).split()]
+                for x in live:
+                    at = x["at"]
+                    out.append((digest, at, x["low"], x["high"], b"".join(ws[at : at + config.passage]), b"".join(ws[max(at - config.reach + 1, 0) : at][::-1])))
+                if len(out) > 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    types = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    texts = keyed(docs).select("digest", "_text").mapInArrow(once, "digest binary, _text binary")
+    met = texts.join(alive, "digest").groupBy("digest").agg(F.first("_text").alias("_text"), F.first("alive").alias("alive"))
+    return met.mapInArrow(run, "digest binary, at int, low int, high int, right binary, left binary")
+
+
+def common(a: list[bytes], b: list[bytes]) -> int:
+    if a == b:
+        return len(a)
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+@dataclass
+class Suffix:
+    digest: bytes
+    at: int
+    low: int
+    high: int
+    right: list[bytes]
+    left: list[bytes]
+    place: int  # in its task
+
+
+@dataclass
+class Match:
+    """Two neighbours in the order: words in common to the right and the left, and whether their texts differ."""
+
+    right: int
+    left: int
+    differ: bool
+
+    @classmethod
+    def of(cls, x: Suffix, y: Suffix) -> Match:
+        return cls(common(x.right, y.right), common(x.left, y.left), x.digest != y.digest)
+
+    def offsets(self, passage: int) -> range:
+        """Words before the suffix at which a passage that both have can start."""
+        return range(max(passage - self.right, 0), self.left + 1 if self.differ else 0)
+
+
+NONE = Match(0, 0, False)
+
+
+def judged(x: Suffix, before: Match, after: Match, passage: int):
+    """What the neighbours say: (first start, last start) of passages found, and passages left to look up.
+
+    A neighbour has the most words in common to the right, but one further away may have more to the left. So the
+    passages that the suffix stands for, as far as any suffix reaches to the right, are looked up by their words
+    (start, key, known), but for those that the suffix before it has too, which are looked up from there.
     """
-    twice = materialize(rows.groupBy(key).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select(key))
-    return rows.join(twice, key, "left_semi")
+    found = []
+    for m in (before, after):
+        o = m.offsets(passage)
+        if len(o):
+            found.append((x.at - o[-1], x.at - o[0]))
+    had, known, open_ = before.offsets(passage), after.offsets(passage), []
+    for o in range(max(passage - max(before.right, after.right), x.low), x.high + 1):
+        if o not in had:
+            key = xxh3_128_intdigest(b" ".join([*x.left[:o][::-1], *x.right[: passage - o]]))
+            open_.append((x.at - o, key, o in known))
+    return set(found), open_
+
+
+def compared(passage: int):
+    """mapInArrow over suffixes in order: ``judged`` of each. A task's first two and last two rows leave as they are
+    (kind 2), because the ends (known) have a neighbour in another task."""
+    from pyspark import TaskContext
+
+    kinds = [pa.int8(), pa.binary(), *[pa.int32()] * 3, *[pa.int64()] * 2, pa.bool_(), pa.binary(), pa.binary()]
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["kind", "digest", "a", "b", "c", "k1", "k2", "known", "right", "left"])
+
+    def run(batches):
+        part, first, last, before = TaskContext.get().partitionId(), [], [], NONE
+        for b in batches:
+            out = []
+            for digest, at, low, high, right, left in zip(*(b.column(c).to_pylist() for c in ("digest", "at", "low", "high", "right", "left")), strict=True):
+                x = Suffix(digest, at, low, high, right.split(), left.split(), last[-1].place + 1 if last else 0)
+                if last:
+                    after = Match.of(last[-1], x)
+                    if last[-1].place:
+                        out += told(last[-1], before, after, passage)
+                    before = after
+                if x.place < 2:
+                    first.append(x)
+                last = [*last[-1:], x]
+            yield rows(out)
+        ends = [*first, *(x for x in last if x.place > 1)]
+        yield rows([(2, x.digest, x.at, x.low, x.high, part, x.place, x.place == 0 or x is last[-1], b" ".join(x.right), b" ".join(x.left)) for x in ends])
+
+    return run
+
+
+def told(x: Suffix, before: Match, after: Match, passage: int) -> list[tuple]:
+    found, open_ = judged(x, before, after, passage)
+    rows = [(0, x.digest, lo, hi, None, None, None, None, None, None) for lo, hi in found]
+    for start, key, known in open_:
+        k1, k2 = (k - (1 << 64) if k >> 63 else k for k in (key >> 64, key & (1 << 64) - 1))
+        rows.append((1, x.digest, start, None, None, k1, k2, known, None, None))
+    return rows
+
+
+FOUND = "kind tinyint, digest binary, a int, b int, c int, k1 bigint, k2 bigint, known boolean, right binary, left binary"
+
+
+def across(made: DataFrame, passage: int) -> DataFrame:
+    """``judged`` of the rows at the ends of tasks, on the driver: at most four rows a task reach it."""
+    rows = sorted(made.where("kind = 2").collect(), key=lambda r: (r["k1"], r["k2"]))
+    line = [(r["known"], Suffix(bytes(r["digest"]), r["a"], r["b"], r["c"], bytes(r["right"]).split(), bytes(r["left"]).split(), r["k2"])) for r in rows]
+    out = []
+    for i, (end, x) in enumerate(line):
+        if end:
+            before = Match.of(line[i - 1][1], x) if i else NONE
+            after = Match.of(x, line[i + 1][1]) if i + 1 < len(line) else NONE
+            out += told(x, before, after, passage)
+    return made.sparkSession.createDataFrame(out, FOUND)
 
 
 def repeated_passages(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """Maximal passages of ``passage`` words or more that occur in another document too.
-
-    Returns doc_id, start, stop (in words), n_words of the text. Equal texts (by MD5) are searched once and
-    their repeats are whole-text passages. Of each other text, the suffixes at minimiser positions are sorted
-    by their first words; those without an equal neighbour in another document end there. Those left are
-    extended left and right: each window of ``passage`` words that the suffix owns must have an equal window
-    elsewhere, and overlapping windows merge. A window belongs to exactly one suffix, so nothing is missed
-    and no pair is formed, however many documents share a passage.
-    Null, empty and short texts have no passages; rows with equal doc_id count as one document.
+    """Passages of ``passage`` words or more that occur in another text too: doc_id, start, stop (in words), n_words.
+
+    A passage is a maximal run of starts each of whose ``passage`` words another text has, in order; every run of so
+    many words is found, wherever it lies. A text that several doc_ids have is one passage of each, if it is long enough.
+
+    Suffixes are retained at minimiser positions, at least one inside every passage; those whose first words no other
+    text has (by a hash) end there. The others are sorted by their words in ranges of tasks, each is compared word by
+    word with its neighbours in the order, and matches are extended to the left. Where a suffix further away might
+    reach further left, the passages still open are looked up by 128-bit keys; chains of neighbours that share a
+    passage look it up once, so a passage of very many documents forms neither pairs nor a large group.
+
+    Null, empty and short texts have no passages, an empty table no rows. doc_id may be of any type; rows with equal
+    doc_id and text count once, rows of one text without doc_id stand behind those with one; other columns of ``docs``
+    play no part, whatever their names.
     """
-    rows = materialize(sparse_suffixes(docs, config))
-    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    marked = rows.join(classes, "digest")
-    copies = marked.where(f"first < last and n_words >= {config.passage}").select("doc_id", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("stop"), "n_words")
-    # one row stands for each text; its copies' windows would add nothing
-    single = marked.where("doc_id <=> first").dropDuplicates(["digest"])
-    key = F.xxhash64("doc_id", "digest")
-    occ = single.select(key.alias("doc"), F.explode("suffixes").alias("s")).select("doc", F.col("s.gram").alias("gram"), F.col("s.at").alias("at"))
-    alive = materialize(shared(occ, "gram").groupBy("doc").agg(F.collect_list("at").alias("alive")))
-    texts = keyed(docs).withColumn("doc", key).join(alive, "doc").select("doc", "_text", "alive")
-
-    def windows(batches):
-        hasher = Hasher()
-        for b in batches:
-            docs_, hashes, starts = [], [], []
-            for doc, text, live in zip(b.column("doc").to_pylist(), b.column("_text").to_pylist(), b.column("alive").to_pylist(), strict=True):
-                prefix = hasher.prefix(text)
-                owner = owners(hasher.runs(prefix, config.gram), config.reach)
-                at = np.flatnonzero(np.isin(owner, live))
-                hashes.append(hasher.runs(prefix, config.passage)[at].view(np.int64))
-                starts.append(at.astype(np.int32))
-                docs_.append(np.full(len(at), doc, np.int64))
-            for k in range(0, len(docs_), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x[k : k + 256])) for x in (docs_, hashes, starts)], names=["doc", "window", "start"])
-
-    met = materialize(texts.mapInArrow(windows, "doc bigint, window bigint, start int"))
-    per_doc = shared(met, "window").groupBy("doc").agg(F.sort_array(F.collect_set("start")).alias("starts"))
-
-    def merge(batches):
-        for b in batches:
-            doc, start, stop = [], [], []
-            for d, s in zip(b.column("doc").to_pylist(), b.column("starts").to_pylist(), strict=True):
-                s = np.array(s)
-                cut = np.flatnonzero(np.diff(s) > config.passage)
-                start += s[np.r_[0, cut + 1]].tolist()
-                stop += (s[np.r_[cut, len(s) - 1]] + config.passage).tolist()
-                doc += [d] * (len(cut) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["doc", "start", "stop"])
-
-    spans = per_doc.mapInArrow(merge, "doc bigint, start int, stop int")
-    alone = single.where("first <=> last").select(key.alias("doc"), "doc_id", "n_words")
-    return copies.union(alone.join(spans, "doc").select("doc_id", "start", "stop", "n_words")).distinct()
+    rows = materialize(sparse_suffixes(docs.select("doc_id", "text"), config))
+    classes = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("n_words").alias("n")))
+    several = classes.where(f"first < last and n >= {config.passage}").select("digest")
+    copies = rows.join(several, "digest", "left_semi").select("doc_id", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("stop"), "n_words")
+
+    occ = rows.where("suffixes is not null").select("digest", F.explode("suffixes").alias("s")).select("digest", "s.gram", F.struct("s.at", "s.low", "s.high").alias("s"))
+    # the keys are a table of their own, so that an adaptive join can split the rows of a frequent one
+    text = F.xxhash64("digest")
+    twice = materialize(occ.groupBy("gram").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low < high").select("gram"))
+    alive = materialize(occ.join(twice, "gram", "left_semi").groupBy("digest").agg(F.collect_set("s").alias("alive")))
+
+    known = materialize(contexts(docs.select("doc_id", "text"), alive, config))
+    order = ["right", "left", "digest", "at"]
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = known.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    made = materialize(ordered.mapInArrow(compared(config.passage), FOUND))
+    made = made.where("kind < 2").union(across(made, config.passage))
+
+    open_ = made.where("kind = 1")
+    keys = materialize(open_.groupBy("k1", "k2").agg(F.min(text).alias("low"), F.max(text).alias("high"), F.bool_or("known").alias("known")).where("known or low < high").select("k1", "k2"))
+    starts = made.where("kind = 0").select("digest", "a", "b").union(open_.where("not known").join(keys, ["k1", "k2"], "left_semi").select("digest", "a", F.col("a").alias("b")))
+    before = Window.partitionBy("digest").orderBy("a", "b")
+    fresh = starts.withColumn("_new", F.coalesce(F.col("a") > F.max("b").over(before.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True)).cast("int"))
+    runs = fresh.withColumn("_run", F.sum("_new").over(before)).groupBy("digest", "_run").agg(F.min("a").alias("start"), (F.max("b") + config.passage).alias("stop"))
+    spans = runs.join(classes.where("first <=> last"), "digest").select(F.col("first").alias("doc_id"), "start", "stop", F.col("n").alias("n_words"))
+    return copies.union(spans).distinct()

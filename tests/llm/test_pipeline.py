@@ -1,5 +1,8 @@
 """Licence scans, and the pipeline's stages against brute force."""
 
+import math
+import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -13,18 +16,80 @@ from pixelmill.llm import licenses, mixing, quality, simhash
 from tests.llm.test_documents import bench_words, brute_hits, counts, least
 
 
+# fixed values: the licence lines that the documents hold; none of them is a template
+LINES = {"MIT License": "MIT", "GNU General": "GPL-3.0", "CC BY-NC": "CC-BY-NC-4.0", "Apache License": "Apache-2.0"}
+
+
 def test_licenses(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    # fixed values: the licence lines that the documents hold
-    lines = {"MIT License": "MIT", "GNU General": "GPL-3.0", "CC BY-NC": "CC-BY-NC-4.0", "Apache License": "Apache-2.0"}
-    want = {r["doc_id"]: next((v for k, v in lines.items() if k in r["text"]), "unknown") for r in docs.collect()}
+    want = {r["doc_id"]: next((v for k, v in LINES.items() if k in r["text"]), "unknown") for r in docs.collect()}
     rows = licenses.report(docs).collect()
     assert {r["doc_id"]: r["family"] for r in rows} == want
-    assert all(r["confirmed"] == (r["family"] != "unknown") for r in rows) and len(set(want.values())) == 5
+    assert len(set(want.values())) == 5
+
+
+def test_licenses_by_brute_force_counts(spark, documents):
+    """Paragraphs, pieces and confirmations in plain Python."""
+    config, model = licenses.Config(), licenses.fit(documents)
+    words_of = lambda t: re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", t.lower())
+    grams_of = lambda ws: {*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False))}
+    templates = [(f, grams_of(words_of(t))) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    for r, text in ((r, t["text"]) for r, t in zip(licenses.scan(documents, model).orderBy("doc_id").collect(), documents.orderBy("doc_id").collect(), strict=True)):
+        paras = [p for p in re.split(r"\n(?:[ \t\x0b-\r]*\n)+", text or "") if p.split()]
+        assert r["n_paragraphs"] == len(paras)
+        best = (False, 0.0, "unknown")
+        for p in paras:
+            ws = words_of(p)
+            for at in range(0, max(len(ws) - config.piece // 2, 1), config.piece // 2):
+                found = grams_of(ws[at : at + config.piece])
+                z = [b + sum(model.weights[g][i] for g in found if g in model.weights) for i, b in enumerate(model.bias)]
+                k = max(range(len(z) - 1), key=z.__getitem__)
+                prob = math.exp(z[k] - max(z)) / sum(math.exp(x - max(z)) for x in z)
+                if prob >= model.threshold and found & set(model.weights):
+                    family = model.classes[k]
+                    best = max(best, (any(f == family and len(found & g) >= config.contained * len(g) for f, g in templates), prob, family))
+        assert (r["confirmed"], r["family"]) == (best[0], best[2]) and r["score"] == pytest.approx(best[1], rel=1e-9)
+
+
+NOTICES_APART = [
+    ("MIT", "Released under the MIT license, see the file COPYING."),
+    ("MIT", "Permission is granted, free of charge, to any person obtaining a copy of this work and its associated documentation files, to deal in it without restriction"),
+    ("Apache-2.0", "This module is made available by its authors under the Apache License, version 2.0; see www.apache.org/licenses/LICENSE-2.0 for a copy."),
+    ("GPL-3.0", "This script is free software. You may redistribute it and modify it under the terms of version 3 of the GNU General Public License as published by the Free Software Foundation"),
+    ("BSD-3-Clause", "Redistributions and use in source or binary forms, with or without modification, are permitted provided that these conditions are met"),
+    ("CC-BY-NC-4.0", "All photographs here are shared under the Creative Commons Attribution-NonCommercial 4.0 International license."),
+    ("CC-BY-4.0", "The figures may be reused under a Creative Commons Attribution 4.0 International licence."),
+    ("MPL-2.0", "This file is subject to the Mozilla Public License, v. 2.0; a copy is at http://mozilla.org/MPL/2.0/ for all to read."),
+]
+NO_NOTICES = [
+    "The license plate of the car was registered in version 2.0 of the form.",
+    "She had to obtain a copy of the licence at the office before the conditions were met.",
+    "Permission is granted to any person who asks, free of charge, at the door.",
+    "The general public is free to use the software foundation course.",
+    "A creative mind of the commons wrote the attribution.",
+]
+
+
+def test_licenses_held_out(spark, documents):
+    """Notices in other words than the templates', wrapped at 40 columns, inside documents; and look-alikes."""
+    plain = [r["text"] for r in documents.where("text is not null").orderBy("doc_id").collect() if not any(k in r["text"] for k in LINES)][:40]
+    rows, want = [], {}
+    for i, (family, notice) in enumerate([*NOTICES_APART, *(("unknown", t) for t in NO_NOTICES)]):
+        for k in range(4):
+            text = plain[(4 * i + k) % len(plain)]
+            half = text.rfind(" ", 0, len(text) // 2)
+            apart = "\n\n" if k % 2 else "\n"
+            rows.append((1000 + 10 * i + k, f"{text[:half]}{apart}{textwrap.fill(notice, 40)}{apart}{text[half + 1 :]}"))
+            want[rows[-1][0]] = family
+    docs = documents.select("doc_id", "text").unionAll(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["family"] for r in licenses.report(docs).collect() if r["doc_id"] in want}
+    hit = sum(got[d] == f != "unknown" for d, f in want.items())
+    assert hit >= 0.9 * sum(f != "unknown" for f in want.values())
+    assert hit >= 0.9 * sum(f != "unknown" for f in got.values())
 
 
 def test_licenses_odd(spark, odd_docs):
-    extra = spark.createDataFrame([(20, "x\n" + licenses.TEMPLATES["BSD-3-Clause"][1], None, None, None, None), (21, "the license is a plate of wood", None, None, None, None)], odd_docs.schema)
+    extra = spark.createDataFrame([(20, "x\n\n" + licenses.TEMPLATES["BSD-3-Clause"][2], None, None, None, None), (21, "the license is a plate of wood", None, None, None, None)], odd_docs.schema)
     model = licenses.fit(odd_docs.union(extra))
     rows = {r["doc_id"]: r for r in licenses.scan(odd_docs.union(extra), model).where("doc_id is not null").collect()}
     assert rows[20]["family"] == "BSD-3-Clause" and rows[20]["confirmed"] and rows[20]["n_paragraphs"] == 2
