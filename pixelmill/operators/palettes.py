@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -49,23 +50,22 @@ def squared(points: np.ndarray, to: np.ndarray) -> np.ndarray:
 
 
 def seeds(points: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
-    """k-means++ over weighted points with fixed draws; the heaviest point (the last of ties) comes first."""
-    chosen = [len(weights) - 1 - int(np.argmax(weights[::-1]))]
-    nearest, random = squared(points, points[chosen[0]]), draws()
-    while len(chosen) < k:
-        mass = nearest.astype(np.float64) * weights
-        total = float(np.add.accumulate(mass)[-1])
-        if total <= 0:
+    """k-means++ over weighted points with fixed draws; the heaviest point (the last of ties) comes first.
+
+    Each draw falls on a scale of the points' weighted distances, laid end to end; where it falls on a point that
+    was taken before, the next free one is.
+    """
+    heavy, n = int(np.flatnonzero(weights == weights.max())[-1]), len(points)
+    picks, gap = [heavy], squared(points, points[heavy])
+    for u in islice(draws(), k - 1):
+        scale = np.cumsum(gap.astype(np.float64) * weights)
+        if scale[-1] <= 0:
             break
-        target = float(next(random)) * total
-        left = target - np.add.accumulate(mass)
-        hit = np.flatnonzero(left <= 0)
-        pick = int(hit[0]) if len(hit) else chosen[0]
-        while pick in chosen:
-            pick = (pick + 1) % len(points)
-        chosen.append(pick)
-        nearest = np.minimum(nearest, squared(points, points[pick]))
-    return chosen
+        at = int(np.searchsorted(scale, float(u) * scale[-1]))
+        at = heavy if at == n else at
+        picks.append(next(i % n for i in range(at, at + n) if i % n not in picks))
+        gap = np.minimum(gap, squared(points, points[picks[-1]]))
+    return picks
 
 
 def assign(points: np.ndarray, centres: np.ndarray) -> np.ndarray:

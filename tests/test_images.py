@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pixelmill.functions import scalars
 from pixelmill.operators import analysis, lists, palettes, pixels, resample, shapes
 from pixelmill.plans import queries
 from pixelmill.sources import files
@@ -394,31 +395,72 @@ def test_median_cut_and_quantize_by_brute_force(spark):
     assert not got and changed == {k: maps[k[0]][v] for k, v in source.items()}
 
 
+def lab(rgb):
+    """OKLab of one colour, in plain floats."""
+    linear = [v / 255 / 12.92 if v / 255 <= 0.04045 else ((v / 255 + 0.055) / 1.055) ** 2.4 for v in rgb]
+    root = [math.copysign(abs(x) ** (1 / 3), x) for x in (sum(f * v for f, v in zip(row, linear, strict=True)) for row in scalars.TO_LMS)]
+    return tuple(sum(f * v for f, v in zip(row, root, strict=True)) for row in scalars.TO_LAB)
+
+
+def split_mix():
+    state, full = 0x9E3779B97F4A7C15, 1 << 64
+    step = state
+    while True:
+        state = (state + step) % full
+        z = state
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = ((z ^ (z >> shift)) * factor) % full
+        yield ((z ^ (z >> 31)) >> 40) / (1 << 24)
+
+
+def gap(a, b):
+    return sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+
+
+def brute_clusters(weight, k, medoids):
+    """Weighted k-means or k-medoids over colours, by lists and loops: weight has counts by colour."""
+    colors = sorted(weight)
+    points, w, k = [lab(c) for c in colors], [weight[c] for c in colors], min(k, len(weight))
+    picks, draw = [max(range(len(w)), key=lambda i: (w[i], i))], split_mix()
+    while len(picks) < k:
+        mass = [min(gap(p, points[q]) for q in picks) * m for p, m in zip(points, w, strict=True)]
+        left, at = next(draw) * sum(mass), 0
+        while at < len(mass) - 1 and left - mass[at] > 0:
+            left, at = left - mass[at], at + 1
+        while at in picks:
+            at = (at + 1) % len(points)
+        picks.append(at)
+    centres, last = [points[i] for i in picks], None
+    for _ in range(24):
+        at = [min(range(k), key=lambda c: gap(p, centres[c])) for p in points]
+        for c in range(k):
+            mine = [i for i, x in enumerate(at) if x == c]
+            if medoids and mine:
+                picks[c] = min(mine, key=lambda i: sum(gap(points[i], points[j]) * w[j] for j in mine))
+                centres[c] = points[picks[c]]
+            elif mine:
+                total = sum(w[i] for i in mine)
+                centres[c] = tuple(sum(points[i][d] * w[i] for i in mine) / total for d in range(3))
+        if at == last:
+            break
+        last = at
+    return centres
+
+
 @pytest.mark.parametrize("query", ["a_palette_kmeans", "a_palette_kmedoids"])
-def test_clusters_are_settled(spark, query):
-    """What the registered queries return can't be bettered by a step of the algorithm, on any of their images."""
-    folder = "/root/testdata/sf0.001"
+def test_clusters_by_brute_force(spark, query):
+    """The registered queries over all of their images; a handful of ties may break otherwise in double precision."""
+    folder, off = "/root/testdata/sf0.001", 0
     images, got = counted(queries.emb_pixels(spark, folder)), {}
     for r in queries.QUERIES[query](spark, folder).collect():
-        got.setdefault(r["image_id"], []).append((r["r"], r["g"], r["b"]))
-    shown = {i: {} for i in images}
+        got.setdefault(r["image_id"], []).append((r["rank"], (r["r"], r["g"], r["b"])))
     for i, cells_ in images.items():
+        weight = {}
         for c, n in cells_.items():
             if c[3]:
-                shown[i][c[:3]] = shown[i].get(c[:3], 0) + n
-    assert set(got) == {i for i, c in shown.items() if c}
-    for i, centres in got.items():
-        colors, weights = np.array(list(shown[i])), np.array(list(shown[i].values()), float)
-        points, near = palettes.to_oklab(colors).astype(float), palettes.to_oklab(np.array(centres)).astype(float)
-        assert len(centres) == min(4, len(colors))
-        away = ((points[:, None] - near[None]) ** 2).sum(2)
-        at = away.argmin(1)
-        for k, centre in enumerate(centres):
-            mine = at == k
-            assert mine.any()
-            if query.endswith("medoids"):
-                inside = ((points[mine][:, None] - points[mine][None]) ** 2).sum(2) @ weights[mine]
-                assert tuple(centre) in {tuple(c) for c in colors[mine]} and away[mine, k] @ weights[mine] <= inside.min() * (1 + 1e-4) + 1e-7
-            else:
-                rgb = palettes.from_oklab((points[mine] * weights[mine][:, None]).sum(0, keepdims=True) / weights[mine].sum())
-                assert abs(rgb[0] - np.array(centre)).max() <= 2
+                weight[c[:3]] = weight.get(c[:3], 0) + n
+        want = brute_clusters(weight, 4, query.endswith("medoids")) if weight else []
+        mine = [c for _, c in sorted(got.pop(i, []))]
+        assert len(mine) == len(want)
+        off += any(gap(lab(c), w) > 4e-5 for c, w in zip(mine, want, strict=True))
+    assert not got and off <= 0.01 * len(images)
