@@ -246,81 +246,6 @@ def r_resize_filters(spark, sf_dir):
     return each[0].union(each[1]).union(each[2])
 
 
-@register("""WITH d AS (SELECT doc_id, 32 AS w, CAST(length(text) // 32 AS INT) AS h FROM documents WHERE length(text) >= 32), s AS (
-  SELECT doc_id, CASE WHEN w / h > 0.5 THEN greatest(1, least(w, CAST(round(h * 0.5) AS INT))) ELSE w END AS nw, CASE WHEN w / h > 0.5 THEN h ELSE greatest(1, least(h, CAST(round(w / 0.5) AS INT))) END AS nh, w, h FROM d)
-  SELECT doc_id AS image_id, nw AS width, nh AS height, CAST(nw * nh AS BIGINT) AS n FROM s""")
-def c_crop_ratio(spark, sf_dir):
-    images, px = pixels.crop_ratio(doc_images(spark, sf_dir), doc_pixels(spark, sf_dir), 1, 2, "center")
-    return images.select("image_id", "width", "height").join(px.groupBy("image_id").agg(F.count("*").alias("n")), "image_id")
-
-
-@register(f"WITH {PX} SELECT image_id, x - 3 AS x, y AS y, r, g, b, a FROM px WHERE x >= 3 AND y < 4")
-def c_crop_size(spark, sf_dir):
-    return pixels.crop_size(*both(spark, sf_dir), 5, 4, "topRight")[1]
-
-
-@register(f"""WITH {PX}, rg AS (SELECT image_id, k + 1 AS piece, CASE WHEN k = 0 THEN 0 ELSE 3 END AS x0, CASE WHEN k = 0 THEN 1 ELSE 5 END AS y0, CASE WHEN k = 0 THEN 5 ELSE 5 END AS w, CASE WHEN k = 0 THEN 4 ELSE 3 END AS h, k
-  FROM (SELECT DISTINCT image_id FROM px), (VALUES (0), (1)) v(k)), c AS (SELECT image_id, piece, x - x0 AS x, y - y0 AS y, r, g, b, a, w, h, k FROM px JOIN rg USING (image_id) WHERE x >= x0 AND x < x0 + w AND y >= y0 AND y < y0 + h)
-  SELECT image_id, piece, x, y, r, g, b, CASE WHEN k = 1 AND ((x + 0.5 - w / 2) / (w / 2)) ** 2 + ((y + 0.5 - h / 2) / (h / 2)) ** 2 > 1 THEN 0 ELSE a END AS a FROM c""")
-def c_crop_regions(spark, sf_dir):
-    images, px = both(spark, sf_dir)
-    region = lambda *v: F.struct(*[F.lit(x).alias(n) for n, x in zip(("x", "y", "w", "h", "shape"), v, strict=True)])
-    regions = images.select("image_id", F.explode(F.array(region(-4, 1, 5, 4, "rect"), region(3, 5, 90, 90, "ellipse"))).alias("v")).select("image_id", "v.*")
-    return pixels.crop_regions(images, px, regions)[1]
-
-
-_LIN = "CASE WHEN {0} / 255.0 <= 0.04045 THEN {0} / 255.0 / 12.92 ELSE (({0} / 255.0 + 0.055) / 1.055) ** 2.4 END"
-
-
-@register(f"""WITH {PX}, n AS (SELECT image_id, x, y, r AS c0, g AS c1, b AS c2, {_LIN.format("r")} AS r, {_LIN.format("g")} AS g, {_LIN.format("b")} AS b FROM px), m AS (
-  SELECT *, cbrt(0.41222147 * r + 0.53633254 * g + 0.051445995 * b) AS l_, cbrt(0.2119035 * r + 0.6806995 * g + 0.10739696 * b) AS m_, cbrt(0.08830246 * r + 0.28171885 * g + 0.6299787 * b) AS s_ FROM n)
-  SELECT image_id, x, y, round(0.21045426 * l_ + 0.7936178 * m_ - 0.004072047 * s_, 6) AS l, round(1.9779985 * l_ - 2.4285922 * m_ + 0.4505937 * s_, 6) AS a, round(0.025904037 * l_ + 0.78277177 * m_ - 0.80867577 * s_, 6) AS b,
-  c0 AS back_r, c1 AS back_g, c2 AS back_b FROM m""")
-def c_oklab(spark, sf_dir):
-    lab = emb_pixels(spark, sf_dir).select("image_id", "x", "y", sc.oklab(F.col("r"), F.col("g"), F.col("b")).alias("lab"))
-    back = sc.oklab_to_rgb(F.col("lab"))
-    return lab.select("image_id", "x", "y", *[F.round(F.col(f"lab.{c}"), 6).alias(c) for c in "lab"], *[back[c].alias(f"back_{c}") for c in "rgb"])
-
-
-# --- resampling
-
-
-@register(f"""WITH {PX}, g AS (SELECT unnest(range(0, 19)) AS x), v AS (SELECT unnest(range(0, 5)) AS y)
-  SELECT image_id, CAST(g.x AS INT) AS x, CAST(v.y AS INT) AS y, r, g, b, a FROM g, v, px WHERE px.x = CAST(floor((g.x + 0.5) * 8 / 19) AS INT) AND px.y = CAST(floor((v.y + 0.5) * 8 / 5) AS INT)""".replace("r, g, b, a FROM g, v", "px.r, px.g, px.b, px.a FROM g, v"))
-def r_resize_nearest(spark, sf_dir):
-    return resample.resize_nearest(*both(spark, sf_dir), 19, 5)[1]
-
-
-@register(f"""WITH {PX}, t AS (SELECT image_id, CAST(greatest(1, round(8 * (50 + image_id % 4 * 50) / 100.0)) AS INT) AS n FROM (SELECT DISTINCT image_id FROM px))
-  SELECT image_id, n AS width, n AS height, CAST(n * n AS BIGINT) AS pixels, CAST(sum(px.r) AS BIGINT) AS total FROM t, (SELECT unnest(range(0, 16)) AS ox), (SELECT unnest(range(0, 16)) AS oy), px
-  WHERE ox < n AND oy < n AND px.image_id = t.image_id AND px.x = CAST(floor((ox + 0.5) * 8 / n) AS INT) AND px.y = CAST(floor((oy + 0.5) * 8 / n) AS INT) GROUP BY ALL""".replace("SELECT image_id, n AS width", "SELECT t.image_id, n AS width"))
-def r_upscale(spark, sf_dir):
-    images, px = both(spark, sf_dir)
-    out, spread, _ = resample.upscale(images, px, F.lit(50) + F.col("seq") % 4 * 50)
-    return out.select("image_id", "width", "height").join(spread.groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum("r").alias("total")), "image_id")
-
-
-@register(f"""WITH {PX} SELECT image_id, CAST(ox AS INT) AS x, CAST(oy AS INT) AS y, r, g, b, a FROM px, (SELECT unnest(range(0, 16)) AS ox), (SELECT unnest(range(0, 4)) AS oy)
-  WHERE x = ox // 2 AND y = CAST(floor((oy + 0.5) * 2) AS INT)""")
-def r_stretch(spark, sf_dir):
-    return resample.stretch(*both(spark, sf_dir), 200, 50)[1]
-
-
-@register(f"""WITH {PX}, k AS (SELECT o, i, greatest(0.0, 1.0 - abs((i - ((o + 0.5) * 8 / 5 - 0.5)) / 1.6)) AS w FROM (SELECT unnest(range(0, 5)) AS o), (SELECT unnest(range(0, 8)) AS i)),
-  n AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM k)
-  SELECT image_id, CAST(kx.o AS INT) AS x, CAST(ky.o AS INT) AS y, CAST(round(round(sum(kx.w * ky.w * r), 6)) AS INT) AS r, CAST(round(round(sum(kx.w * ky.w * g), 6)) AS INT) AS g,
-  CAST(round(round(sum(kx.w * ky.w * b), 6)) AS INT) AS b, CAST(round(round(sum(kx.w * ky.w * a), 6)) AS INT) AS a FROM px JOIN n kx ON kx.i = x JOIN n ky ON ky.i = y GROUP BY image_id, kx.o, ky.o""")
-def r_resize_triangle(spark, sf_dir):
-    return resample.resize_kernel(*both(spark, sf_dir), 5, 5, "triangle")[1]
-
-
-@register()
-def r_resize_filters(spark, sf_dir):
-    images, px = both(spark, sf_dir)
-    each = [resample.resize_kernel(images, px, 12, 6, f)[1].groupBy("image_id").agg(F.avg("r").alias("mean"), F.count("*").alias("n")).withColumn("filter", F.lit(f)) for f in ("catmullRom", "gaussian", "lanczos3")]
-    return each[0].union(each[1]).union(each[2])
-
-
 @register("""WITH d AS (SELECT doc_id, 32 AS w, CAST(length(text) // 32 AS INT) AS h FROM documents WHERE length(text) >= 32)
   SELECT doc_id AS image_id, CAST(CASE WHEN greatest(w, h) <= 64 THEN w ELSE greatest(1, round(w * (64.0::DOUBLE / greatest(w, h)))) END AS INT) AS width,
   CAST(CASE WHEN greatest(w, h) <= 64 THEN h ELSE greatest(1, round(h * (64.0::DOUBLE / greatest(w, h)))) END AS INT) AS height,
