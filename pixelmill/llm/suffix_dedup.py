@@ -13,17 +13,19 @@ from pyspark.sql.window import Window
 from xxhash import xxh3_128_intdigest
 
 from pixelmill.llm.common import LOWER, added, ship
-from pixelmill.plans.storage import materialize
+from pixelmill.plans.storage import materialize, scratch
 
 ship(__name__)
 
 
 @dataclass(frozen=True)
 class Config:
-    """A passage counts from ``passage`` words on; positions are chosen by hashes of ``gram`` words."""
+    """A passage counts from ``passage`` words on; positions are chosen by hashes of ``gram`` words. The ranges of the
+    sort are found from ``sample`` suffixes a task, which the driver sees."""
 
     passage: int = 50
     gram: int = 18
+    sample: int = 10
 
     @property
     def reach(self) -> int:
@@ -266,7 +268,7 @@ def across(made: DataFrame, passage: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """Passages of ``passage`` words or more that occur in another text too: doc_id, start, stop (in words), n_words.
+    """The table of passages of ``passage`` words or more that occur in another text too: doc_id, start, stop (in words), n_words.
 
     A passage is a maximal run of starts each of whose ``passage`` words another text has, in order; every run of so
     many words is found, wherever it lies. A text that several doc_ids have is one passage of each, if it is long enough.
@@ -281,6 +283,11 @@ def repeated_passages(docs: DataFrame, config: Config = Config()) -> DataFrame:
     doc_id and text count once, rows of one text without doc_id stand behind those with one; other columns of ``docs``
     play no part, whatever their names.
     """
+    with scratch() as keep:
+        return keep(_repeated_passages(docs, config))
+
+
+def _repeated_passages(docs: DataFrame, config: Config) -> DataFrame:
     rows = materialize(sparse_suffixes(docs.select("doc_id", "text"), config))
     classes = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("n_words").alias("n")))
     several = classes.where(f"first < last and n >= {config.passage}").select("digest")
@@ -294,9 +301,14 @@ def repeated_passages(docs: DataFrame, config: Config = Config()) -> DataFrame:
 
     known = materialize(contexts(docs.select("doc_id", "text"), alive, config))
     order = ["right", "left", "digest", "at"]
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = known.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    made = materialize(ordered.mapInArrow(compared(config.passage), FOUND))
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    ordered = known.repartitionByRange(int(conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    usual = conf.get(name)
+    conf.set(name, str(config.sample))  # the keys are long
+    try:
+        made = materialize(ordered.mapInArrow(compared(config.passage), FOUND))
+    finally:
+        conf.set(name, usual)
     made = made.where("kind < 2").union(across(made, config.passage))
 
     open_ = made.where("kind = 1")

@@ -31,7 +31,7 @@ def test_licenses(spark):
 def test_licenses_by_brute_force_counts(spark, documents):
     """Paragraphs, pieces and confirmations in plain Python."""
     config, model = licenses.Config(), licenses.fit(documents)
-    words_of = lambda t: re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", t.lower())
+    words_of = lambda t: re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", t.lower().replace("-\n", "-"))
     grams_of = lambda ws: {*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False))}
     templates = [(f, grams_of(words_of(t))) for f, ts in licenses.TEMPLATES.items() for t in ts]
     for r, text in ((r, t["text"]) for r, t in zip(licenses.scan(documents, model).orderBy("doc_id").collect(), documents.orderBy("doc_id").collect(), strict=True)):
