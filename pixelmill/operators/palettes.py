@@ -194,7 +194,10 @@ def _rgba(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def palette_median_cut(pixels: DataFrame, k: int = 8) -> DataFrame:
-    """Representative colours by median cut, by weight: image_id, rank, r, g, b, weight."""
+    """Representative colours by median cut, by weight: image_id, rank, r, g, b, weight.
+
+    An image's distinct colours, with their counts, meet in one task: at most one a pixel of the image.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         colors, counts = _rgba(pdf)

@@ -300,6 +300,16 @@ def n_components(spark, sf_dir):
     return shapes.component_pixels(px, shapes.label_components(px, "a = 255", 8))
 
 
+@register(f"""WITH RECURSIVE {DPX}, fit AS (SELECT image_id, x, y FROM dpx WHERE r = 110), o AS (SELECT * FROM (VALUES (-1), (0), (1)) v(dx), (VALUES (-1), (0), (1)) w(dy)), walk AS (SELECT image_id, x AS sx, y AS sy, x, y FROM fit
+  UNION SELECT w.image_id, w.sx, w.sy, f.x, f.y FROM (SELECT *, x + dx AS nx, y + dy AS ny FROM walk, o) w JOIN fit f ON f.image_id = w.image_id AND f.x = w.nx AND f.y = w.ny),
+  comp AS (SELECT image_id, x, y, min(sy * 4294967296 + sx) AS component FROM walk GROUP BY image_id, x, y)
+  SELECT image_id, CAST(component AS BIGINT) AS component, count(*) AS n, min(x) AS x0, max(x) AS x1, max(y) AS y1 FROM comp GROUP BY image_id, component""")
+def n_components_tall(spark, sf_dir):
+    """Images of hundreds of rows: where a frequent letter of a text touches itself."""
+    labels = shapes.label_components(doc_pixels(spark, sf_dir), "r = 110", 8)
+    return labels.groupBy("image_id", "component").agg(F.sum(F.expr("x1 - x0 + 1")).alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("y").alias("y1"))
+
+
 _FILL = f"""{_component_sql(f"a = 0 OR {_FAR} <= 90", _FOUR)}, edge AS (SELECT DISTINCT image_id, component FROM comp WHERE x IN (0, 7) OR y IN (0, 7)), filled AS (SELECT image_id, x, y FROM comp JOIN edge USING (image_id, component))"""
 
 
@@ -604,5 +614,6 @@ def s_texts_media(spark, sf_dir):
     out = items.select(name("item", ".txt"), "content").union(items.select(name("clip", ".M4V"), "content"))
     out.union(items.limit(1).select(F.lit("bad.md").alias("file_name"), F.unhex(F.lit("FFFE")).alias("content"))).write.format("files").mode("append").option("path", folder).save()
     last = F.regexp_extract("path", r"([^/]*)$", 1).alias("name")
-    texts = files.scan_texts(spark, folder)[0].select(last, "text", F.lit(None).cast("string").alias("container"), F.octet_length("text").cast("bigint").alias("length"))
+    whole = files.read_text(spark, folder + "/*.txt")[0].select("image_id", "text")
+    texts = files.scan_texts(spark, folder)[0].drop("text").join(whole, "image_id").select(last, "text", F.lit(None).cast("string").alias("container"), F.octet_length("text").cast("bigint").alias("length"))
     return texts.union(files.scan_media(spark, folder).select(last, F.lit(None).cast("string"), "container", "length"))

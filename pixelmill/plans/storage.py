@@ -45,6 +45,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, by: str = "image_id") -> DataFrame:
+    """``df`` as a table of the warehouse, in ``buckets`` by a key.
+
+    Pixels and images kept so, in as many buckets, join by image_id without moving again: of use where one
+    collection goes through many operators and its images are too many to broadcast.
+    """
+    df.write.bucketBy(buckets, by).sortBy(by).mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 @contextmanager
 def scratch():
     """Tables written inside go at its end, but for those that ``keep``, which it gives, has written.

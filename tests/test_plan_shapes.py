@@ -5,6 +5,7 @@ import pytest
 from pixelmill.operators import analysis, pixels, resample
 from pixelmill.plans import queries
 from pixelmill.plans.fixtures import doc_pixels, emb_pixels
+from pixelmill.plans.storage import bucketed
 from pixelmill.sources import files
 
 FOLDER = "/root/testdata/sf0.001"
@@ -47,3 +48,18 @@ def test_listings_read_no_content(spark, tmp_path):
 def test_scans_are_pruned(spark, name):
     schema = plan(queries.QUERIES[name](spark, FOLDER)).split("ReadSchema: ")[-1]
     assert {"x_arithmetic": "l_extendedprice", "l_fold": "o_orderpriority", "a_palette_count": "n_chars"}[name] not in schema
+
+
+def test_bucketed_tables_join_without_moving(spark):
+    images, px = queries.both(spark, FOLDER)
+    kept_images, kept = bucketed(images, "bucketed_images", 4), bucketed(px, "bucketed_pixels", 4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = pixels.flip_rotate(kept_images, kept, rotate=90)[1]
+        assert "SortMergeJoin" in plan(moved) and "Exchange" not in plan(moved) and moved.count() == px.count()
+        assert "Exchange" in plan(pixels.flip_rotate(images, px, rotate=90)[1])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        for name in ("bucketed_images", "bucketed_pixels"):
+            spark.sql(f"DROP TABLE {name}")
