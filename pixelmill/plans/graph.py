@@ -27,6 +27,10 @@ def _stars(edges: DataFrame, keys: list[str], max_rounds: int) -> DataFrame:
     links = base.where("a < b")
     # the least neighbours are a table of their own, which leaves a hub's join to adaptive splitting
     for _ in range(max_rounds):
+        # done when all links are stars: a node has one parent, and no parent has one itself
+        most = links.groupBy(*keys, "b").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if (most or 1) == 1 and links.join(links.select(*keys, F.col("a").alias("b")), [*keys, "b"], "left_semi").isEmpty():
+            break
         # large-star: every larger neighbour of a node points at the node's least neighbour
         both = links.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(*keys, F.col("b"), F.col("a")))
         least = materialize(both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
@@ -36,10 +40,6 @@ def _stars(edges: DataFrame, keys: list[str], max_rounds: int) -> DataFrame:
         joined = large.join(least, [*keys, "b"])
         small = joined.where("a <> m").select(*keys, F.col("m").alias("a"), F.col("a").alias("b")).union(least.select(*keys, F.col("m").alias("a"), "b"))
         links = materialize(small.distinct())
-        # done when all links are stars: a node has one parent, and no parent has one itself
-        state = links.groupBy(*keys, "b").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        if (state or 1) == 1 and links.join(links.select(*keys, F.col("a").alias("b")), [*keys, "b"], "left_semi").isEmpty():
-            break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = links.select(*keys, F.col("b").alias("node"), F.col("a").alias("component"))
