@@ -267,6 +267,38 @@ def test_langid(documents, odd_docs, spark):
     assert all(r["lang_pred"] == "und" for r in langid.identify(odd_docs, None).collect())
 
 
+def test_langid_net_by_loops():
+    """Filters, maxima and softmax of every window, one byte at a time."""
+    import math
+
+    import numpy as np
+
+    config = langid.Config(window=12, filters=2)
+    net = langid.ByteConvNet.new(config, ["a", "b", "c"])
+    texts = [b"some words of a text, longer than a window", b"short", "é and more".encode(), b"12 34", None, b""]
+    span = config.window - max(config.widths) + 1
+
+    def loops(text):
+        logs = []
+        for at in range(0, len(text), config.window):
+            part = text[at : at + config.window].ljust(config.window)
+            pooled = []
+            for f in range(len(net.bias)):
+                wide = [t for t in net.tables if f < t.shape[1]]  # as many bytes as the filter is wide
+                pooled.append(max(sum(float(t[part[i + j], f]) for j, t in enumerate(wide)) for i in range(span)) + float(net.bias[f]))
+            z = [sum(max(p, 0) * float(net.dense[i, k]) for i, p in enumerate(pooled)) + float(net.shift[k]) for k in range(3)]
+            total = math.log(sum(math.exp(x - max(z)) for x in z)) + max(z)
+            logs.append([x - total for x in z])
+        mean = [sum(x) / len(logs) for x in zip(*logs, strict=True)]
+        p = [math.exp(x) / sum(map(math.exp, mean)) for x in mean]
+        return net.labels[p.index(max(p))], max(p)
+
+    labels, scores = net.classify(texts)
+    for text, label, score in zip(texts[:3], labels, scores, strict=False):
+        assert (label, score) == (loops(text)[0], pytest.approx(loops(text)[1], rel=1e-4))
+    assert labels[3:] == ["und"] * 3 and scores[3:] == [0.0] * 3
+
+
 # --- language model
 
 
