@@ -66,20 +66,12 @@ def hash_sample(df: DataFrame, rows: int, most: int, ties: list[str]) -> DataFra
 
 
 BITS = 1 << 25  # of a set of ids that tasks know: 4 MB, however many ids there are
-
-
-def bit_of(key: Column, bits: int = BITS) -> Column:
-    """The bit of a key in ``id_bits``."""
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    return F.bitmap_bucket_number(place) * (8 * _BITMAP) + F.bitmap_bit_position(place)
-
-
 _BITMAP = 4096  # bytes of Spark's bitmaps
 
 
 def id_bits(ids: DataFrame, key: str, bits: int = BITS) -> np.ndarray:
-    """A bitmap of the hashes of ``ids``, to keep most other rows in the scan; an exact join follows it."""
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    """A bitmap of ``ids``, which are hashes, to keep most other rows in the scan; an exact join follows it."""
+    place = F.pmod(F.col(key), F.lit(bits))
     made = ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros((bits // (8 * _BITMAP) + 2, _BITMAP), np.uint8)
     for r in made.collect():  # of one size, set by ``bits``
@@ -87,5 +79,8 @@ def id_bits(ids: DataFrame, key: str, bits: int = BITS) -> np.ndarray:
     return out.ravel()
 
 
-def has_bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+def has_bit(table: np.ndarray, ids: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Which ids ``id_bits`` may hold. Spark's bitmaps number from 1: bucket 1 starts with value 1, value 0 is alone."""
+    at = ids % bits
+    at = np.where(at > 0, at + (8 * _BITMAP - 1), 0)
     return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

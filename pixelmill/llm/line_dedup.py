@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import added, bit_of, has_bit, id_bits, ship
+from pixelmill.llm.common import added, has_bit, id_bits, ship
 from pixelmill.plans.graph import connected_components
 from pixelmill.plans.storage import materialize
 
@@ -322,15 +322,11 @@ def line_texts(docs: DataFrame, wanted: DataFrame, config: Config) -> DataFrame:
                     if len(line) >= config.least:
                         lines.setdefault(xxh64_intdigest(line), line)
             ids = np.array(list(lines), np.uint64).view(np.int64)
-            yield _flush([ids, list(lines.values())], [pa.int64(), pa.binary()], ["line_id", "line"])
+            likely = has_bit(shared.value, ids, config.bits)
+            texts = [t.decode("utf-8", "replace") for t, hit in zip(lines.values(), likely.tolist(), strict=True) if hit]
+            yield _flush([ids[likely], texts], [pa.int64(), pa.string()], ["line_id", "line"])
 
-    def filtered(batches):
-        for b in batches:
-            b = b.filter(pa.array(has_bit(shared.value, b.column("at").to_numpy())))
-            yield _flush([b.column("line_id"), [t.decode("utf-8", "replace") for t in b.column("line").to_pylist()]], [pa.int64(), pa.string()], ["line_id", "line"])
-
-    every = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "line_id bigint, line binary")
-    likely = every.select("line_id", "line", bit_of(F.col("line_id"), config.bits).alias("at")).mapInArrow(filtered, "line_id bigint, line string")
+    likely = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "line_id bigint, line string")
     return likely.join(wanted, "line_id", "left_semi").groupBy("line_id").agg(F.min("line").alias("line"))
 
 

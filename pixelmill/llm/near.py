@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import LOWER, bit_of, has_bit, id_bits, ship
+from pixelmill.llm.common import LOWER, has_bit, id_bits, ship
 from pixelmill.plans.storage import materialize
 
 ship(__name__)
@@ -189,7 +189,7 @@ def verified(docs: DataFrame, found: DataFrame, size: int, percent: int) -> Data
 
     def likely(batches):
         for b in batches:
-            yield b.filter(pa.array(has_bit(shared.value, b.column("at").to_numpy())))
+            yield b.filter(pa.array(has_bit(shared.value, b.column(0).to_numpy())))
 
     def sets(batches):
         for hs, texts in each_once(likely(batches)):
@@ -204,7 +204,7 @@ def verified(docs: DataFrame, found: DataFrame, size: int, percent: int) -> Data
                 good.append(100 * k >= percent * (m + n - k))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
-    found_sets = keyed_texts(docs).select("h", "text", bit_of(F.col("h")).alias("at")).mapInArrow(sets, "h bigint, grams binary")
+    found_sets = keyed_texts(docs).mapInArrow(sets, "h bigint, grams binary")
     whole = materialize(found_sets.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("grams").alias("grams")))
     left = found.join(whole.select(F.col("h").alias("a"), F.col("grams").alias("x")), "a")
     both = left.join(whole.select(F.col("h").alias("b"), F.col("grams").alias("y")), "b")

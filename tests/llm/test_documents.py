@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pixelmill.llm import decontamination, langid, line_dedup, lm, mixing, quality, sharding, simhash, suffix_dedup
+from pixelmill.llm import common, decontamination, langid, line_dedup, lm, mixing, quality, sharding, simhash, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -479,6 +479,16 @@ def test_suffix_dedup_extends_both_ways(spark):
     assert got == {(0, 30, 80), (1, 0, 50), (2, 64, 114), (5, 5, 125), (6, 0, 120)}
 
 
+def test_id_bits(spark):
+    import numpy as np
+
+    ids = [0, 1, 32767, 32768, 32769, 65535, 65536, -1, -(1 << 63), (1 << 63) - 1, 1 << 40, 12345678901]
+    table = common.id_bits(spark.createDataFrame([(i,) for i in ids], "k long"), "k", 1 << 17)
+    assert common.has_bit(table, np.array(ids), 1 << 17).all()
+    others = np.array([i for i in range(2, 1 << 17, 61) if i not in {x % (1 << 17) for x in ids}])
+    assert not common.has_bit(table, others, 1 << 17).any()
+
+
 # --- lines
 
 
