@@ -116,68 +116,77 @@ def each_once(batches, most: int = 1 << 22):
 
 
 def prefixes(docs: DataFrame, level: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(g, h, n) for every shingle g in the prefix of the text h of n shingles; once a task, so copies in one task are one."""
+    """(g, h, n, place) for every shingle g in the prefix of the text h of n shingles; once a task, so copies in one task are one."""
     table = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches):
         level = table.value
         for hs, texts in each_once(batches):
-            keys, ids, ns = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            keys, ids, ns, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
             for h, text in zip(hs, texts, strict=True):
                 grams = shingle_set(text, size)
                 first = prefix(grams, level, percent).view(np.int64) if len(grams) else np.zeros(1, np.int64)
                 keys.append(first)
                 ids.append(np.full(len(first), h, np.int64))
                 ns.append(np.full(len(first), len(grams), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, ids, ns)], names=["g", "h", "n"])
+                places.append(np.arange(len(first), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, ids, ns, places)], names=["g", "h", "n", "place"])
 
-    return keyed_texts(docs).mapInArrow(run, "g bigint, h bigint, n int")
+    return keyed_texts(docs).mapInArrow(run, "g bigint, h bigint, n int, place int")
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """``rows(g, h, n)`` whose g occurs again. The keys are a table of their own, so an adaptive join can split a hot one."""
+    """``rows(g, h, n, place)`` whose g occurs again. The keys are a table of their own, so an adaptive join can split a hot one."""
     rows = materialize(rows)
     twice = materialize(rows.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"))
     return materialize(rows.join(twice, "g", "left_semi").distinct())
 
 
 def apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows of buckets whose members lie in several components so far, with their component c and the bucket's least member y."""
-    named = materialize(rows.select("g", "h", "n").join(parts.withColumnRenamed("node", "h"), "h", "left").select("g", "h", "n", F.coalesce("component", "h").alias("c")))
-    told = named.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct("h", "n", "c")).alias("hub")).where("low < high")
+    """Rows of buckets whose members lie in several components so far, with their component c and the bucket's hub y:
+    the member that shares most of its prefix, as the text does that the others were made of."""
+    shared = rows.groupBy("h").agg(F.count("*").alias("shared"))
+    named = rows.select("g", "h", "n", "place").join(shared, "h").join(parts.withColumnRenamed("node", "h"), "h", "left")
+    named = materialize(named.select("g", "h", "n", "place", "shared", F.coalesce("component", "h").alias("c")))
+    hub = F.min(F.struct(-F.col("shared"), "h", "n", "c")).alias("hub")
+    told = named.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), hub).where("low < high")
     hubs = materialize(told.select("g", F.col("hub.h").alias("y"), F.col("hub.n").alias("y_n"), F.col("hub.c").alias("y_c")))
-    return materialize(named.join(hubs, "g"))
+    return materialize(named.drop("shared").join(hubs, "g"))
 
 
-def pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows(h, n, y, y_n), one per shared prefix shingle -> pairs (a, b) that share enough of them to be similar.
+def near_sizes(percent: int) -> F.Column:
+    return 100 * F.least("n", "y_n") >= percent * F.greatest("n", "y_n")
+
+
+def least_shared(percent: int) -> F.Column:
+    """Shingles that two sets of that similarity share at least."""
+    return F.ceil(percent * (F.col("n") + F.col("y_n")) / (100 + percent) - 1e-6)
+
+
+def hub_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """Each bucket's members with its hub, where their components differ: joins large groups by few pairs.
 
     Sets that share t elements share k of their first n - t + k; the prefixes say how large k may be.
     """
-    near = 100 * F.least("n", "y_n") >= percent * F.greatest("n", "y_n")
-    least = F.ceil(percent * (F.col("n") + F.col("y_n")) / (100 + percent) - 1e-6)
     rest = lambda n: F.ceil(percent * F.col(n) / 100 - 1e-6)
-    need = least - F.greatest(rest("n"), rest("y_n")) + 1
-    made = rows.where(near).select(F.least("h", "y").alias("a"), F.greatest("h", "y").alias("b"), need.alias("need"))
+    need = least_shared(percent) - F.greatest(rest("n"), rest("y_n")) + 1
+    made = live.where("c <> y_c").where(near_sizes(percent)).select(F.least("h", "y").alias("a"), F.greatest("h", "y").alias("b"), need.alias("need"))
     return made.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("need").alias("need")).where("k >= need").select("a", "b")
 
 
-def hub_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """Each bucket's members with its least one, where their components differ: joins large groups by few pairs."""
-    return pairs(live.where("c <> y_c"), percent)
-
-
 def open_pairs(live: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a bucket whose components still differ, if their two fingerprints differ in ``FAR`` of 128 bits or fewer.
+    """The pairs of a bucket whose components still differ and that can be similar.
 
-    A pair of similarity 0.8 differs in 19 bits on average with a deviation of 4, one of unrelated texts in 64: so
-    hardly any of the many pairs of a large bucket leave the join, and similar ones are as good as certain to.
+    The first shingle that two similar sets share comes early in both: what is left from it on must hold all that they
+    share. Other pairs don't leave the join, nor do those whose two fingerprints differ in more than ``FAR`` of 128
+    bits: a pair of similarity 0.8 differs in 19 on average with a deviation of 4, one of unrelated texts in 64.
     """
-    rows = materialize(live.select("g", "h", "n", "c").join(prints, "h"))
-    other = rows.select("g", *[F.col(c).alias(f"y_{c}") for c in ("h", "n", "c", "fingerprint", "second")])
+    rows = materialize(live.select("g", "h", "n", "place", "c").join(prints, "h"))
+    other = rows.select("g", *[F.col(c).alias(f"y_{c}") for c in ("h", "n", "place", "c", "fingerprint", "second")])
     far = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("y_fingerprint"))) + F.bit_count(F.col("second").bitwiseXOR(F.col("y_second")))
-    met = rows.join(other, "g").where((F.col("h") < F.col("y_h")) & (F.col("c") != F.col("y_c")) & (far <= FAR))
-    return pairs(met.withColumnRenamed("y_h", "y"), percent)
+    early = F.least(F.col("n") - F.col("place"), F.col("y_n") - F.col("y_place")) >= least_shared(percent)
+    met = rows.join(other, "g").where((F.col("h") < F.col("y_h")) & (F.col("c") != F.col("y_c")) & early & (far <= FAR))
+    return met.select(F.col("h").alias("a"), F.col("y_h").alias("b")).distinct()
 
 
 def verified(docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.llm import near
 from pixelmill.llm.common import keep_columns, ship
-from pixelmill.llm.near import hash_runs
+from pixelmill.llm.near import Tally, each_once, hash_runs, shingle_set  # by name, so that they travel by value
 from pixelmill.plans.graph import connected_components
 from pixelmill.plans.storage import materialize, scratch
 
@@ -20,6 +20,8 @@ ship(__name__)
 SHINGLE, DISTANCE = 4, 4
 #: Words of a shingle and the similarity, in per cent, of near copies where whole texts are compared.
 SIMILAR_SHINGLE, SIMILAR = 5, 80
+#: Rounds in which a bucket's members are tried with a hub before all that may still be similar are.
+HUBS = 1
 #: Distinct fingerprints of one bucket compared in one task; larger buckets are split by further blocks.
 BUCKET = 4096
 #: Blocks per level; all but DISTANCE of them agree. 64 bits, then 37 or fewer, then 20 or fewer are left open.
@@ -208,9 +210,9 @@ def _similar_groups(docs: DataFrame, size: int, percent: int, distance: int) ->
     names = ["h", "fingerprint", "second", "slice", "counts"]
 
     def first_pass(batches):
-        tally = near.Tally()
-        for hs, texts in near.each_once(batches):
-            sets = [near.shingle_set(t, size) for t in texts]
+        tally = Tally()
+        for hs, texts in each_once(batches):
+            sets = [shingle_set(t, size) for t in texts]
             tally.add(sets)
             prints = [pa.array([print_of([f(s)] if len(s) else []) for s in sets], pa.int64()) for f in (lambda s: s, remixed)]
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), *prints, pa.nulls(len(hs), pa.int32()), pa.nulls(len(hs), pa.binary())], names=names)
@@ -230,8 +232,9 @@ def _similar_groups(docs: DataFrame, size: int, percent: int, distance: int) ->
         return connected_components(tried.where("good").select("a", "b"))
 
     live = near.apart(near.buckets(near.prefixes(docs, level, size, percent)), linked(tried))
-    tried = tried.union(near.verified(docs, near.hub_pairs(live, percent).join(tried, ["a", "b"], "left_anti"), size, percent))
-    live = near.apart(live, linked(tried))
+    for _ in range(HUBS):
+        tried = tried.union(near.verified(docs, near.hub_pairs(live, percent).join(tried, ["a", "b"], "left_anti"), size, percent))
+        live = near.apart(live, linked(tried))
     tried = tried.union(near.verified(docs, near.open_pairs(live, marked, percent).join(tried, ["a", "b"], "left_anti"), size, percent))
     return marked.select("h").join(linked(tried).withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("component", "h").alias("component"))
 
