@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pixelmill.llm import decontamination, langid, licenses, line_dedup, lm, mixing, quality, sharding, simhash, suffix_dedup
+from pixelmill.llm import audit, decontamination, langid, licenses, line_dedup, lm, mixing, quality, sharding, simhash, suffix_dedup
 from pixelmill.llm.common import table
 
 
@@ -52,9 +53,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("part"))
+    return audit.interactions(docs, table(spark, sf_dir, "labels")).drop("letter")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_line_dedup, op3_lm_scoring, op4_simhash, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_mixing, op9_licenses, op10_sharding)}
+    return {f.__name__: f for f in (op1_langid, op2_line_dedup, op3_lm_scoring, op4_simhash, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_mixing, op9_licenses, op10_sharding, op11_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.ORACLE, "op6_decontamination": decontamination.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op11_filter_audit": audit.ORACLE, "op5_quality_rules": quality.ORACLE, "op6_decontamination": decontamination.ORACLE, "op8_mixing": mixing.ORACLE}
