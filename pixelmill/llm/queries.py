@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import audit, decontamination, langid, licenses, line_dedup, lm, mixing, quality, sharding, simhash, suffix_dedup
+from pixelmill.llm import audit, bpe, decontamination, langid, licenses, line_dedup, lm, mixing, quality, sharding, simhash, suffix_dedup
 from pixelmill.llm.common import table
 
 
@@ -58,8 +58,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(docs, table(spark, sf_dir, "labels")).drop("letter")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.report(table(spark, sf_dir, "documents"), bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_line_dedup, op3_lm_scoring, op4_simhash, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_mixing, op9_licenses, op10_sharding, op11_filter_audit)}
+    return {f.__name__: f for f in (op1_langid, op2_line_dedup, op3_lm_scoring, op4_simhash, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_mixing, op9_licenses, op10_sharding, op11_filter_audit, op12_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
