@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import audit, bpe, decontamination, langid, licenses, line_dedup, lm, mixing, quality, sharding, simhash, suffix_dedup
+from pixelmill.llm import audit, bpe, decontamination, langid, licenses, line_dedup, lm, mixing, quality, sharding, simhash, suffix_dedup, trie
 from pixelmill.llm.common import table
 
 
@@ -64,9 +64,13 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("a", "b")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_line_dedup, op3_lm_scoring, op4_simhash, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_mixing, op9_licenses, op10_sharding, op11_filter_audit, op12_byte_bpe)}
+    return {f.__name__: f for f in (op1_langid, op2_line_dedup, op3_lm_scoring, op4_simhash, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_mixing, op9_licenses, op10_sharding, op11_filter_audit, op12_byte_bpe, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_filter_audit": audit.ORACLE, "op5_quality_rules": quality.ORACLE, "op6_decontamination": decontamination.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op11_filter_audit": audit.ORACLE, "op5_quality_rules": quality.ORACLE, "op6_decontamination": decontamination.ORACLE, "op8_mixing": mixing.ORACLE, "op13_conversation_trie": trie.ORACLE}
