@@ -205,7 +205,8 @@ def _ranked(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((conv_id, pos, digest, bytes): turns from 1; (conv_id, depth): all conversations with their numbers of turns).
 
-    Conversation c gets the first h turns of c - c % 5, where h = crc32(c) % 9, then its own after its first h.
+    Conversation c gets the first h turns of c - c % 5, where h = crc32(c) % 9, then its own after its first h. As in SQL,
+    the remainder has the sign of c.
     """
     turns, lengths = _ranked(conversations)
     each = lengths.withColumns({"source": F.expr(f"conv_id - conv_id % {FAMILY}"), "h": F.crc32(F.col("conv_id").cast("string").cast("binary")) % (MOST_COPIED + 1)})
