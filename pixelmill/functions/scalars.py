@@ -142,6 +142,13 @@ def operation(op: str, a: Arg, b: Arg) -> Column:
 # --- numbers and text
 
 
+def saturate(value: Arg, kind: str = "bigint") -> Column:
+    """A number cut toward zero to an int or bigint; those out of its range give its nearest end, NaN gives 0."""
+    x, bits = _double(value), {"int": 31, "bigint": 63}[kind]
+    end = lambda v: F.lit(v).cast(kind)
+    return case([(F.isnan(x), end(0)), (x >= float(1 << bits), end((1 << bits) - 1)), (x <= -float(1 << bits), end(-(1 << bits)))], x.try_cast(kind))
+
+
 def number_to_text(value: Arg) -> Column:
     """Shortest decimal without an exponent; whole numbers without a fraction."""
     text = _double(value).cast("string")
@@ -302,7 +309,8 @@ def param_number(params: Column, key: str, default: Arg) -> Column:
 
 
 def param_integer(params: Column, key: str, default: Arg) -> Column:
-    return F.round(param_number(params, key, default)).cast("bigint")
+    """``param_number`` rounded half away from zero; beyond the range of a bigint its nearest end, NaN is 0."""
+    return saturate(F.round(param_number(params, key, default)))
 
 
 def param_bool(params: Column, key: str, default: Arg) -> Column:
@@ -415,7 +423,7 @@ def gray_bits(all_1: Column, all_2: Column, all_4: Column) -> Column:
 
 
 def jpeg_quality(loss: Arg) -> Column:
-    return F.greatest(F.lit(1), F.least(F.lit(100), F.round(F.lit(100.0) - _double(loss)).cast("int")))
+    return F.greatest(F.lit(1), F.least(F.lit(100), saturate(F.round(F.lit(100.0) - _double(loss)), "int")))
 
 
 def anchor(name: str) -> tuple[float, float]:

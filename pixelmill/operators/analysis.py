@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pixelmill.functions.args import ID
-from pixelmill.functions.scalars import Arg, case, col, gray_bits, min_index_bits
+from pixelmill.functions.scalars import Arg, case, col, gray_bits, min_index_bits, saturate
 
 FLAT = 0.62  # flatness above which a video counts as animation
 CRF = {"h264": 23, "h265": 26, "av1": 30, "vp9": 31}
@@ -90,8 +90,8 @@ def encode_plan(probes: DataFrame, preset: str = "balanced", keep_resolution: bo
         asked = col(advanced.get("codec", "auto"))
         codec = F.when(asked.isin(*CRF), asked).otherwise(F.when(webm, F.lit("vp9")).otherwise(F.lit("h264")))
         most = col(advanced.get("max_height", "keep")).cast("string")
-        audio = F.greatest(F.lit(32), F.least(F.lit(512), col(advanced.get("audio_kbps", 128)).cast("int")))
-        crf = F.coalesce(col(advanced["crf"]).cast("int"), crf_of(codec)) if "crf" in advanced else crf_of(codec)
+        audio = F.greatest(F.lit(32), F.least(F.lit(512), saturate(advanced.get("audio_kbps", 128), "int")))
+        crf = F.coalesce(saturate(advanced["crf"], "int"), crf_of(codec)) if "crf" in advanced else crf_of(codec)
         limit = F.when(most.isin("2160", "1440", "1080", "720", "480"), most.try_cast("int"))
         out = {"codec": codec, "crf": crf, "speed": col(advanced.get("speed", "medium")), "aq": col(advanced.get("aq", "auto")), "audio_kbps": audio, "max_height": limit}
     else:

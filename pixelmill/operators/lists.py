@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pixelmill.functions.args import ID
-from pixelmill.functions.scalars import Arg, case, col, is_image, is_video, number_to_text, text_to_number, valid_file_name
+from pixelmill.functions.scalars import Arg, case, col, is_image, is_video, number_to_text, saturate, text_to_number, valid_file_name
 from pixelmill.operators.pixels import note
 
 MOST_REPEATS = 100_000
@@ -25,8 +25,8 @@ def for_each(df: DataFrame, list_col: str, limit: int = 0, element: str = "eleme
 
 
 def repeat(df: DataFrame, times: Arg = 3) -> DataFrame:
-    """Each row ``times`` times with ``index`` 0 to times - 1; 0 times gives none."""
-    n = F.greatest(F.lit(0), F.least(F.lit(MOST_REPEATS), col(times).cast("int")))
+    """Each row ``times`` times with ``index`` 0 to times - 1; 0 times or less gives none, over MOST_REPEATS as many as that."""
+    n = F.greatest(F.lit(0), F.least(F.lit(MOST_REPEATS), saturate(times, "int")))
     turns = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     return _with_path(df, df.select("*", F.explode(turns).alias("index")))
 

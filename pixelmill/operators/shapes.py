@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 
 import numpy as np
@@ -13,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pixelmill.functions.args import ID, bind, sizes
-from pixelmill.functions.scalars import Arg, color_distance, rgba
+from pixelmill.functions.scalars import Arg, color_distance, rgba, saturate
 from pixelmill.operators.pixels import crop_boxes, note
+from pixelmill.operators.tiles import TILE, dilated
 from pixelmill.plans.graph import connected_components
 from pixelmill.plans.storage import materialize
 
@@ -48,51 +48,41 @@ def runs(pixels: DataFrame, predicate: Column | str) -> DataFrame:
     return fit.groupBy(ID, "y", "_i").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_i")
 
 
-def merged(intervals: DataFrame) -> DataFrame:
-    """Disjoint union of ``intervals(image_id, y, x0, x1)`` in each row."""
-    row = Window.partitionBy(ID, "y").orderBy("x0", "x1")
-    before = F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = intervals.withColumn("_new", F.when(F.coalesce(F.col("x0") > before + 1, F.lit(True)), 1).otherwise(0))
-    parts = fresh.withColumn("_part", F.sum("_new").over(row))
-    return parts.groupBy(ID, "y", "_part").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_part")
-
-
-def border(images: DataFrame, pixels: DataFrame, thickness: Arg = 1, color: str | Column = "#000000") -> tuple[DataFrame, DataFrame, DataFrame]:
+def border(images: DataFrame, pixels: DataFrame, thickness: Arg = 1, color: str | Column = "#000000", tile: int = TILE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, pixels, notes) with an outline: clear pixels within ``thickness`` + 0.5 of content take the colour; the canvas grows to fit it.
 
-    Distance is a chamfer with steps 1 and sqrt(2). A content run, moved by dy rows and widened by the dx that
-    the distance still allows there, covers what it paints; those intervals are merged per row before any
-    pixel meets them, so the work grows with runs times thickness, not with its square. Notes tell of images that
+    Distance is a chamfer with steps 1 and sqrt(2), transformed in tiles with a halo of ``thickness`` pixels
+    (``tiles.dilated``); what it paints are intervals, which pixels meet by row and tile. So neither how many rows
+    move nor what a task holds grows with an image, and only the halo grows with the thickness. Notes tell of images that
     stay as they are (thickness 0, or nothing but clear pixels) and of a clear colour, which adds margins alone.
     """
     names = pixels.columns
     bounds = content_bounds(pixels)
     base, arg = bind(sizes(images).join(bounds, ID), images, thickness=thickness, color=color)
-    t = F.greatest(F.lit(0), F.least(F.lit(256), arg["thickness"].cast("int")))
+    t = F.greatest(F.lit(0), F.least(F.lit(256), saturate(arg["thickness"], "int")))
     grow = lambda margin: F.greatest(F.lit(0), F.col("_t") - margin)
     plan = base.withColumns({"_t": t, "_c": arg["color"]}).select(ID, "_w", "_h", "_t", "_c", "x0", "y0", "x1", "y1").where("_t > 0")
     plan = plan.select(
         ID, "_w", "_h", "_t", "_c", grow(F.col("x0")).alias("_left"), grow(F.col("y0")).alias("_top"), grow(F.expr("_w - 1 - x1")).alias("_right"), grow(F.expr("_h - 1 - y1")).alias("_bottom")
     )
-    reach, ady, root = F.col("_t") + 0.5, F.abs("_dy"), math.sqrt(2)
-    far = F.floor(reach + ady - F.lit(root) * ady).cast("int")
-    near = F.floor((reach - ady) / (root - 1)).cast("int")
-    wide = runs(pixels, "a <> 0").join(plan, ID).withColumn("_dy", F.explode(F.sequence(-F.col("_t"), F.col("_t")))).withColumn("_dx", F.when(far >= ady, far).otherwise(near))
-    painted = merged(wide.select(ID, F.expr("y + _dy + _top").alias("y"), F.expr("x0 - _dx + _left").alias("x0"), F.expr("x1 + _dx + _left").alias("x1")))
+    wide = runs(pixels, "a <> 0").join(plan, ID).select(
+        ID, F.expr("y + _top").alias("y"), F.expr("x0 + _left").alias("x0"), F.expr("x1 + _left").alias("x1"), "_t", F.expr("_w + _left + _right").alias("_w"), F.expr("_h + _top + _bottom").alias("_h")
+    )
+    painted = dilated(wide, tile)
     moved = pixels.join(plan.select(ID, "_left", "_top"), ID, "left").withColumns({"x": F.expr("x + coalesce(_left, 0)"), "y": F.expr("y + coalesce(_top, 0)")}).select(*names)
     span = lambda low, high: F.expr(f"if({high} > {low}, sequence({low}, {high} - 1), cast(array() as array<int>))")
     beside = F.concat(span("0", "_left"), span("_left + _w", "_left + _w + _right"))
     rows = plan.withColumn("y", F.explode(F.expr("sequence(0, _h + _top + _bottom - 1)")))
     cells = rows.withColumn("x", F.explode(F.when(F.expr("y < _top or y >= _top + _h"), span("0", "_left + _w + _right")).otherwise(beside)))
     canvas = moved.unionByName(cells.select(ID, "x", "y", *[F.lit(0).alias(c) for c in "rgba"]).select(*names))
-    ink = painted.join(plan.select(ID, "_c"), ID).select(F.col(ID).alias("_id"), F.col("y").alias("_y"), "x0", "x1", "_c")
+    ink = painted.join(plan.select(ID, "_c"), ID).select(F.col(ID).alias("_id"), F.col("y").alias("_y"), "_tx", "x0", "x1", "_c")
     # a row's intervals lie apart, so a pixel meets one at most
-    inked = canvas.join(ink, F.expr("image_id = _id and y = _y and a = 0 and x between x0 and x1"), "left")
+    inked = canvas.join(ink, F.expr(f"image_id = _id and y = _y and x div {tile} = _tx and a = 0 and x between x0 and x1"), "left")
     out = inked.withColumns({c: F.coalesce(F.col(f"_c.{c}"), F.col(c)) for c in "rgba"}).select(*names)
     grown = images.join(plan.select(ID, "_left", "_top", "_right", "_bottom"), ID, "left")
     bigger = grown.withColumns({"width": F.expr("width + coalesce(_left + _right, 0)"), "height": F.expr("height + coalesce(_top + _bottom, 0)")})
     sized, arg = bind(sizes(images), images, thickness=thickness, color=color)
-    told = sized.select(ID, arg["thickness"].cast("int").alias("_t"), arg["color"]["a"].alias("_a")).join(bounds.select(ID, "x0"), ID, "left")
+    told = sized.select(ID, saturate(arg["thickness"], "int").alias("_t"), arg["color"]["a"].alias("_a")).join(bounds.select(ID, "x0"), ID, "left")
     text = F.when(F.col("_t") <= 0, F.lit("thickness 0: the image stays as it is")).when(F.col("x0").isNull(), F.lit("the image is clear: nothing to outline"))
     text = text.when(F.col("_a") == 0, F.lit("the colour is clear: margins alone are added"))
     return bigger.select(*images.columns), out, note(told.withColumn("_m", text).where("_m is not null"), "border", "ok", F.col("_m"))
@@ -232,7 +222,7 @@ def split_components(images: DataFrame, pixels: DataFrame, connectivity: int = 8
     order = Window.partitionBy(ID).orderBy("y0", "x0", "component")
     kept = boxes.where("area >= _least").withColumn("piece", F.row_number().over(order))
     sized, arg = bind(sizes(images), images, pad=padding)
-    placed = sized.withColumn("_pad", arg["pad"].cast("int")).join(kept, ID, "left")
+    placed = sized.withColumn("_pad", F.least(F.lit(1 << 30), saturate(arg["pad"], "int"))).join(kept, ID, "left")
     box = placed.select(
         ID,
         F.coalesce("piece", F.lit(1)).alias("piece"),

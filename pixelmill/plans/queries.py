@@ -92,13 +92,21 @@ def t_formats(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", sc.format_from_extension(path).alias("by_extension"), sc.sniff_format(head).alias("by_content"), sc.container_from_extension(path).alias("container"))
 
 
-@register("""SELECT event_id, json_extract_string(props, '$.k') AS text, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS number, CAST(json_extract_string(props, '$.k') AS BIGINT) AS whole,
-  json_extract_string(props, '$.k') <> '0' AS flag, greatest(10.0, least(50.0, CAST(json_extract_string(props, '$.k') AS DOUBLE))) AS clamped, 7.5 AS other FROM events""")
+# numbers and texts that no bigint holds, beside some that fit
+_HUGE = "CASE event_id % 5 WHEN 0 THEN '{\"k\":\"inf\"}' WHEN 1 THEN '{\"k\":-1e30}' WHEN 2 THEN '{\"k\":\"NaN\"}' WHEN 3 THEN '{\"k\":\"-inf\"}' ELSE concat('{\"k\":', event_id, 'e', event_id % 25, '}') END"
+
+
+@register(f"""SELECT event_id, json_extract_string(props, '$.k') AS text, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS number, CAST(json_extract_string(props, '$.k') AS BIGINT) AS whole,
+  json_extract_string(props, '$.k') <> '0' AS flag, greatest(10.0, least(50.0, CAST(json_extract_string(props, '$.k') AS DOUBLE))) AS clamped, 7.5::DOUBLE AS other,
+  CASE WHEN isnan(h) THEN 0 WHEN h >= 9223372036854775808::DOUBLE THEN 9223372036854775807 WHEN h <= -9223372036854775808::DOUBLE THEN -9223372036854775807 - 1 ELSE CAST(h AS BIGINT) END AS huge
+  FROM (SELECT *, CAST(json_extract_string({_HUGE}, '$.k') AS DOUBLE) AS h FROM events)""")
 def t_params(spark, sf_dir):
     p = F.col("props")
     merged = sc.with_defaults({"k": sc.param_number(p, "k", 0)}, {"k": 1.0, "other": 7.5}, {"k": (10.0, 50.0)})
-    out = table(spark, sf_dir, "events").select("event_id", sc.param_text(p, "k", "").alias("text"), sc.param_number(p, "k", 0).alias("number"), sc.param_integer(p, "k", 0).alias("whole"), sc.param_bool(p, "k", False).alias("flag"), merged.alias("m"))
-    return out.select("event_id", "text", "number", "whole", "flag", F.col("m.k").alias("clamped"), F.col("m.other").alias("other"))
+    out = table(spark, sf_dir, "events").select(
+        "event_id", sc.param_text(p, "k", "").alias("text"), sc.param_number(p, "k", 0).alias("number"), sc.param_integer(p, "k", 0).alias("whole"), sc.param_bool(p, "k", False).alias("flag"), merged.alias("m"), sc.param_integer(F.expr(_HUGE), "k", 0).alias("huge")
+    )
+    return out.select("event_id", "text", "number", "whole", "flag", F.col("m.k").alias("clamped"), F.col("m.other").alias("other"), "huge")
 
 
 _FORMATS = "['png', 'jpeg', 'mp4', 'webm', 'zip'][page_id % least(page_id // 50 + 1, 5) + 1]"
@@ -271,15 +279,22 @@ def n_crop_content(spark, sf_dir):
     return shapes.crop_content(images, pixels.remove_color(px, "#808080", 90))[1]
 
 
-@register(f"""WITH {PX}, k AS (SELECT * EXCLUDE (a), CASE WHEN {_FAR} <= 90 THEN 0 ELSE a END AS a FROM px), bo AS ({_BOUNDS.format('k')}), p AS (
-  SELECT image_id, greatest(0, t - x0) AS l, greatest(0, t - y0) AS u, greatest(0, t - (7 - x1)) AS rr, greatest(0, t - (7 - y1)) AS d, t FROM (SELECT *, image_id % 3 AS t FROM bo) WHERE t > 0), c AS (
-  SELECT image_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, t FROM (SELECT *, unnest(range(0, 8 + l + rr)) AS x FROM p) a, (SELECT unnest(range(0, 20)) AS y) b WHERE y < 8 + u + d), s AS (
-  SELECT image_id, x + coalesce(l, 0) AS x, y + coalesce(u, 0) AS y, r, g, b, a FROM k LEFT JOIN p USING (image_id)), f AS (
-  SELECT coalesce(c.image_id, s.image_id) AS image_id, coalesce(c.x, s.x) AS x, coalesce(c.y, s.y) AS y, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, coalesce(a, 0) AS a, coalesce(t, 0) AS t FROM c FULL JOIN s ON c.image_id = s.image_id AND c.x = s.x AND c.y = s.y), h AS (
-  SELECT DISTINCT f.image_id, f.x, f.y FROM (SELECT *, f.x + dx AS qx, f.y + dy AS qy, greatest(abs(dx), abs(dy)) - least(abs(dx), abs(dy)) + sqrt(2) * least(abs(dx), abs(dy)) AS far
-    FROM f, (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy) WHERE a = 0 AND t > 0) f JOIN f q ON f.image_id = q.image_id AND f.qx = q.x AND f.qy = q.y AND q.a <> 0 AND far <= f.t + 0.5)
-  SELECT f.image_id, f.x, f.y, CASE WHEN h.x IS NULL THEN r ELSE 255 END AS r, CASE WHEN h.x IS NULL THEN g ELSE 0 END AS g, CASE WHEN h.x IS NULL THEN b ELSE 16 END AS b, CASE WHEN h.x IS NULL THEN a ELSE 255 END AS a
-  FROM f LEFT JOIN h ON f.image_id = h.image_id AND f.x = h.x AND f.y = h.y""")
+def _border_sql(px: str, side: int, thickness: str) -> str:
+    """An outline of at most 2 pixels, colour #ff0010, around what is left of ``px`` without grey. No join has an inequality."""
+    offsets = ", ".join(f"{{'dx': {x}, 'dy': {y}, 'far': {abs(abs(x) - abs(y))} + sqrt(2) * {min(abs(x), abs(y))}}}" for x in range(-2, 3) for y in range(-2, 3))
+    return f"""WITH {px}, k AS MATERIALIZED (SELECT * EXCLUDE (a), CASE WHEN {_FAR} <= 90 THEN 0 ELSE a END AS a FROM px), bo AS ({_BOUNDS.format('k')}), p AS MATERIALIZED (
+  SELECT image_id, greatest(0, t - x0) AS l, greatest(0, t - y0) AS u, greatest(0, t - ({side - 1} - x1)) AS rr, greatest(0, t - ({side - 1} - y1)) AS d, t FROM (SELECT *, {thickness} AS t FROM bo) WHERE t > 0), rows AS (
+  SELECT *, unnest(range(0, {side} + u + d)) AS y FROM p), c AS MATERIALIZED (
+  SELECT image_id, CAST(unnest(range(0, {side} + l + rr)) AS INT) AS x, CAST(y AS INT) AS y FROM rows), s AS MATERIALIZED (
+  SELECT image_id, x + coalesce(l, 0) AS x, y + coalesce(u, 0) AS y, r, g, b, a, coalesce(t, 0) AS t FROM k LEFT JOIN p USING (image_id)), f AS (
+  SELECT image_id, x, y, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, coalesce(a, 0) AS a FROM c FULL JOIN s USING (image_id, x, y)), o AS (
+  SELECT image_id, x, y, t, unnest([{offsets}]) AS o FROM s WHERE a <> 0 AND t > 0), h AS MATERIALIZED (
+  SELECT DISTINCT image_id, x + o.dx AS x, y + o.dy AS y, true AS hit FROM o WHERE o.far <= t + 0.5)
+  SELECT image_id, x, y, CASE WHEN hit AND a = 0 THEN 255 ELSE r END AS r, CASE WHEN hit AND a = 0 THEN 0 ELSE g END AS g, CASE WHEN hit AND a = 0 THEN 16 ELSE b END AS b, CASE WHEN hit AND a = 0 THEN 255 ELSE a END AS a
+  FROM f LEFT JOIN h USING (image_id, x, y)"""
+
+
+@register(_border_sql(PX, 8, "CAST(image_id % 3 AS INT)"))
 def n_border(spark, sf_dir):
     images, px = both(spark, sf_dir)
     return shapes.border(images, pixels.remove_color(px, "#808080", 90), F.col("seq") % 3, "#ff0010")[1]

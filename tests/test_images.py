@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelmill.functions import scalars
-from pixelmill.operators import analysis, lists, palettes, pixels, resample, shapes
+from pixelmill.operators import analysis, lists, palettes, pixels, resample, shapes, tiles
 from pixelmill.plans import queries
 from pixelmill.sources import files
 
@@ -91,6 +91,34 @@ def test_border(spark, t):
         assert padded[0, 0] == CLEAR and padded[3, 3] == WHITE and len(padded) == 64
 
 
+@pytest.mark.parametrize("t, tile", [(1, 3), (4, 3), (16, 5), (256, 512), (256, 100)])
+def test_border_over_tiles(spark, t, tile):
+    specs = [noise(11, 7, 2, 0.95), (1, 1, RED, {}), (9, 2, CLEAR, {(x, 1): BLUE for x in range(1, 9)}), (4, 5, CLEAR, {(0, 4): RED}), (3, 3, CLEAR, {})][: 4 if t > 16 else 5]
+    if t > 16:
+        specs = specs[1:2]
+    images, px = grid(spark, *specs)
+    bigger, out, _ = shapes.border(images, px, t, "#ff0000", tile)
+    for i, (w, h, bg, at) in enumerate(specs):
+        want, dims = brute_border(w, h, {(x, y): at.get((x, y), bg) for x in range(w) for y in range(h)}, t, RED)
+        assert cells(out, i) == want and size(bigger, i) == dims
+
+
+def test_halo_rows_do_not_grow_with_thickness(spark):
+    _, px = grid(spark, noise(30, 20, 3, 0.5))
+    found = shapes.runs(px, "a <> 0")
+    spread = {t: tiles.with_halo(found.selectExpr("image_id", "y + 2000 AS y", "x0 + 2000 AS x0", "x1 + 2000 AS x1", f"{t} AS _t", "9000 AS _w", "9000 AS _h")).count() for t in (1, 16, 256)}
+    assert found.count() <= spread[1] <= spread[16] <= spread[256] <= 9 * found.count()
+
+
+def test_chamfer():
+    rng = np.random.default_rng(4)
+    for h, w in ((1, 1), (1, 9), (7, 1), (12, 15)):
+        mask = rng.random((h, w)) < 0.1
+        mask[0, -1] = True
+        far = lambda y, x: min(max(abs(y - v), abs(x - u)) - min(abs(y - v), abs(x - u)) + math.sqrt(2) * min(abs(y - v), abs(x - u)) for v, u in np.argwhere(mask))  # noqa: E731, B023
+        assert np.allclose(tiles.chamfer(mask), [[far(y, x) for x in range(w)] for y in range(h)])
+
+
 def brute_labels(at, eight):
     seen, out = set(), {}
     steps = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx or dy) and (eight or not dx or not dy)]

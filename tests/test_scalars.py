@@ -80,3 +80,11 @@ def test_params(spark):
     assert values(spark, lambda p: sc.param_bool(p, "k", True), rows, "string")[3:5] == [True, True]
     assert values(spark, lambda p: sc.param_text(p, "k", "x"), rows, "string")[:11] == ["true", "2", "[a]", "x", "x", "2.5", "false", " YES ", "x", "x", "x"]
     assert values(spark, lambda p: sc.param_number(p, "k", 7), rows, "string")[12] == 12345678901234567890.0
+
+
+def test_integers_saturate(spark):
+    cases = {'{"k":1e30}': 2**63 - 1, '{"k":"1e30"}': 2**63 - 1, '{"k":"inf"}': 2**63 - 1, '{"k":-1e30}': -(2**63), '{"k":"-inf"}': -(2**63), '{"k":"NaN"}': 0, '{"k":2.5}': 3, '{"k":-2.5}': -3, '{"k":9e18}': 9 * 10**18, "{}": 7}
+    df = spark.createDataFrame(list(cases.items()), "p string, want long")
+    assert all(r["got"] == r["want"] for r in df.select("want", sc.param_integer(F.col("p"), "k", 7).alias("got")).collect())
+    ends = [(1e30, 2**31 - 1), (-1e30, -(2**31)), (float("nan"), 0), (float("inf"), 2**31 - 1), (5.9, 5), (-5.9, -5), (None, None), (2.0**31 - 1, 2**31 - 1), (2.0**31, 2**31 - 1)]
+    assert all(r["got"] == r["n"] for r in spark.createDataFrame(ends, "x double, n long").select("n", sc.saturate(F.col("x"), "int").alias("got")).collect())
