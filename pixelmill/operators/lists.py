@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pixelmill.functions.args import ID
 from pixelmill.functions.scalars import Arg, case, col, is_image, is_video, number_to_text, saturate, text_to_number, valid_file_name
 from pixelmill.operators.pixels import note
+from pixelmill.plans.storage import exists, materialize, touch
 
 MOST_REPEATS = 100_000
 MOST_BRANCHES = 32
+CHUNK = 4096
 
 
 def for_each(df: DataFrame, list_col: str, limit: int = 0, element: str = "element") -> DataFrame:
@@ -47,6 +49,34 @@ def in_sequence(*branches: DataFrame) -> DataFrame:
     return out
 
 
+def run_in_order(spark: SparkSession, steps: list[Callable[[], None]], folder: str) -> list[int]:
+    """Run ``steps``, which write something each, one after the other; returns the numbers of those that ran now.
+
+    A step begins when all before it are done. One that fails raises, and none after it runs. Each leaves a marker in
+    ``folder`` when it is done, so a rerun with that folder begins at the one that failed.
+    """
+    if not 1 <= len(steps) <= MOST_BRANCHES:
+        raise ValueError(f"1 to {MOST_BRANCHES} branches")
+    ran = []
+    for i, step in enumerate(steps):
+        done = f"{folder.rstrip('/')}/_done/{i}"
+        if not exists(done, spark):
+            step()
+            touch(done, spark)
+            ran.append(i)
+    return ran
+
+
+def write_in_sequence(branches: list[DataFrame], folder: str) -> DataFrame:
+    """``in_sequence`` as tables that are written in order, ``branch=0`` first, and read back together.
+
+    A branch that was left half written is written anew; finished ones aren't computed again (``run_in_order``).
+    """
+    spark, base = branches[0].sparkSession, folder.rstrip("/")
+    run_in_order(spark, [lambda df=df, i=i: df.write.mode("overwrite").parquet(f"{base}/branch={i}") for i, df in enumerate(branches)], folder)
+    return in_sequence(*[spark.read.schema(df.schema).parquet(f"{base}/branch={i}") for i, df in enumerate(branches)])
+
+
 def on_complete(groups: DataFrame, elements: DataFrame, group: list[str]) -> DataFrame:
     """Groups all of whose elements are ok; a group without elements is complete."""
     bad = elements.where("status <> 'ok'").select(*group).distinct()
@@ -69,12 +99,37 @@ def running_add(df: DataFrame, group: list[str], order: list[str], value: str, i
 def fold(df: DataFrame, group: list[str], order: list[str], value: str, init: Column, merge: Callable[[Column, Column], Column]) -> DataFrame:
     """Final state per group: ``merge(state, value)`` over its values in order.
 
-    A group's values become one array, so a group must fit in a task; sums have ``running_add`` or ``sum``.
+    A group's values become one array, so a group must fit in a task; sums have ``running_add`` or ``sum``, and
+    groups of any length ``fold_associative``.
     """
     ordered = F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda x: x["_v"])
     return df.groupBy(*group).agg(F.aggregate(ordered, init, merge).alias("state"))
 
 
+def fold_associative(df: DataFrame, group: list[str], order: list[str], state: Column, merge: Callable[[Column, Column], Column], chunk: int = CHUNK) -> DataFrame:
+    """``fold`` of groups of any length where ``merge`` is associative: ``state`` of each row, merged in order, per group.
+
+    ``merge`` needn't be commutative: f after g, texts end to end, the last value that isn't null. Rows are dealt by ranges of
+    (group, order), so a large group is spread over many tasks; each merges chunks of so many rows, then chunks of
+    chunks, until one state of its part is left. The parts of a group, at most as many as there are tasks, are merged last.
+    No array is longer than ``chunk`` or the number of tasks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.select(*group, *order, state.alias("_state")).repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()))
+    part = [*group, "_part"]
+    most = dealt.groupBy(*part).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    left = dealt.withColumn("_at", F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1)
+
+    def merged(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+        states = F.transform(F.sort_array(F.collect_list(F.struct(place, "_state"))), lambda x: x["_state"])
+        return rows.groupBy(*keys).agg(states.alias("_states")).withColumn("_state", F.aggregate(F.slice("_states", 2, F.size("_states")), F.get("_states", F.lit(0)), merge)).drop("_states")
+
+    while most > 1:
+        left = merged(left.withColumn("_chunk", F.floor(F.col("_at") / chunk).cast("int")), [*part, "_chunk"], "_at").withColumnRenamed("_chunk", "_at")
+        most = -(-most // chunk)
+    return merged(left.drop("_at"), group, "_part").withColumnRenamed("_state", "state")
+
+
 def last_write(df: DataFrame, key: list[str], order: list[str], value: str, default: Arg | None = None) -> DataFrame:
     """The value written last under each key; ``default`` where that is null."""
     latest = F.max_by(value, F.struct(*order))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pixelmill.functions import scalars as sc
 from pixelmill.operators import analysis, lists, palettes, pixels, resample, shapes
 from pixelmill.plans.fixtures import DPX, IM, PX, doc_images, doc_pixels, emb_images, emb_pixels, table
-from pixelmill.plans.storage import new_folder
+from pixelmill.plans.storage import materialize, new_folder
 from pixelmill.sources import files, headers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -512,6 +512,15 @@ def l_in_sequence(spark, sf_dir):
     return lists.in_sequence(first, second).select("branch", "k", "v")
 
 
+@register("SELECT 0 AS branch, CAST(o_orderkey AS BIGINT) AS k, o_orderpriority AS v FROM orders UNION ALL SELECT 1, CAST(event_id AS BIGINT), event_type FROM events UNION ALL SELECT 2, p_partkey, p_name FROM part")
+def l_ordered_sinks(spark, sf_dir):
+    """Three tables written in order, each after the one before is complete."""
+    first = table(spark, sf_dir, "orders").selectExpr("cast(o_orderkey as bigint) AS k", "o_orderpriority AS v")
+    second = table(spark, sf_dir, "events").selectExpr("cast(event_id as bigint) AS k", "event_type AS v")
+    third = table(spark, sf_dir, "part").selectExpr("cast(p_partkey as bigint) AS k", "p_name AS v")
+    return lists.write_in_sequence([first, second, third], new_folder(spark, "branches")).select("branch", "k", "v")
+
+
 _STATUS = "CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END"
 
 
@@ -536,6 +545,15 @@ def l_fold(spark, sf_dir):
     return lists.fold(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "v", F.lit(0).cast("bigint"), lambda s, v: s + v)
 
 
+@register("""SELECT o_custkey, list_reduce(list({'a': o_orderkey % 1000 + 1, 'b': CAST(round(o_totalprice) AS BIGINT) % 1000} ORDER BY o_orderdate, o_orderkey),
+  lambda s, v: {'a': s.a * v.a % 1000003, 'b': (s.b * v.a + v.b) % 1000003}) AS f FROM orders GROUP BY o_custkey""".join(("SELECT o_custkey, CAST(f.a AS BIGINT) AS a, CAST(f.b AS BIGINT) AS b FROM (", ")")))
+def l_fold_associative(spark, sf_dir):
+    """Linear functions, one an order, applied one after the other: their composition is associative and minds the order."""
+    state = F.struct((F.col("o_orderkey") % 1000 + 1).cast("bigint").alias("a"), (F.round("o_totalprice").cast("bigint") % 1000).alias("b"))
+    then = lambda s, v: F.struct((s["a"] * v["a"] % 1000003).alias("a"), ((s["b"] * v["a"] + v["b"]) % 1000003).alias("b"))
+    return lists.fold_associative(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], state, then).select("o_custkey", "state.a", "state.b")
+
+
 @register("SELECT o_orderkey, CAST(100 + sum(CAST(round(o_totalprice) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS state FROM orders")
 def l_running_add(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn("v", F.round("o_totalprice").cast("bigint"))
@@ -661,3 +679,19 @@ def s_headers(spark, sf_dir):
     found = headers.image_headers(spark, folder, keep=F.col("byte_len") < 60_000)[0]
     order = headers.list_images(spark, folder)[0].select("image_id", F.col("seq").cast("bigint").alias("seq"))
     return found.join(order, "image_id").select(F.regexp_extract("origin", r"([^/]*)$", 1).alias("name"), "format", "width", "height", "has_alpha", "byte_len", "seq")
+
+
+@register("""SELECT 'item' || item_id || '.txt' AS name, CAST(octet_length(encode(CASE WHEN item_id % 3 = 0 THEN text || '!' ELSE text END)) AS BIGINT) AS size,
+  CASE WHEN item_id % 3 = 0 THEN 'edited' ELSE 'owned' END AS before, 'owned' AS after FROM benchmark""")
+def s_commit(spark, sf_dir):
+    """Two committed jobs into one folder: its manifest, against what the first one alone had written."""
+    folder = new_folder(spark, "files")
+    spark.dataSource.register(files.Files)
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("item"), F.col("item_id").cast("string"), F.lit(".txt")).alias("file_name"), "text")
+    put = lambda df: df.select("file_name", F.col("text").cast("binary").alias("content")).write.format("files").mode("append").option("path", folder).save()
+    put(items)
+    first = materialize(files.read_manifest(spark, folder))
+    put(items.where("item_id % 3 = 0").withColumn("text", F.concat("text", F.lit("!"))))
+    manifest, here = files.read_manifest(spark, folder), files.product_manifest(spark, folder)
+    before, after = (files.audit_products(m, here).withColumnRenamed("status", k) for m, k in ((first, "before"), (manifest, "after")))
+    return manifest.join(before, "name").join(after, "name", "full").select("name", "size", "before", "after")

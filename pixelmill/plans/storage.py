@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, SparkSession] = {}
+_here = threading.local()  # paths of the innermost scratch() of a thread
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -30,6 +32,8 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     """A path of its own in the checkpoint folder; what is written there goes when the driver's interpreter ends."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
     _written[path] = spark
+    if getattr(_here, "paths", None) is not None:
+        _here.paths.append(path)
     return path
 
 
@@ -57,33 +61,53 @@ def bucketed(df: DataFrame, name: str, buckets: int, by: str = "image_id") -> Da
 
 @contextmanager
 def scratch():
-    """Tables written inside go at its end, but for those that ``keep``, which it gives, has written.
+    """Tables written inside, by this thread, go at its end, but for those that ``keep``, which it gives, has written.
 
-    A result that is kept is a table, so nothing reads the others afterwards.
+    A result that is kept is a table, so nothing reads the others afterwards. Tables of queries in other threads stay.
     """
-    before, kept = set(_written), set()
+    mine: list[str] = []
+    outer, _here.paths = getattr(_here, "paths", None), mine
 
     def keep(df: DataFrame) -> DataFrame:
-        had = set(_written)
-        out = materialize(df)
-        kept.update(set(_written) - had)
-        return out
+        _here.paths = outer
+        try:
+            return materialize(df)
+        finally:
+            _here.paths = mine
 
     try:
         yield keep
     finally:
-        for path in set(_written) - before - kept:
-            _delete(path, _written.pop(path))
+        _here.paths = outer
+        for path in mine:
+            if path in _written:
+                _delete(path, _written.pop(path))
+
+
+def _hadoop(path: str, spark: SparkSession):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(path: str, spark: SparkSession) -> bool:
+    store, at = _hadoop(path, spark)
+    return store.exists(at)
+
+
+def touch(path: str, spark: SparkSession) -> None:
+    """An empty file, where Spark keeps its files."""
+    store, at = _hadoop(path, spark)
+    store.create(at, True).close()
 
 
 def _delete(path: str, spark: SparkSession) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    store, at = _hadoop(path, spark)
+    store.delete(at, True)
 
 
 @atexit.register
 def _remove() -> None:
-    for path, spark in _written.items():
+    for path, spark in list(_written.items()):
         try:
             _delete(path, spark)
         except Exception:  # the session is gone: nothing to remove with

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import json
 import struct
 import sys
+import time
+import uuid
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -222,21 +227,85 @@ class Files(DataSource):
         return FileWriter(self.options["path"])
 
 
+@dataclass
+class Staged(WriterCommitMessage):
+    """Where a task put its files, and their list; not their names, which only the store holds."""
+
+    folder: str
+
+
 class FileWriter(DataSourceWriter):
-    """Writes on executors, to any store that pyarrow knows by its URI. A retried task writes the same bytes."""
+    """Writes on executors, to any store that pyarrow knows by its URI: either all files of a job appear, or none.
+
+    Tasks write to a folder of their own below ``_staging-<job>``, with a list of names, sizes and checksums. ``commit``
+    moves the files of the tasks that counted to their names (an older file of that name is replaced) and then puts the job's
+    manifest among those of ``_manifest``. ``abort`` removes what tasks have staged, and the directory if the job made it.
+    Attempts that failed or ran twice leave nothing.
+    """
 
     def __init__(self, path: str):
-        self.path = path
+        from pyarrow.fs import FileSystem, FileType
 
-    def write(self, iterator) -> WriterCommitMessage:
+        self.path, self.job = path, uuid.uuid4().hex
+        store, base = FileSystem.from_uri(path)
+        self.fresh = store.get_file_info(base).type == FileType.NotFound
+        store.create_dir(self._store()[2], recursive=True)
+
+    def _store(self):
         from pyarrow.fs import FileSystem
 
         store, base = FileSystem.from_uri(self.path)
-        store.create_dir(base, recursive=True)
-        for row in iterator:
-            with store.open_output_stream(f"{base}/{row['file_name']}") as out:
-                out.write(row["content"])
-        return WriterCommitMessage()
+        return store, base, f"{base}/_staging-{self.job}"
+
+    def write(self, iterator) -> WriterCommitMessage:
+        store, _, staging = self._store()
+        folder = f"{staging}/{uuid.uuid4().hex}"
+        store.create_dir(folder, recursive=False)  # an error once the job is aborted: a late task leaves nothing either
+        store.create_dir(f"{folder}/files", recursive=False)
+        with store.open_output_stream(f"{folder}/list") as listed:
+            for row in iterator:
+                name, content = row["file_name"], bytes(row["content"])
+                with store.open_output_stream(f"{folder}/files/{name}") as out:
+                    out.write(content)
+                listed.write(json.dumps({"name": name, "size": len(content), "checksum": zlib.crc32(content)}).encode() + b"\n")
+        return Staged(folder)
+
+    def commit(self, messages) -> None:
+        store, base, staging = self._store()
+        store.create_dir(f"{base}/_manifest", recursive=True)
+        name = f"{time.time_ns():020d}-{self.job}.json"
+        with store.open_output_stream(f"{staging}/{name}") as manifest:
+            for message in messages:
+                if message is None:
+                    continue
+                with store.open_input_stream(f"{message.folder}/list") as listed:
+                    for line in io.BufferedReader(listed):
+                        entry = json.loads(line)
+                        store.move(f"{message.folder}/files/{entry['name']}", f"{base}/{entry['name']}")
+                        manifest.write(line)
+        store.move(f"{staging}/{name}", f"{base}/_manifest/{name}")
+        store.delete_dir(staging)
+
+    def abort(self, messages) -> None:
+        from pyarrow.fs import FileSelector, FileType
+
+        store, base, staging = self._store()
+        for _ in range(20):  # tasks may still be writing
+            if store.get_file_info(staging).type != FileType.Directory:
+                break
+            try:
+                store.delete_dir(staging)
+            except OSError:
+                time.sleep(0.1)
+        if self.fresh and store.get_file_info(base).type == FileType.Directory and not store.get_file_info(FileSelector(base)):
+            store.delete_dir(base)
+
+
+def read_manifest(spark: SparkSession, directory: str) -> DataFrame:
+    """name, size, checksum of the files that committed jobs of the ``files`` sink wrote; the last job to write a name counts."""
+    schema = "name string, size bigint, checksum bigint"
+    each = spark.read.schema(schema).json(f"{directory.rstrip('/')}/_manifest/*.json").withColumn("_job", F.col("_metadata.file_name"))
+    return each.groupBy("name").agg(F.max_by(F.struct("size", "checksum"), "_job").alias("_v")).select("name", "_v.size", "_v.checksum")
 
 
 def write_images(images: DataFrame, pixels: DataFrame, directory: str) -> DataFrame:
