@@ -15,10 +15,12 @@ from pyspark.sql.window import Window
 from pixelmill.functions.args import ID
 from pixelmill.functions.scalars import FROM_LAB, FROM_LMS, TO_LAB, TO_LMS, hex_color
 from pixelmill.operators.analysis import weighted_colors
+from pixelmill.plans.storage import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no installed copy
 
 ROUNDS = 24
+MOST_COLORS = 1 << 18  # of an image, that one task cuts
 SEED = 0x9E3779B97F4A7C15
 
 
@@ -133,6 +135,102 @@ def boxes(colors: np.ndarray, counts: np.ndarray, target: int) -> list[np.ndarra
     return made
 
 
+def replay(nodes: dict[str, tuple[int, int]], target: int) -> list[str]:
+    """Names of the final boxes, in the order in which ``boxes`` leaves them, from a tree that is cut far enough.
+
+    ``nodes`` has (worth, colours) by name; the halves of a box are its name with 0 and 1.
+    """
+    made = [""]
+    worth = lambda name: nodes[name][0] if nodes[name][1] > 1 else -1
+    while len(made) < target and (best := max(map(worth, made))) >= 0:
+        i = max(j for j, name in enumerate(made) if worth(name) == best)
+        name = made[i]
+        made[i] = made[-1]
+        made.pop()
+        made += [name + "0", name + "1"]
+    return made
+
+
+def cut_in_rounds(counts: DataFrame, target: int, most_rounds: int = 256) -> DataFrame:
+    """``boxes`` of images of any number of colours: ``counts(image_id, r, g, b, a, n)`` -> the same with ``box`` and ``place``,
+    the box's place in the order of ``boxes``.
+
+    Each round cuts, in all images at once, every box that cutting one by one could reach: a half is worth no more than its
+    whole (no wider span, less weight), so those that ``target`` - 1 known boxes surpass are left alone. A box's spans and weight come from
+    histograms of its four channels, 256 bins each; its weighted median from that of the widest channel, then, as ties
+    go by the channels that its wholes were cut by, the last first, from histograms of those in the median bin. So colours are only
+    counted and marked, and no task holds those of an image; the tree, some times ``target`` names, is replayed last.
+    """
+    box, key = [ID, "box"], ["r", "g", "b", "a"]
+    cells = materialize(counts.select(ID, *key, F.col("n").cast("bigint").alias("n"), F.lit("").alias("box")))
+    known = cut = None
+    for _ in range(most_rounds):
+        fresh = cells  # those in boxes without figures
+        if cut is not None:
+            halves = cells.where("box <> ''").withColumn("_up", F.expr("left(box, length(box) - 1)"))
+            fresh = halves.join(cut.select(ID, F.col("box").alias("_up")), [ID, "_up"], "left_semi")
+        channel = F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(c).alias("value")) for i, c in enumerate(key)])).alias("c")
+        bins = fresh.select(*box, "n", channel).groupBy(*box, "c.axis", "c.value").agg(F.sum("n").alias("w"), F.count("*").alias("k"))
+        spans = bins.groupBy(*box, "axis").agg((F.max("value") - F.min("value")).alias("span"), F.sum("w").alias("w"), F.sum("k").alias("k"))
+        stats = spans.groupBy(*box).agg(F.max(F.struct("span", "axis")).alias("m"), F.max("w").alias("w"), F.max("k").alias("k"))
+        worth = F.when(F.col("k") > 1, F.col("m.span") * F.col("w")).otherwise(F.lit(-1)).alias("worth")
+        found = stats.select(*box, F.col("m.axis").cast("string").alias("axis"), "w", "k", worth)
+        if cut is None:
+            found = found.withColumn("order", F.lit("0123"))
+        else:
+            wholes = cut.select(ID, F.col("box").alias("_up"), F.col("by").alias("order"))
+            found = found.withColumn("_up", F.expr("left(box, length(box) - 1)")).join(wholes, [ID, "_up"]).drop("_up").select(*found.columns, "order")
+        known = materialize(found.withColumn("cut", F.lit(False)) if known is None else known.union(found.withColumn("cut", F.lit(False))))
+        better = F.rank().over(Window.partitionBy(ID).orderBy(F.desc("worth"))) - 1
+        cut = materialize(known.withColumn("_better", better).where((F.col("_better") < target - 1) & (F.col("worth") >= 0) & ~F.col("cut")).select(*box, F.expr("concat(axis, replace(order, axis, ''))").alias("by"), "w"))
+        if cut.isEmpty():
+            break
+        known = known.join(cut.select(*box, F.lit(True).alias("_cut")), box, "left").withColumn("cut", F.coalesce("_cut", F.col("cut"))).drop("_cut")
+        at = lambda i: F.element_at(F.array(*key), F.expr(f"cast(substring(by, {i}, 1) as int) + 1"))
+        digits = {"d0": at(1), "d1": at(2) * 256 + at(3), "d2": at(4)}
+        rows = cells.join(cut, box).withColumns(digits)
+        median = cut.select(*box, "w", F.lit(0).cast("bigint").alias("before"))
+        for j in range(3):
+            same = rows if j == 0 else rows.join(median.select(*box, *[F.col(f"d{i}").alias(f"m{i}") for i in range(j)]), box).where(" and ".join(f"d{i} = m{i}" for i in range(j)))
+            counted = same.groupBy(*box, f"d{j}").agg(F.sum("n").alias("_n"))
+            upto = Window.partitionBy(*box).orderBy(f"d{j}")
+            sums = counted.join(median, box).withColumn("_upto", F.col("before") + F.sum("_n").over(upto))
+            kept = sums.where("2 * _upto >= w").groupBy(*box).agg(F.min(F.struct(f"d{j}", "_upto", "_n", "w", *[f"d{i}" for i in range(j)])).alias("m"))
+            median = materialize(kept.select(*box, "m.w", *[f"m.d{i}" for i in range(j + 1)], F.expr("m._upto - m._n").alias("before"), F.col("m._upto").alias("upto")))
+        split = median.select(*box, F.struct("d0", "d1", "d2").alias("_median"), (F.col("upto") == F.col("w")).alias("_last"))
+        axes = cut.select(*box, "by").join(split, box)
+        marked = cells.join(axes, box, "left").withColumn("_key", F.struct(*[v.alias(d) for d, v in digits.items()]))
+        low = (F.col("_key") < F.col("_median")) | ((F.col("_key") == F.col("_median")) & ~F.col("_last"))
+        half = F.when(F.col("_median").isNull(), F.lit("")).when(low, F.lit("0")).otherwise(F.lit("1"))
+        cells = materialize(marked.select(ID, *key, "n", F.concat("box", half).alias("box")))
+    else:
+        raise RuntimeError(f"boxes were not settled in {most_rounds} rounds")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = {b: (int(w), int(k)) for b, w, k in zip(pdf["box"], pdf["worth"], pdf["k"], strict=True)}
+        final = {name: i for i, name in enumerate(replay(nodes, target))}
+        out = [(name, i) for name in nodes for i in [next((final[name[:d]] for d in range(len(name), -1, -1) if name[:d] in final), -1)]]
+        return pd.DataFrame({ID: pdf[ID].iloc[0], "box": [n for n, _ in out], "place": [i for _, i in out]})
+
+    places = known.groupBy(ID).applyInPandas(run, "image_id bigint, box string, place int")
+    return cells.join(places, box)
+
+
+def _box_means(placed: DataFrame) -> DataFrame:
+    """image_id, place, weight, _r, _g, _b, _a of the boxes."""
+    means = [F.expr(f"cast((sum({c} * n) + sum(n) div 2) div sum(n) as int)").alias(f"_{c}") for c in "rgba"]
+    return placed.groupBy(ID, "place").agg(F.sum("n").alias("weight"), *means)
+
+
+def _by_size(counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(counts of images that a task can hold, counts of those of more than ``most`` colours or None)."""
+    kept = materialize(counts)
+    large = materialize(kept.groupBy(ID).agg(F.count("*").alias("k")).where(F.col("k") > most).select(ID))
+    if large.isEmpty():
+        return kept, None
+    return kept.join(large, ID, "left_anti"), kept.join(large, ID, "left_semi")
+
+
 def box_mean(colors: np.ndarray, counts: np.ndarray) -> np.ndarray:
     n = int(counts.sum())
     return ((colors * counts[:, None]).sum(0) + n // 2) // n
@@ -193,10 +291,11 @@ def _rgba(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pdf[["r", "g", "b", "a"]].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
 
 
-def palette_median_cut(pixels: DataFrame, k: int = 8) -> DataFrame:
+def palette_median_cut(pixels: DataFrame, k: int = 8, most_colors: int = MOST_COLORS) -> DataFrame:
     """Representative colours by median cut, by weight: image_id, rank, r, g, b, weight.
 
-    An image's distinct colours, with their counts, meet in one task: at most one a pixel of the image.
+    An image's distinct colours, with their counts, meet in one task; images of more than ``most_colors`` are cut in
+    rounds over all tasks instead (``cut_in_rounds``), with the same result.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -204,7 +303,12 @@ def palette_median_cut(pixels: DataFrame, k: int = 8) -> DataFrame:
         found = sorted(((box_mean(colors[b], counts[b]), int(counts[b].sum())) for b in boxes(colors, counts, _clamped(k))), key=lambda x: -x[1])
         return _palette(pdf[ID].iloc[0], np.array([m for m, _ in found]), [w for _, w in found])
 
-    return _dealt(_rgba_counts(pixels.where("a <> 0"))).groupBy(ID).applyInPandas(run, PALETTE)
+    small, large = _by_size(_rgba_counts(pixels.where("a <> 0")), most_colors)
+    out = _dealt(small).groupBy(ID).applyInPandas(run, PALETTE)
+    if large is None:
+        return out
+    rank = F.row_number().over(Window.partitionBy(ID).orderBy(F.desc("weight"), "place")).alias("rank")
+    return out.union(_box_means(cut_in_rounds(large, _clamped(k))).select(ID, rank, *[F.col(f"_{c}").alias(c) for c in "rgb"], "weight"))
 
 
 def extract_palette(pixels: DataFrame, algorithm: str = "kMeans", k: int = 8) -> DataFrame:
@@ -218,14 +322,15 @@ def palette_lines(palette: DataFrame) -> DataFrame:
     return palette.groupBy(ID).agg(F.array_join(F.transform(each, lambda x: x["hex"]), "\n").alias("palette"))
 
 
-def quantize(pixels: DataFrame, colors: int = 64) -> DataFrame:
+def quantize(pixels: DataFrame, colors: int = 64, most_colors: int = MOST_COLORS) -> DataFrame:
     """At most ``colors`` RGBA values per image, clear ones included; images that have no more stay.
 
     The boxes are a table of (image, colour, mean) that pixels meet in a join; an image's colours are decided
-    in one task, its pixels anywhere.
+    in one task, its pixels anywhere. Images of more than ``most_colors`` distinct ones are cut in rounds over all tasks.
     """
     target, names = _clamped(colors), pixels.columns
-    counted = _dealt(_rgba_counts(pixels)).withColumn("_k", F.count("*").over(Window.partitionBy(ID))).where(F.col("_k") > target)
+    small, large = _by_size(_rgba_counts(pixels), max(target, most_colors))
+    counted = _dealt(small).withColumn("_k", F.count("*").over(Window.partitionBy(ID))).where(F.col("_k") > target)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rgba, counts = _rgba(pdf)
@@ -238,6 +343,9 @@ def quantize(pixels: DataFrame, colors: int = 64) -> DataFrame:
 
     fields = ", ".join(f"{c} int" for c in ("r", "g", "b", "a", "_r", "_g", "_b", "_a"))
     table = counted.drop("_k").groupBy(ID).applyInPandas(run, f"image_id bigint, {fields}")
+    if large is not None:
+        placed = materialize(cut_in_rounds(large, target))
+        table = table.union(placed.join(_box_means(placed), [ID, "place"]).select(ID, *"rgba", *[f"_{c}" for c in "rgba"]))
     met = pixels.join(table, [ID, "r", "g", "b", "a"], "left")
     return met.withColumns({c: F.coalesce(f"_{c}", c) for c in "rgba"}).select(*names)
 

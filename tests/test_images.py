@@ -405,6 +405,36 @@ def counted(px):
     return out
 
 
+@pytest.mark.parametrize("k", [2, 7, 40])
+def test_median_cut_in_rounds(spark, k):
+    few = (6, 4, CLEAR, {(x, y): ((x % 2) * 9, y % 2, 7, 255) for x in range(6) for y in range(4)})
+    tied = (8, 8, RED, {(x, y): (x * 30, y * 30, 0, 255) for x in range(8) for y in range(8)})
+    _, px = grid(spark, noise(20, 15, 7, 0.1), noise(9, 9, 8, 0.0), few, tied, (3, 3, BLUE, {}), (2, 2, CLEAR, {}))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(palettes.palette_median_cut(px, k, most_colors=1)) == rows(palettes.palette_median_cut(px, k))
+    assert rows(palettes.quantize(px, k, most_colors=1)) == rows(palettes.quantize(px, k))
+
+
+def test_rounds_cut_what_cutting_one_by_one_does():
+    rng = np.random.default_rng(2)
+    for target in (2, 5, 16, 60):
+        colors = np.unique(rng.integers(0, 12, (150, 4)), axis=0)
+        counts = rng.integers(1, 9, len(colors))
+        nodes = {}
+
+        def grow(name, members):
+            c, n = colors[members], counts[members]  # noqa: B023
+            nodes[name] = (int((c.max(0) - c.min(0)).max()) * int(n.sum()) if len(c) > 1 else -1, len(c))  # noqa: B023
+            if len(c) > 1:
+                for half, part in zip("01", palettes.boxes(c, n, 2), strict=True):
+                    grow(name + half, members[part])  # noqa: B023
+            held[name] = set(members.tolist())  # noqa: B023
+
+        held = {}
+        grow("", np.arange(len(colors)))
+        assert [held[name] for name in palettes.replay(nodes, target)] == [set(b.tolist()) for b in palettes.boxes(colors, counts, target)]
+
+
 def test_median_cut_and_quantize_by_brute_force(spark):
     """Both registered queries over all of their images."""
     folder = "/root/testdata/sf0.001"
