@@ -39,14 +39,14 @@ def emb_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images 32 wide: one pixel per character of a text, clear where it is a space.
+    """Images 32 wide: one pixel per character of a text, clear where it is a space; clear pixels fill the last row up.
 
     Texts are dealt by id before they explode: what later groups or windows by image finds its pixels together,
     and only the compact form has moved.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(f"(char_length(text) div {WIDTH}) * {WIDTH}").alias("n"))
-    dealt = docs.where("n > 0").repartition("doc_id")
-    each = dealt.select("doc_id", F.posexplode(F.split(F.expr("left(text, n)"), "")).alias("i", "c")).withColumn("q", F.ascii("c"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text <> ''")
+    whole = F.expr(f"rpad(text, (char_length(text) + {WIDTH - 1}) div {WIDTH} * {WIDTH}, ' ')")
+    each = docs.repartition("doc_id").select("doc_id", F.posexplode(F.split(whole, "")).alias("i", "c")).withColumn("q", F.ascii("c"))
     return each.select(
         F.col("doc_id").alias("image_id"),
         (F.col("i") % WIDTH).cast("int").alias("x"),
@@ -59,7 +59,7 @@ def doc_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("n")).where(f"n >= {WIDTH}")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("n")).where("n > 0")
     return docs.select(
         F.col("doc_id").alias("image_id"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".png")).alias("origin"),
@@ -67,7 +67,7 @@ def doc_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(True).alias("name_auto_ext"),
         F.lit("png").alias("format"),
         F.lit(WIDTH).alias("width"),
-        F.expr(f"cast(n div {WIDTH} as int)").alias("height"),
+        F.expr(f"cast((n + {WIDTH - 1}) div {WIDTH} as int)").alias("height"),
         F.lit(True).alias("has_alpha"),
         F.col("n").cast("bigint").alias("byte_len"),
         F.col("doc_id").alias("seq"),
@@ -85,4 +85,5 @@ IM = """im AS (
     'png' AS format, 8 AS width, 8 AS height, true AS has_alpha, CAST(vec_id * 37 % 1000 + 100 AS BIGINT) AS byte_len, CAST(vec_id AS BIGINT) AS seq FROM embeddings)"""
 DPX = """dpx AS (
   SELECT doc_id AS image_id, CAST(i % 32 AS INT) AS x, CAST(i // 32 AS INT) AS y, c % 256 AS r, (c * 7) % 256 AS g, (c * 13) % 256 AS b, CASE WHEN c = 32 THEN 0 ELSE 255 END AS a
-  FROM (SELECT doc_id, u.i, unicode(text[u.i + 1]) AS c FROM (SELECT doc_id, text, unnest(range(0, (length(text) // 32) * 32)) AS i FROM documents) u))"""
+  FROM (SELECT doc_id, i, unicode(ch) AS c FROM (SELECT doc_id, unnest(chars) AS ch, unnest(range(0, len(chars))) AS i
+    FROM (SELECT doc_id, string_split(text || repeat(' ', (32 - length(text) % 32) % 32), '') AS chars FROM documents WHERE text <> ''))))"""

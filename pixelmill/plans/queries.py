@@ -169,7 +169,7 @@ def c_flip_rotate(spark, sf_dir):
     return pixels.flip_rotate(*both(spark, sf_dir), flip_h=True, flip_v=True, rotate=270)[1].withColumn("y", F.col("y").cast("int"))
 
 
-@register("""WITH d AS (SELECT doc_id, 32 AS w, CAST(length(text) // 32 AS INT) AS h FROM documents WHERE length(text) >= 32), s AS (
+@register("""WITH d AS (SELECT doc_id, 32 AS w, CAST((length(text) + 31) // 32 AS INT) AS h FROM documents WHERE length(text) > 0), s AS (
   SELECT doc_id, CASE WHEN w / h > 0.5 THEN greatest(1, least(w, CAST(round(h * 0.5) AS INT))) ELSE w END AS nw, CASE WHEN w / h > 0.5 THEN h ELSE greatest(1, least(h, CAST(round(w / 0.5) AS INT))) END AS nh, w, h FROM d)
   SELECT doc_id AS image_id, nw AS width, nh AS height, CAST(nw * nh AS BIGINT) AS n FROM s""")
 def c_crop_ratio(spark, sf_dir):
@@ -254,7 +254,7 @@ def r_resize_filters(spark, sf_dir):
     return each[0].union(each[1]).union(each[2])
 
 
-@register("""WITH d AS (SELECT doc_id, 32 AS w, CAST(length(text) // 32 AS INT) AS h FROM documents WHERE length(text) >= 32)
+@register("""WITH d AS (SELECT doc_id, 32 AS w, CAST((length(text) + 31) // 32 AS INT) AS h FROM documents WHERE length(text) > 0)
   SELECT doc_id AS image_id, CAST(CASE WHEN greatest(w, h) <= 64 THEN w ELSE greatest(1, round(w * (64.0::DOUBLE / greatest(w, h)))) END AS INT) AS width,
   CAST(CASE WHEN greatest(w, h) <= 64 THEN h ELSE greatest(1, round(h * (64.0::DOUBLE / greatest(w, h)))) END AS INT) AS height,
   CAST(CASE WHEN greatest(w, h) <= 64 THEN w ELSE greatest(1, round(w * (64.0::DOUBLE / greatest(w, h)))) END AS BIGINT) * CAST(CASE WHEN greatest(w, h) <= 64 THEN h ELSE greatest(1, round(h * (64.0::DOUBLE / greatest(w, h)))) END AS BIGINT) AS n FROM d""")
