@@ -24,6 +24,7 @@ from pixelmill.functions.args import ID
 from pixelmill.functions.scalars import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, container_from_extension, extension, file_stem, format_from_extension, sniff_format, valid_file_name
 from pixelmill.operators.pixels import note
 from pixelmill.plans.ranks import global_rank
+from pixelmill.plans.storage import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no installed copy
 
@@ -151,47 +152,76 @@ def _parts(name: Column) -> tuple[Column, Column]:
     return stem, F.substring(name, F.length(stem) + 1, F.length(name))
 
 
+def _slot(stem: Column) -> tuple[Column, Column]:
+    """(the stem, the number) of a stem that ends in `` (n)`` as numbering gives it; null for others."""
+    number = F.regexp_extract(stem, r" \(([1-9][0-9]{0,4})\)$", 1).try_cast("int")
+    number = F.when((number >= 2) & (number <= MOST_NAMES), number)
+    return F.when(number.isNotNull(), F.regexp_replace(stem, r" \([0-9]+\)$", "")), number
+
+
+def _free_slots(taken: dict[int, int | None], times: list[int]) -> list[int | None]:
+    """The slots that requests get, in order of their times: the least that isn't taken yet. ``taken`` has since when
+    others hold a slot, None for always, unless a request takes it first."""
+    out, at = [], 1
+    for t in times:
+        while at <= MOST_NAMES and at in taken and (taken[at] is None or taken[at] < t):
+            at += 1
+        out.append(at if at <= MOST_NAMES else None)
+        at += 1
+    return out
+
+
 def dedupe_names(named: DataFrame, existing: DataFrame | None = None, overwrite: bool = True) -> tuple[DataFrame, DataFrame]:
     """(``named(image_id, directory, file_name, seq, ...)`` with the names that files get; failed notes).
 
     ``overwrite``: the last writer of a name wins. Otherwise later ones become ``stem (2).ext`` and so on past
-    ``existing(directory, file_name)`` too. Names that can meet share a stem without its `` (n)``; those
-    groups alone are resolved in order, in Python only where such natural names occur.
+    ``existing(directory, file_name)`` too; MOST_NAMES of a stem at most. ``seq`` differs from row to row.
+
+    Files of a stem ask, in order of ``seq``, for its slots: 1 is the name itself, n is ``stem (n)``. A slot is theirs unless it
+    exists, or a file whose own name it is has come before. So a stem's k-th file gets slot k, but where numbered names
+    are about; those stems alone go to Python, one at a time and never with more than MOST_NAMES files and numbers.
+    Stems are settled before those with one number more, whose names they may have taken.
     """
     if overwrite:
         last = Window.partitionBy("directory", "file_name").orderBy(F.desc("seq"))
         return named.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n"), note(named.where("false"), "dedupe", "ok", "")
-    stem, suffix = _parts(F.col("file_name"))
-    root = F.regexp_replace(stem, r"( \([0-9]+\))+$", "")
-    keyed = named.withColumns({"_stem": stem, "_suffix": suffix, "_root": root})
+    key, spark = ["directory", "_stem", "_suffix"], named.sparkSession
+    split = lambda df: df.withColumns(dict(zip(("_stem", "_suffix"), _parts(F.col("file_name")), strict=True)))
+    keyed = split(named)
     if existing is None:
-        existing = named.sparkSession.createDataFrame([], "directory string, file_name string")
-    taken = existing.select("directory", "file_name").distinct()
-    e_stem, e_suffix = _parts(F.col("file_name"))
-    others = taken.withColumns({"_stem": e_stem, "_suffix": e_suffix, "_root": F.regexp_replace(e_stem, r"( \([0-9]+\))+$", "")})
-    group = ["directory", "_root", "_suffix"]
-    natural = keyed.select(*group, (F.col("_stem") != F.col("_root")).alias("_odd")).union(others.select(*group, F.lit(True)))
-    odd = natural.groupBy(*group).agg(F.bool_or("_odd").alias("_odd")).where("_odd").select(*group)
-    plain = keyed.join(odd, group, "left_anti").withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("seq")))
-    numbered = F.when(F.col("_n") == 1, F.col("file_name")).otherwise(F.concat("_stem", F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), "_suffix"))
-    simple = plain.withColumn("file_name", F.when(F.col("_n") <= MOST_NAMES, numbered)).select(*named.columns)
-    columns = named.columns
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields]
-
-    def resolve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(right["file_name"]), []
-        left = left.sort_values("seq")
-        for name, stem_, suffix_ in zip(left["file_name"], left["_stem"], left["_suffix"], strict=True):
-            n, new = 1, name
-            while new in used and n < MOST_NAMES:
-                n += 1
-                new = f"{stem_} ({n}){suffix_}"
-            out.append(None if new in used else new)
-            used.add(new)
-        return left.assign(file_name=out)[columns]
-
-    hard = keyed.join(odd, group, "left_semi").groupBy(*group).cogroup(others.groupBy(*group)).applyInPandas(resolve, ", ".join(fields))
-    renamed = simple.union(hard)
+        existing = spark.createDataFrame([], "directory string, file_name string")
+    there = split(existing.select("directory", "file_name").distinct())
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("seq"))
+    depth = F.size(F.split(F.regexp_extract("_stem", r"(( \([0-9]+\))+)$", 1), r"\(")) - 1
+    asked = materialize(keyed.select(*key, F.col("seq").cast("bigint").alias("seq")).withColumn("_n", place).where(F.col("_n") <= MOST_NAMES).withColumn("_depth", depth))
+    # slots that others hold: (stem, slot, since when, or null for always)
+    always = F.lit(None).cast("bigint").alias("_since")
+    parent, number = _slot(F.col("_stem"))
+    upper = lambda df, since: df.select("directory", parent.alias("_stem"), "_suffix", number.alias("_slot"), since).where("_slot is not null")
+    first = asked.where("_n = 1")
+    held = materialize(there.select(*key, F.lit(1).alias("_slot"), always).union(upper(there, always)).union(upper(first, F.col("seq").alias("_since"))))
+    fields = "directory string, _stem string, _suffix string, seq bigint, _slot int"
+
+    def settle(k, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, taken = left.sort_values("seq"), {}
+        for slot, since in zip(right["_slot"], right["_since"].astype("Int64"), strict=True):
+            taken[slot] = None if pd.isna(since) or taken.get(slot, 0) is None else min(int(since), taken.get(slot, int(since)))
+        slots = _free_slots(taken, left["seq"].tolist())
+        return left.assign(_slot=pd.array(slots, "Int32"))[["directory", "_stem", "_suffix", "seq", "_slot"]]
+
+    settled, above = None, None
+    for d in range((asked.agg(F.max("_depth")).first()[0] or 0) + 1):
+        level, taken = asked.where(F.col("_depth") == d), held
+        if above is not None:  # names that the stems before have given away
+            given = above.where("_slot > 1").select("directory", F.concat("_stem", F.lit(" ("), F.col("_slot").cast("string"), F.lit(")")).alias("_stem"), "_suffix", F.lit(1).alias("_slot"), F.col("seq").alias("_since"))
+            taken = held.union(given)
+        odd = taken.select(*key).distinct()
+        plain = level.join(odd, key, "left_anti").select(*key, "seq", F.col("_n").alias("_slot"))
+        hard = level.join(odd, key, "left_semi").groupBy(*key).cogroup(taken.join(level.select(*key).distinct(), key, "left_semi").groupBy(*key)).applyInPandas(settle, fields)
+        above = materialize(plain.union(hard))
+        settled = above if settled is None else settled.union(above)
+    new = F.when(F.col("_slot") == 1, F.col("file_name")).when(F.col("_slot") > 1, F.concat("_stem", F.lit(" ("), F.col("_slot").cast("string"), F.lit(")"), "_suffix"))
+    renamed = keyed.join(settled, [*key, "seq"], "left").withColumn("file_name", new).select(*named.columns)
     ok = F.coalesce(valid_file_name(F.col("file_name")), F.lit(False))
     failed = note(renamed.where(~ok), "dedupe", "failed", F.coalesce(F.concat(F.lit("invalid file name: "), F.col("file_name")), F.lit("no name is free")))
     return renamed.where(ok), failed

@@ -140,3 +140,41 @@ def test_scratch_leaves_tables_of_other_threads(spark):
         again.count()
     with pytest.raises(Exception):
         mine.count()
+
+
+def given_in_turn(rows, existing):
+    """file names by seq, one file after the other."""
+    used, out = set(existing), {}
+    for directory, name, seq in sorted(rows, key=lambda r: r[2]):
+        dot = name.rfind(".")
+        stem, suffix = (name[:dot], name[dot:]) if dot > 0 else (name, "")
+        n, new = 1, name
+        while (directory, new) in used and n < files.MOST_NAMES:
+            n += 1
+            new = f"{stem} ({n}){suffix}"
+        out[seq] = None if (directory, new) in used else new
+        used.add((directory, new))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_free_names(spark, seed, monkeypatch):
+    if seed == 3:
+        monkeypatch.setattr(files, "MOST_NAMES", 5)
+    rng = random.Random(seed)
+    stems = ["a", "a (2)", "a (3)", "a (2) (2)", "a (02)", "a (1)", "b", "b (10)", "b (3)", "(2)", "c.d"]
+    rows = [(rng.choice(["x", "y"]), rng.choice(stems[: rng.randint(2, 11)]) + rng.choice([".png", ".png", ""]), seq) for seq in rng.sample(range(1000), 150)]
+    existing = [("x", "a.png"), ("x", "a (4).png"), ("y", "b (2).png"), ("y", "a (2) (2).png"), ("x", "other.png")] if seed else []
+    df = spark.createDataFrame([(seq, d, n, seq) for d, n, seq in rows], "image_id long, directory string, file_name string, seq long")
+    kept, failed = files.dedupe_names(df, spark.createDataFrame(existing, "directory string, file_name string") if existing else None, overwrite=False)
+    want = given_in_turn(rows, existing)
+    assert {r["seq"]: r["file_name"] for r in kept.collect()} == {s: n for s, n in want.items() if n}
+    assert {r["image_id"] for r in failed.collect()} == {s for s, n in want.items() if not n}
+
+
+def test_free_names_of_one_stem(spark):
+    df = spark.range(30_000).selectExpr("id AS image_id", "'d' AS directory", "if(id = 25000, 'a (7).png', if(id = 3, 'a (5).png', 'a.png')) AS file_name", "id AS seq")
+    kept, failed = files.dedupe_names(df, overwrite=False)
+    rows = [("d", r["file_name"], r["seq"]) for r in df.where("seq < 11000 or seq = 25000").collect()]
+    want = given_in_turn(rows, [])
+    assert {r["seq"]: r["file_name"] for r in kept.collect()} == {s: n for s, n in want.items() if n} and failed.count() == 30_000 - 10_001
