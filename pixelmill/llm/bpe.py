@@ -18,9 +18,9 @@ from pixelmill.llm.common import added, keep_columns, ship
 
 ship(__name__)
 
-ROWS = 1 << 21  # bytes of text that one output batch holds, unless a single text has more
+ROWS = 1 << 20  # bytes of text that one output batch holds, unless a single text has more
 BLOCK = 1 << 20  # bytes that one scan covers
-CACHED = 500_000  # pieces whose ids a task keeps
+CACHED = 250_000  # pieces whose ids a task keeps
 SHORT = 100  # bytes of a piece that is merged in a list
 
 # classes of code points
