@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pixelmill.llm.common import keep_columns, ship
+from pixelmill.llm.common import keep_columns, literal_table, ship
+from pixelmill.plans.storage import materialize
 
 ship(__name__)
 
@@ -132,24 +133,32 @@ _NO_ASCII_LETTERS = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b
 
 
 def training_windows(docs: DataFrame, config: Config) -> DataFrame:
-    """One window of up to ``per_label`` texts of each label, all chosen by hash: (label, data).
+    """One window of a text for up to ``per_label`` different windows of each label, those of the least hashes: (label, data).
 
-    Rows without label, text or letters teach nothing; of more labels than ``labels`` the most frequent count.
-    Only windows that may be chosen leave the scan, so a label's rank meets a bounded number of them however
-    many rows it has.
+    Hash and place of a window depend on the text alone, so null or equal ids don't matter and a text that is there many
+    times counts once. Rows without label, text or letters teach nothing; of more labels than ``labels`` the most
+    frequent count. A label's windows leave the scan below a share of all hashes that its number of different texts, by
+    estimate, lets expect to be enough; labels that then have too few are read again with a larger share. So what is kept
+    is bounded by parameters, and which windows it is doesn't depend on the estimate.
     """
     data = F.col("text").cast("binary")
     span = F.greatest(F.octet_length("text") - config.window + 1, F.lit(1))
-    chosen = F.xxhash64(F.lit(config.seed), "doc_id", F.octet_length("text"))
-    labelled = docs.where("lang is not null").withColumnRenamed("lang", "label")
-    counts = labelled.groupBy("label").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "label").limit(config.labels)
-    rows = labelled.where("text rlike '\\\\p{L}'").select(
-        "label", chosen.alias("_h"), F.substring(data, (F.pmod(F.hash("doc_id", F.lit(config.seed)), span) + 1).cast("int"), F.lit(config.window)).alias("data")
-    )
-    # hashes are spread evenly, so the least per_label of n lie below about per_label / n of their range
+    drawn = F.xxhash64(F.lit(config.seed), "text")
+    labelled = docs.where("lang is not null and text rlike '\\\\p{L}'").select(F.col("lang").alias("label"), drawn.alias("_h"), F.substring(data, (F.pmod(F.hash("text", F.lit(config.seed)), span) + 1).cast("int"), F.lit(config.window)).alias("data"))
+    counts = labelled.groupBy("label").agg(F.count("*").alias("_n"), F.approx_count_distinct("_h", 0.02).alias("_d")).orderBy(F.desc("_n"), "label").limit(config.labels).collect()
     share = F.col("_h") / float(1 << 64) + 0.5
-    likely = rows.join(F.broadcast(counts), "label").where(share * F.col("_n") <= 1.5 * config.per_label + 50)
-    ranked = likely.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("_h", "data")))
+    limits = {r["label"]: min(1.0, (1.5 * config.per_label + 50) / max(r["_d"], 1)) for r in counts}
+    found, todo = None, dict(limits)
+    while todo:
+        most = literal_table(docs.sparkSession, [{"label": k, "_most": v} for k, v in todo.items()], "label string, _most double")
+        some = materialize(labelled.join(F.broadcast(most), "label").where((share <= F.col("_most")) | (F.col("_most") >= 1)).select("label", "_h", "data").distinct())
+        enough = {r["label"] for r in some.groupBy("label").agg(F.count("*").alias("n")).collect() if r["n"] >= config.per_label} | {k for k, v in todo.items() if v >= 1}
+        kept = some.where(F.col("label").isin(*enough)) if enough else some.limit(0)
+        found = kept if found is None else found.union(kept)
+        todo = {k: min(1.0, 4 * v) for k, v in todo.items() if k not in enough}
+    if found is None:
+        return labelled.limit(0).select("label", "data")
+    ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("_h", "data")))
     return ranked.where(F.col("_r") <= config.per_label).select("label", "data")
 
 

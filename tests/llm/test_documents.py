@@ -267,6 +267,35 @@ def test_langid(documents, odd_docs, spark):
     assert all(r["lang_pred"] == "und" for r in langid.identify(odd_docs, None).collect())
 
 
+def test_langid_learns_from_repeats_and_null_ids(spark):
+    en, fr = "the house and the garden of the man with a dog", "la maison et le jardin de monsieur avec un chien"
+    no_ids = spark.createDataFrame([(None, f"{t} {i}", lang) for i in range(300) for t, lang in ((en, "en"), (fr, "fr"))], "doc_id long, text string, lang string")
+    copies = spark.createDataFrame([(i, t, lang) for i in range(3000) for t, lang in ((en, "en"), (fr, "fr"))], "doc_id long, text string, lang string")
+    for docs in (no_ids, copies, no_ids.withColumn("doc_id", F.lit(7))):
+        net = langid.fit(docs)
+        assert {(r["lang"], r["lang_pred"]) for r in langid.identify(docs, net, ("lang",)).distinct().select("lang", "lang_pred").collect()} == {("en", "en"), ("fr", "fr")}
+
+
+@pytest.mark.parametrize("per_label", [1, 5, 40])
+def test_langid_sample(spark, monkeypatch, per_label):
+    """Exactly the windows of the least hashes, however wrong the estimate of different texts is."""
+    rows = [(i % 7, f"{lang} text {i % n}" + " x" * (i % 90), lang) for lang, n in (("a", 3), ("b", 60), ("c", 500)) for i in range(500)] + [(1, None, "a"), (2, "123", "a"), (3, "word", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    config = langid.Config(window=16, per_label=per_label, labels=2)
+    want = {}
+    for r in docs.where("lang in ('a', 'b', 'c') and text <> '123'").select("lang", "text", F.xxhash64(F.lit(config.seed), "text").alias("h"), F.hash("text", F.lit(config.seed)).alias("at")).distinct().collect():
+        data = r["text"].encode()
+        low = r["at"] % max(1, len(data) - 15)
+        want.setdefault(r["lang"], set()).add((r["h"], data[low : low + 16]))
+    want = {(k, d) for k in ("a", "b") for _, d in sorted(v for v in want[k])[:per_label]}
+    for wrong in (1, 1000):
+        right = F.approx_count_distinct
+        monkeypatch.setattr(F, "approx_count_distinct", lambda c, rsd: (right(c, rsd) * F.lit(wrong)).cast("long"))  # noqa: B023
+        got = [(r["label"], bytes(r["data"])) for r in langid.training_windows(docs, config).collect()]
+        monkeypatch.undo()
+        assert set(got) == want
+
+
 def test_langid_net_by_loops():
     """Filters, maxima and softmax of every window, one byte at a time."""
     import math
