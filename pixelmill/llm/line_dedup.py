@@ -58,6 +58,9 @@ def probes(length: int, edits: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+STRETCH = 64  # characters of a line
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Edit distance <= ``edits``, on a band of diagonals held as bits of one integer per number of edits."""
     if a == b:
@@ -84,22 +87,25 @@ def within(a: str, b: str, edits: int) -> bool:
     a, b = a[: n - at], b[: len(b) - at]
     if not a:
         return len(b) <= edits
-    # state[j] has bit d + edits set if some prefix of b of length t + d matches a's first t characters with j edits
-    where: dict[str, int] = {}
-    for i, c in enumerate(b):
-        where[c] = where.get(c, 0) | 1 << (i + edits)
+    # state[j] has bit d + edits set if some prefix of b of length t + d matches a's first t characters with j edits;
+    # where each character is in b is known for the band of some characters of a at a time, so that no integer is long
     full = (1 << (2 * edits + 1)) - 1
     state = [((1 << (j + 1)) - 1) << edits & full for j in range(edits + 1)]
-    for t, c in enumerate(a):
-        band = where.get(c, 0) >> t & full
-        old, new = None, None
-        for j in range(edits + 1):
-            moved = state[j] & band
-            if j:
-                moved |= old | old >> 1 | new << 1 & full
-            old, new, state[j] = state[j], moved, moved
-        if not state[edits]:
-            return False
+    for start in range(0, len(a), STRETCH):
+        where: dict[str, int] = {}
+        low = max(0, start - edits)
+        for i, c in enumerate(b[low : start + STRETCH + edits], low - start + edits):
+            where[c] = where.get(c, 0) | 1 << i
+        for t, c in enumerate(a[start : start + STRETCH]):
+            band = where.get(c, 0) >> t & full
+            old, new = None, None
+            for j in range(edits + 1):
+                moved = state[j] & band
+                if j:
+                    moved |= old | old >> 1 | new << 1 & full
+                old, new, state[j] = state[j], moved, moved
+            if not state[edits]:
+                return False
     return bool(state[edits] >> (len(b) - len(a) + edits) & 1)
 
 
