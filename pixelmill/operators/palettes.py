@@ -20,6 +20,7 @@ from pixelmill.plans.storage import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no installed copy
 
 ROUNDS = 24
+ROUNDING = 4e-6  # more than a squared distance can be off, relatively, in single precision
 MOST_COLORS = 1 << 18  # of an image, that one task cuts
 SEED = 0x9E3779B97F4A7C15
 
@@ -89,6 +90,20 @@ def kmeans(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
+def central(own: np.ndarray, w: np.ndarray) -> int:
+    """The point with the least weighted sum of squared distances to all, as single precision gives it; the first of ties.
+
+    The sum is the weight times the squared distance to the mean, and what the mean itself has. So one pass shows
+    which points can be least, up to rounding; distances are only summed for those.
+    """
+    total, exact = w.sum(), own.astype(np.float64)
+    from_mean = ((exact - (w @ exact) / total) ** 2).sum(1)
+    about = total * from_mean + w @ from_mean
+    near = np.flatnonzero(about * (1 - ROUNDING) <= about.min() * (1 + ROUNDING))
+    costs = [float((squared(own, p).astype(np.float64) * w).sum()) for p in own[near]]
+    return int(near[int(np.argmin(costs))])
+
+
 def kmedoids(points: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
     medoids = seeds(points, weights, k)
     for _ in range(ROUNDS):
@@ -96,9 +111,7 @@ def kmedoids(points: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
         for slot in range(len(medoids)):
             members = np.flatnonzero(at == slot)
             if len(members):
-                own, w = points[members], weights[members].astype(np.float64)
-                costs = [float((squared(own, p).astype(np.float64) * w).sum()) for p in own]
-                medoids[slot] = int(members[int(np.argmin(costs))])
+                medoids[slot] = int(members[central(points[members], weights[members].astype(np.float64))])
         if medoids == before:
             break
     return medoids

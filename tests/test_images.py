@@ -405,6 +405,21 @@ def counted(px):
     return out
 
 
+def test_central_points_by_all_sums(monkeypatch):
+    rng = np.random.default_rng(6)
+    summed = []
+    plain = palettes.squared
+    monkeypatch.setattr(palettes, "squared", lambda points, to: summed.append(1) or plain(points, to))
+    for n in (1, 2, 3, 10, 300):
+        for scale in (1e-3, 1.0):
+            own = palettes.to_oklab(rng.integers(0, 256, (n, 3))) * np.float32(scale)
+            own = np.concatenate([own, own[: n // 2]])  # ties
+            w = rng.integers(1, 50, len(own)).astype(np.float64)
+            costs = [float((plain(own, p).astype(np.float64) * w).sum()) for p in own]
+            assert palettes.central(own, w) == int(np.argmin(costs))
+    assert len(summed) < 60
+
+
 @pytest.mark.parametrize("k", [2, 7, 40])
 def test_median_cut_in_rounds(spark, k):
     few = (6, 4, CLEAR, {(x, y): ((x % 2) * 9, y % 2, 7, 255) for x in range(6) for y in range(4)})
