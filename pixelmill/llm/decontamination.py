@@ -108,7 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     Adds ``n_words``, ``hit_spans`` (array of start, stop in words), ``hit_items`` (sorted strings; null, last, for
     benchmark rows without item_id). Patterns are counted first. Beyond ``max_pairs`` they are split by hash into
     blocks of that size: rows are numbered and written once, each block scans the texts and gives the rows that it
-    hits, and hits of all blocks meet by row. Null texts have no words; an empty benchmark hits nothing, an empty
+    hits, as a table, before the next block's patterns are read; hits of all blocks meet by row. Null texts have no words; an empty benchmark hits nothing, an empty
     table gives no rows; repeated rows are searched each; clashing columns of ``docs`` are replaced.
     """
     made = ["n_words", "hit_spans", "hit_items"]
@@ -129,7 +129,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     numbered = materialize(narrow.withColumn("_n", F.monotonically_increasing_id()))
     found = None
     for k in range(blocks):
-        hits = numbered.select("_n", "_text").mapInArrow(_search(chosen(k), made, k == 0), "_n bigint, " + FIELDS)
+        # a table: the driver holds one block's patterns at a time
+        hits = materialize(numbered.select("_n", "_text").mapInArrow(_search(chosen(k), made, k == 0), "_n bigint, " + FIELDS))
         found = hits if found is None else found.union(hits)
     merged = materialize(
         found.groupBy("_n").agg(

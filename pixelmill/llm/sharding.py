@@ -12,6 +12,7 @@ from pixelmill.llm.common import literal_table
 from pixelmill.plans.storage import materialize
 
 SHARDS, VNODES, RING, SEED = 24, 64, 16384, 11
+PART = 8192  # equal rows that one array holds
 
 
 def ring(shards: int, vnodes: int, slots: int, seed: int = SEED) -> list[tuple[int, int]]:
@@ -85,15 +86,19 @@ def shard_rows(
     order = Window.partitionBy("ring").orderBy("hash", *names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = grouped.withColumn("end", F.sum("copies").over(order)).withColumn("start", F.col("end") - F.col("copies"))
     met = ranked.join(F.broadcast(to), (F.col("ring") == to["slot"]) & (to["lo"] < F.col("end")) & (to["hi"] > F.col("start")))
-    rank = F.explode(F.sequence(F.greatest("start", "lo"), F.least("end", "hi") - 1))
-    placed = met.select(*names, "shard", "lo", "base", rank.alias("rank"))
+    # equal rows are told apart some at a time, so that no array is long however many there are
+    part = F.explode(F.sequence(F.greatest("start", "lo"), F.least("end", "hi") - 1, F.lit(PART).cast("bigint")))
+    parts = met.select(*names, "shard", "lo", "base", part.alias("part"), F.least("end", "hi").alias("stop"))
+    rank = F.explode(F.sequence("part", F.least(F.col("part") + PART, "stop") - 1))
+    placed = parts.select(*names, "shard", "lo", "base", rank.alias("rank"))
     return placed.select(*names, "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"))
 
 
 def sharded_documents(docs: DataFrame, shards: int = SHARDS, **more) -> DataFrame:
     """doc_id, size in bytes, text_crc32, shard and slot of every document; law ``rows``: counts at most one apart.
 
-    Null texts count as empty. ``grown_shard`` is null under this law.
+    Null texts count as empty. The columns are made here, from doc_id and text alone: others, whatever their names, play
+    no part. ``grown_shard`` is null under this law.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     placed = shard_rows(docs, [F.col("doc_id"), (F.octet_length(text) + 8).cast("long"), F.crc32(text)], shards, **more)
