@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from pixelmill.functions.args import ID
@@ -13,6 +18,8 @@ from pixelmill.functions.scalars import Arg, case, col, is_image, is_video, numb
 from pixelmill.operators.pixels import note
 from pixelmill.plans.storage import exists, materialize, touch
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no installed copy
+
 MOST_REPEATS = 100_000
 MOST_BRANCHES = 32
 CHUNK = 4096
@@ -100,7 +107,7 @@ def fold(df: DataFrame, group: list[str], order: list[str], value: str, init: Co
     """Final state per group: ``merge(state, value)`` over its values in order.
 
     A group's values become one array, so a group must fit in a task; sums have ``running_add`` or ``sum``, and
-    groups of any length ``fold_associative``.
+    groups of any length ``fold_associative`` or ``fold_streamed``.
     """
     ordered = F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda x: x["_v"])
     return df.groupBy(*group).agg(F.aggregate(ordered, init, merge).alias("state"))
@@ -130,6 +137,39 @@ def fold_associative(df: DataFrame, group: list[str], order: list[str], state: C
     return merged(left.drop("_at"), group, "_part").withColumnRenamed("_state", "state")
 
 
+def fold_streamed(df: DataFrame, group: list[str], order: list[str], value: str, init, merge: Callable, state_type: str) -> DataFrame:
+    """``fold`` of groups of any length by any Python ``merge(state, value)``, which need not be associative.
+
+    Such a fold takes a group's rows one after the other: they are sorted on disk and go through one task as a stream,
+    which keeps the state alone. Groups are folded side by side. Null values are passed on; groups may have null keys.
+    """
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*group).schema.fields), f"state {state_type}"])
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        key, state = None, init
+        for b in batches:
+            done = []
+            for *at, v in zip(*(b.column(c).to_pylist() for c in range(len(group) + 1)), strict=True):
+                if key is None or at != key:
+                    if key is not None:
+                        done.append((*key, state))
+                    key, state = at, init
+                state = merge(state, v)
+            yield told(done)
+        if key is not None:
+            yield told([(*key, state)])
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    ordered = df.select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)], F.col(value).alias("v"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    keys = [f"g{i}" for i in range(len(group))]
+    dealt = ordered.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, *[f"o{i}" for i in range(len(order))])
+    return dealt.mapInArrow(run, schema)
+
+
 def last_write(df: DataFrame, key: list[str], order: list[str], value: str, default: Arg | None = None) -> DataFrame:
     """The value written last under each key; ``default`` where that is null."""
     latest = F.max_by(value, F.struct(*order))

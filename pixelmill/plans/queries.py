@@ -545,6 +545,13 @@ def l_fold(spark, sf_dir):
     return lists.fold(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "v", F.lit(0).cast("bigint"), lambda s, v: s + v)
 
 
+@register("""SELECT o_custkey, list_reduce([7] || list(CAST(round(o_totalprice) AS BIGINT) ORDER BY o_orderdate, o_orderkey), lambda s, v: (s + v) // 2) AS state FROM orders GROUP BY o_custkey""")
+def l_fold_streamed(spark, sf_dir):
+    """Half of the state and half of the value: a fold that is neither associative nor commutative."""
+    orders = table(spark, sf_dir, "orders").withColumn("v", F.round("o_totalprice").cast("bigint"))
+    return lists.fold_streamed(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "v", 7, lambda s, v: (s + v) // 2, "bigint")
+
+
 @register("""SELECT o_custkey, list_reduce(list({'a': o_orderkey % 1000 + 1, 'b': CAST(round(o_totalprice) AS BIGINT) % 1000} ORDER BY o_orderdate, o_orderkey),
   lambda s, v: {'a': s.a * v.a % 1000003, 'b': (s.b * v.a + v.b) % 1000003}) AS f FROM orders GROUP BY o_custkey""".join(("SELECT o_custkey, CAST(f.a AS BIGINT) AS a, CAST(f.b AS BIGINT) AS b FROM (", ")")))
 def l_fold_associative(spark, sf_dir):

@@ -114,6 +114,19 @@ def test_fold_of_long_groups(spark, chunk):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, same.collect()))
 
 
+def test_fold_as_a_stream(spark):
+    rng = random.Random(9)
+    rows = [(g, h, i, rng.choice([None, 1.5, 2.0])) for g, h, n in ((1, "x", 1), (1, "y", 3), (None, "x", 4), (2, None, 30_000)) for i in range(n)]
+    rng.shuffle(rows)
+    merge = lambda s, v: round(s / 2 + (v or 9), 6)
+    out = lists.fold_streamed(spark.createDataFrame(rows, "g int, h string, i int, v double").repartition(6), ["g", "h"], ["i"], "v", 0.0, merge, "double")
+    want = {}
+    for g, h, _, v in sorted(rows, key=lambda r: r[2]):
+        want[g, h] = merge(want.get((g, h), 0.0), v)
+    assert {(r["g"], r["h"]): r["state"] for r in out.collect()} == want and out.columns == ["g", "h", "state"]
+    assert lists.fold_streamed(out.where("false"), ["g"], ["h"], "state", 0.0, merge, "double").count() == 0
+
+
 def test_scratch_leaves_tables_of_other_threads(spark):
     made, go, done = {}, threading.Event(), threading.Event()
 
