@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import operator
 import struct
 import sys
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    StringEndsWith,
+    StringStartsWith,
+)
 
 from pixelmill.functions.args import ID
 from pixelmill.functions.scalars import IMAGE_EXTENSIONS, extension, file_stem, format_from_extension
@@ -22,6 +38,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 LISTED = 10_000  # entries of a folder that one batch holds
 MOST_READ = 65536  # bytes that are read of a file, in all
 FIRST_READ = 4096
+EXTENSIONS = frozenset(sum(IMAGE_EXTENSIONS.values(), []))
 ENTRY = "path string, byte_len bigint, folder boolean"
 
 # --- listing
@@ -49,27 +66,33 @@ def walk(spark: SparkSession, path: str | list[str], recursive: bool = False) ->
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyarrow import fs
-
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         paths, sizes, folders = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(folders, pa.bool_())], names=["path", "byte_len", "folder"])
 
     for b in batches:
         for path in b.column("path").to_pylist():
-            store, base = _store(path)
-            prefix = path[: len(path) - len(base)] if path.endswith(base) else ""
-            info, rows = store.get_file_info(base), []
-            listed = store.get_file_info(fs.FileSelector(base)) if info.type == fs.FileType.Directory else [info]
-            for entry in listed:
-                if entry.type in (fs.FileType.File, fs.FileType.Directory):
-                    rows.append((prefix + entry.path, entry.size, entry.type == fs.FileType.Directory))
+            rows = []
+            for entry in _listed(path):
+                rows.append(entry)
                 if len(rows) == LISTED:
                     yield batch(rows)
                     rows = []
             yield batch(rows)
 
 
+def _listed(path: str) -> Iterator[tuple[str, int | None, bool]]:
+    """(path, bytes, whether it is a folder) of what is in a folder; a file is its own listing."""
+    from pyarrow import fs
+
+    store, base = _store(path)
+    prefix = path[: len(path) - len(base)] if path.endswith(base) else ""
+    info = store.get_file_info(base)
+    for entry in store.get_file_info(fs.FileSelector(base)) if info.type == fs.FileType.Directory else [info]:
+        if entry.type in (fs.FileType.File, fs.FileType.Directory):
+            yield prefix + entry.path, entry.size, entry.type == fs.FileType.Directory
+
+
 def _store(path: str):
     from pyarrow import fs
 
@@ -81,7 +104,7 @@ def _store(path: str):
 def list_images(spark: SparkSession, path: str | list[str], recursive: bool = False, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``files.scan_images`` with a listing made on executors: no path reaches the driver. Same columns, order, cap and
     notes; hidden and empty files, which Spark's own listing leaves out, are there."""
-    named = walk(spark, path, recursive).where(extension(F.col("path")).isin(*sum(IMAGE_EXTENSIONS.values(), [])))
+    named = walk(spark, path, recursive).where(extension(F.col("path")).isin(*EXTENSIONS))
     return _ordered(materialize(named.select(path_id(F.col("path")).alias(ID), "path", format_from_extension(F.col("path")).alias("format"), "byte_len")), limit)
 
 
@@ -281,14 +304,7 @@ def read_headers(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = []
-            for path in b.column("path").to_pylist():
-                try:
-                    read, asked = ranges(*_store(path))
-                    found = header(read, path.rsplit(".", 1)[-1].lower())
-                    out.append((*(found or (None,) * 4), asked()))
-                except OSError:
-                    out.append((None,) * 5)
+            out = [_head(path) for path in b.column("path").to_pylist()]
             columns = list(zip(*out, strict=True)) or [()] * 5
             types = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*b.schema.names, *made])
@@ -297,6 +313,80 @@ def read_headers(files: DataFrame) -> DataFrame:
     return kept.mapInArrow(run, ", ".join([*fields, "format string, width int, height int, has_alpha boolean, bytes_read bigint"]))
 
 
+def _head(path: str) -> tuple:
+    """format, width, height, has_alpha, bytes_read of a file; nulls where there is no header to be read."""
+    try:
+        read, asked = ranges(*_store(path))
+        return (*(header(read, path.rsplit(".", 1)[-1].lower()) or (None,) * 4), asked())
+    except OSError:
+        return (None,) * 5
+
+
+@dataclass
+class Share(InputPartition):
+    """The files of a folder whose names hash to ``number`` of ``of``."""
+
+    folder: str
+    number: int
+    of: int
+
+
+class ImageHeaders(DataSource):
+    """``spark.read.format("image_headers").option("path", uri).load()``: path, byte_len, and what ``read_headers`` adds.
+
+    Options: ``recursive`` (false); ``shares`` (1), among how many tasks each folder's files are dealt. A folder's share
+    is a partition: its task lists the folder and opens its own files. The planner keeps folders only. With the option
+    ``filters`` (false), which needs ``spark.sql.python.filterPushdown.enabled``, comparisons of byte_len and what a path
+    starts or ends with are pushed down: other files aren't opened.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "image_headers"
+
+    def schema(self) -> str:
+        return "path string, byte_len bigint, format string, width int, height int, has_alpha boolean, bytes_read bigint"
+
+    def reader(self, schema) -> DataSourceReader:
+        kind = FilteringReader if str(self.options.get("filters", "false")).lower() == "true" else HeadersReader
+        return kind(self.options["path"], str(self.options.get("recursive", "false")).lower() == "true", int(self.options.get("shares", 1)))
+
+
+class HeadersReader(DataSourceReader):
+    def __init__(self, path: str, recursive: bool, shares: int):
+        self.path, self.recursive, self.shares, self.tests = path, recursive, shares, []
+
+    def partitions(self) -> list[InputPartition]:
+        folders = [self.path]
+        for folder in folders:  # those below are added as they are found
+            if self.recursive:
+                folders += [path for path, _, inner in _listed(folder) if inner]
+        return [Share(folder, i, self.shares) for folder in folders for i in range(self.shares)]
+
+    def read(self, partition: Share):
+        for path, size, inner in _listed(partition.folder):
+            if inner or crc32(path.encode()) % partition.of != partition.number or path.rsplit(".", 1)[-1].lower() not in EXTENSIONS:
+                continue
+            if all(test(path, size) for test in self.tests):
+                yield path, size, *_head(path)
+
+
+class FilteringReader(HeadersReader):
+    """Spark refuses readers that take filters where ``spark.sql.python.filterPushdown.enabled`` is not set."""
+
+    def pushFilters(self, filters):
+        compared = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
+        for f in filters:
+            if type(f) in compared and f.attribute == ("byte_len",):
+                self.tests.append(lambda path, size, c=compared[type(f)], v=f.value: c(size, v))
+            elif isinstance(f, StringEndsWith) and f.attribute == ("path",):
+                self.tests.append(lambda path, size, v=f.value: path.endswith(v))
+            elif isinstance(f, StringStartsWith) and f.attribute == ("path",):
+                self.tests.append(lambda path, size, v=f.value: path.startswith(v))
+            elif not (isinstance(f, IsNotNull) and f.attribute in (("path",), ("byte_len",))):  # these never are
+                yield f
+
+
 def image_headers(spark: SparkSession, path: str | list[str], recursive: bool = False, keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(images; failed notes): ``image_info`` without decoding: image_id, origin, name_stem, name_auto_ext, format, width, height, has_alpha, byte_len.
 

@@ -85,6 +85,24 @@ def test_image_headers(spark, folder):
     assert none.count() == 0 and [r["message"] for r in told.collect()] == ["no readable file"]
 
 
+@pytest.mark.parametrize("shares", [1, 3])
+def test_headers_as_a_source(spark, folder, shares):
+    spark.dataSource.register(headers.ImageHeaders)
+    load = lambda filters=False: spark.read.format("image_headers").option("path", folder).option("recursive", True).option("shares", shares).option("filters", filters).load()
+    whole = headers.read_headers(headers.walk(spark, folder, True).where("path not like '%.txt'"))
+    rows = lambda df: sorted(map(tuple, df.select("path", "byte_len", "format", "width", "height", "has_alpha", "bytes_read").collect()))
+    assert rows(load()) == rows(whole)
+    assert load().rdd.getNumPartitions() == 7 * shares  # the top, three folders and one in each
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        for condition in ("byte_len > 500000", "byte_len <= 30 and path like '%.gif'", "path like '%.png' and width > 2", "format = 'tiff'", "byte_len = 0 or width is null"):
+            assert rows(load(True).where(condition)) == rows(whole.where(condition))
+        big = load(True).where("byte_len > 500000 and endswith(path, 's1.png')")
+        assert "Filter (" not in big._jdf.queryExecution().executedPlan().toString() and big.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_few_bytes_are_read(spark, folder):
     read = headers.read_headers(headers.walk(spark, folder, True).where("path not like '%.txt'"))
     got = {r["path"].rsplit("/", 1)[-1]: r["bytes_read"] for r in read.collect()}
