@@ -22,6 +22,7 @@ ship(__name__)
 SLOTS, SLICE = 1 << 22, 1 << 12
 #: Bits of two fingerprints in which a similar pair may differ.
 FAR = 48
+LONG = 64  # shingles; smaller sets have fingerprints too rough to go by
 
 
 def hash_runs(text: bytes | None, size: int):
@@ -178,14 +179,15 @@ def open_pairs(live: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
     """The pairs of a bucket whose components still differ and that can be similar.
 
     The first shingle that two similar sets share comes early in both: what is left from it on must hold all that they
-    share. Other pairs don't leave the join, nor do those whose two fingerprints differ in more than ``FAR`` of 128
-    bits: a pair of similarity 0.8 differs in 19 on average with a deviation of 4, one of unrelated texts in 64.
+    share. Other pairs don't leave the join, nor do those of sets of ``LONG`` shingles or more whose two fingerprints differ
+    in more than ``FAR`` of 128 bits: a pair of similarity 0.8 differs in 19 on average with a deviation of 4, one of
+    unrelated texts in 64.
     """
     rows = materialize(live.select("g", "h", "n", "place", "c").join(prints, "h"))
     other = rows.select("g", *[F.col(c).alias(f"y_{c}") for c in ("h", "n", "place", "c", "fingerprint", "second")])
     far = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("y_fingerprint"))) + F.bit_count(F.col("second").bitwiseXOR(F.col("y_second")))
     early = F.least(F.col("n") - F.col("place"), F.col("y_n") - F.col("y_place")) >= least_shared(percent)
-    met = rows.join(other, "g").where((F.col("h") < F.col("y_h")) & (F.col("c") != F.col("y_c")) & early & (far <= FAR))
+    met = rows.join(other, "g").where((F.col("h") < F.col("y_h")) & (F.col("c") != F.col("y_c")) & early & ((far <= FAR) | (F.least("n", "y_n") < LONG)))
     return met.select(F.col("h").alias("a"), F.col("y_h").alias("b")).distinct()
 
 
