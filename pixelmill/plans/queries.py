@@ -660,8 +660,8 @@ def s_texts_media(spark, sf_dir):
 
 
 @register("""WITH p AS (SELECT page_id, page_id % 6 AS k, CAST(page_id + 1 AS INT) AS w, CAST(octet_length(encode(html)) + 1 AS INT) AS h, octet_length(encode(html)) AS n FROM pages)
-  SELECT 'p' || page_id || ['.png', '.gif', '.bmp', '.qoi', '.ppm', '.tga'][k + 1] AS name, ['png', 'gif', 'bmp', 'qoi', 'pnm', 'tga'][k + 1] AS format, w AS width, h AS height, k IN (0, 3) AS has_alpha,
-  CAST(n + [26, 13, 54, 14, 8 + length(w || '' || h), 18][k + 1] AS BIGINT) AS byte_len, row_number() OVER (ORDER BY 'p' || page_id || ['.png', '.gif', '.bmp', '.qoi', '.ppm', '.tga'][k + 1]) - 1 AS seq FROM p WHERE n + 54 < 60000""")
+  SELECT * FROM (SELECT 'p' || page_id || ['.png', '.gif', '.bmp', '.qoi', '.ppm', '.tga'][k + 1] AS name, ['png', 'gif', 'bmp', 'qoi', 'pnm', 'tga'][k + 1] AS format, w AS width, h AS height, k IN (0, 3) AS has_alpha,
+  CAST(n + [26, 13, 54, 14, 8 + length(w || '' || h), 18][k + 1] AS BIGINT) AS byte_len, row_number() OVER (ORDER BY 'p' || page_id || ['.png', '.gif', '.bmp', '.qoi', '.ppm', '.tga'][k + 1]) - 1 AS seq FROM p) WHERE byte_len < 60000""")
 def s_headers(spark, sf_dir):
     """Files of six formats whose bodies are no pixels at all: sizes come from headers, listed and read on executors."""
     folder = new_folder(spark, "files")
