@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pixelmill.llm.common import hash_sample, let, literal_table
+from pixelmill.llm.common import let, literal_table
 from pixelmill.plans.storage import materialize
 
 # fixed values: names of public licence families, and sentences of their official notices
@@ -91,15 +92,17 @@ FRAMES = ["{}", "licensed under {}", "licensed under the {}", "licensed under th
 TEMPLATES = {f: [*NAMES[f], *NOTICES[f]] for f in NAMES}
 UNKNOWN = "unknown"
 BLANK = r"\n(?:[\x20\x09\x0B-\x0D]*\n)+"  # between paragraphs
+PART = 50_000  # rows of a task of the regression
 
 
 @dataclass(frozen=True)
 class Config:
-    """``negatives`` bounds the corpus sample that teaches the unknown class; ``contained`` is the share of a
+    """All pieces of the corpus but those close to a template teach the unknown class, and weigh together as
+    ``negatives`` / 2 lessons at most, so that the penalty means the same at any size. ``contained`` is the share of a
     template's n-grams that a piece must hold to confirm a prediction, with half of those that tell its family from
-    all others (a version, "lesser", "sharealike"); ``quantile`` of the sample's other half that
-    the calibrated threshold turns away; n-grams without a word rarer than ``common`` are no features. A paragraph
-    is judged in pieces of ``piece`` words, which overlap by half, so that a notice is seen whole."""
+    all others (a version, "lesser", "sharealike"); ``quantile`` of the corpus's pieces, each judged by a model of the
+    other half, that the calibrated threshold turns away; n-grams without a word rarer than ``common`` are no features.
+    A paragraph is judged in pieces of ``piece`` words, which overlap by half, so that a notice is seen whole."""
 
     negatives: int = 4000
     variants: int = 24
@@ -157,53 +160,62 @@ class Model:
     threshold: float
 
 
-def fit(docs: DataFrame, config: Config = Config()) -> Model:
-    """Train on notices, and on names in usual frames, whole and with n-grams left out, against a bounded sample and
-    the names of other licences.
+def negatives(docs: DataFrame, vocabulary: list[str], config: Config = Config()) -> DataFrame:
+    """h, grams of every piece of every document that isn't close to a template: its n-grams of the vocabulary, and a hash.
 
-    Every second of these stands among the words of a sampled piece, as notices do in documents. Sampled pieces
-    that hold most of a template are no negatives. Half of the sample trains the unknown class, the other half sets
-    the probability that a family needs.
+    One that shares words with a close piece is left out too, as it may hold the other part of the notice.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizerModel
+    known = template_rows(docs.sparkSession).collect()
+    single = [g for g in vocabulary if " " not in g]
+
+    def met(p: Column) -> Column:  # as grams(), but pairs with an empty word aren't built
+        pair = lambda x, i: F.when((x != "") & (F.get(p, i + 1) != ""), F.concat(x, F.lit(" "), F.get(p, i + 1)))
+        return F.array_distinct(F.concat(F.array_remove(p, ""), F.filter(F.transform(p, pair), lambda g: g.isin(vocabulary))))
+
+    # a piece that holds so much of a template has one of any n-grams of it that are more than it may lack
+    probes, held = set(), []
+    for r in known:
+        needed = math.ceil(config.contained * len(r["grams"]))
+        probes |= set(sorted(r["grams"], key=lambda g: (" " not in g, -len(g), g))[: len(r["grams"]) - needed + 1])
+        held.append((needed, F.array(*map(F.lit, r["grams"]))))
+
+    def close(found: Column) -> Column:
+        any_held = reduce(lambda a, b: a | b, [F.size(F.array_intersect(found, part)) >= needed for needed, part in held])
+        return F.when(F.exists(found, lambda g: g.isin(sorted(probes))), any_held).otherwise(False)
+
+    def apart(parts: Column) -> Column:
+        return let(F.transform(parts, close), lambda c: F.filter(parts, lambda _, i: ~(F.get(c, i) | F.coalesce(F.get(c, i - 1), F.lit(False)) | F.coalesce(F.get(c, i + 1), F.lit(False)))))
+
+    def parts(text: Column) -> Column:  # words of no interest become empty before pieces repeat them
+        ws = F.transform(tokens(text), lambda w: F.when(w.isin(single), w).otherwise(""))
+        return let(let(ws, lambda x: F.transform(pieces(x, config.piece), met)), apart)
+
+    each = docs.where("text is not null").select("doc_id", F.posexplode(F.flatten(F.transform(paragraphs(docs), parts))).alias("no", "grams"))
+    return each.select(F.xxhash64(F.lit(config.seed), "doc_id", "no", "grams").alias("h"), "grams")
+
+
+def fit(docs: DataFrame, config: Config = Config()) -> Model:
+    """Train on notices, and on names in usual frames, whole and with n-grams left out, against every piece of the
+    corpus and the names of other licences.
 
+    Every second of these stands among the words of the pieces dealt to it, as notices do in documents. Pieces that
+    hold most of a template, or share words with such a piece, are no negatives. Pieces count by their features, so that equal ones are one row with a
+    weight. Two models of half of the corpus each judge the other half, which sets the probability that a family
+    needs; the weights are those of a third, of the whole.
+    """
     spark = docs.sparkSession
     known = template_rows(spark)
     classes = [*TEMPLATES, UNKNOWN]
     taught = [{"family": f, "text": t} for f in TEMPLATES for t in [*NOTICES[f], *(x.format(n) for n in NAMES[f] for x in FRAMES)]]
     taught += [{"family": UNKNOWN, "text": x.format(n)} for n in OTHERS for x in FRAMES]
-    lessons = literal_table(spark, taught, "family string, text string").select("family", grams(tokens(F.col("text"))).alias("grams"))
+    taught = [{"lesson": i, **r} for i, r in enumerate(taught)]
+    lessons = literal_table(spark, taught, "lesson int, family string, text string").select("lesson", "family", grams(tokens(F.col("text"))).alias("grams"))
     vocabulary = sorted({g for r in lessons.select("grams").collect() for g in r["grams"]})
-
-    # one piece of each sampled document, chosen by hash
-    picked = docs.where("text is not null").select(F.xxhash64(F.lit(config.seed), "doc_id", "text").alias("_h"), paragraphs(docs).alias("p")).where("size(p) > 0")
-    picked = picked.select("_h", tokens(F.get("p", F.pmod("_h", F.size("p")).cast("int"))).alias("ws"))
-    picked = picked.select("_h", pieces(F.col("ws"), config.piece).alias("p"))
-    picked = picked.select("_h", F.get("p", F.pmod(F.hash("_h"), F.size("p")).cast("int")).alias("ws"))
-    sample = materialize(hash_sample(picked, docs.count(), config.negatives, ["ws"]))
-    plain = materialize(sample.select(F.col("_h").alias("h"), grams(F.col("ws")).alias("grams")))
-    close = F.lit(False)
-    for r in known.collect():
-        part = F.array(*[F.lit(g) for g in r["grams"]])
-        close = close | (F.size(F.array_intersect("grams", part)) >= config.contained * len(r["grams"]))
-    held = (F.pmod("h", F.lit(2)) == 1).alias("held")
-    negative = materialize(plain.where(~close).select(F.lit(len(classes)).cast("bigint").alias("y"), "grams", held, F.row_number().over(Window.partitionBy(held).orderBy("h", "grams")).alias("n")))
-
-    variant = F.explode(F.sequence(F.lit(0), F.lit(config.variants - 1))).alias("v")
-    kept = F.filter("grams", lambda g: (F.col("v") < 2) | (F.pmod(F.xxhash64(g, F.col("v"), F.lit(config.seed)), F.lit(10)) >= 3))
-    y = F.array_position(F.array(*map(F.lit, classes)), F.col("family")).alias("y")
-    alone = lessons.select("family", "grams", variant).select(y, kept.alias("grams"), "v", F.xxhash64("family", "grams", "v").alias("h"))
-    context = negative.where("not held").select(F.col("n").alias("_n"), F.col("grams").alias("_around"))
-    row = (F.pmod("h", F.lit(max(context.count(), 1))) + 1).cast("int")
-    among = alone.where("v % 2 = 1").withColumn("_n", row).join(F.broadcast(context), "_n", "left")
-    among = among.select("y", F.array_union("grams", F.coalesce("_around", F.array().cast("array<string>"))).alias("grams"))
-    positive = alone.where("v % 2 = 0").select("y", "grams").union(among).withColumn("held", F.lit(False))
-    negative = negative.select("y", "grams", "held")
+    negative = materialize(negatives(docs, vocabulary, config))
 
     # a paragraph with a feature has its rarest word; words that are frequent outside licences carry none
-    total, found = negative.count(), F.explode("grams").alias("w")
-    seen = {r["w"]: r["n"] for r in negative.select(found).where(F.col("w").isin([w for w in vocabulary if " " not in w])).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    total, found = negative.count(), F.explode(F.filter("grams", lambda g: ~g.contains(" "))).alias("w")
+    seen = {r["w"]: r["n"] for r in negative.select(found).groupBy("w").agg(F.count("*").alias("n")).collect()}
     rarest = {g: min(g.split(" "), key=lambda w: (seen.get(w, 0), w)) for g in vocabulary}
     kept_grams = {g for g in vocabulary if seen.get(rarest[g], 0) <= max(3, config.common * total)}
     # a template whose own n-grams are all frequent keeps the rarest of them
@@ -214,23 +226,73 @@ def fit(docs: DataFrame, config: Config = Config()) -> Model:
             fewest = min(seen.get(rarest[g], 0) for g in own)
             kept_grams |= {g for g in own if seen.get(rarest[g], 0) == fewest}
     vocabulary = sorted(kept_grams)
-    sparse = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features").setBinary(True)
-    rows = materialize(positive.union(negative)).select((F.col("y") - 1).cast("double").alias("label"), "grams", "held")
-    data = sparse.transform(rows).select("label", "features", "held").coalesce(1).cache()  # a few thousand rows
-    trained = LogisticRegression(family="multinomial", regParam=config.strength, elasticNetParam=1.0, maxIter=40, standardization=False).fit(data.where("not held"))
-    matrix, bias = trained.coefficientMatrix.toArray(), [float(x) for x in trained.interceptVector.toArray()]
-    weights = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(vocabulary) if abs(matrix[:, i]).max() > 1e-6}
-    bias += [0.0] * (len(classes) - len(bias))
 
+    # variants of lessons: even ones stand alone, odd ones among the pieces dealt to them, by turns in small tables
+    y = F.array_position(F.array(*map(F.lit, classes)), F.col("family")).alias("y")
+    kept = F.filter("grams", lambda g: g.isin(vocabulary) & ((F.col("v") < 2) | (F.pmod(F.xxhash64(g, F.col("v"), F.lit(config.seed)), F.lit(10)) >= 3)))
+    alone = lessons.select("lesson", "family", "grams", F.explode(F.sequence(F.lit(0), F.lit(config.variants - 1))).alias("v"))
+    alone = alone.select(y, F.col("v") % 2 == 1, (F.col("lesson") * config.variants + F.col("v")).alias("variant"), kept.alias("grams")).toDF("y", "among", "variant", "grams")
+    alone = materialize(alone)
+    half = config.variants // 2
+    turns = math.ceil(4 * len(taught) * half / total) if 0 < total < 4 * len(taught) * half else 1
+    place = F.pmod(F.xxhash64("h", "turn"), F.lit(len(taught) * half))
+    variant = (F.floor(place / half) * config.variants + 2 * (place % half) + 1).cast("int").alias("variant")
+    features = F.array_sort(F.filter("grams", lambda g: g.isin(vocabulary))).alias("around")
+    dealt = negative.select("h", (F.pmod("h", F.lit(2))).cast("int").alias("half"), features, F.explode(F.sequence(F.lit(1), F.lit(turns))).alias("turn"))
+    dealt = materialize(dealt.groupBy("half", variant, "around").agg(F.count("*").alias("n")))
+
+    weights, bias = regression(alone, dealt, vocabulary, len(classes), turns, config)
     triggers = sorted({rarest[g] for g in weights})
     model = Model(classes, bias, weights, triggers, 0.5)
-    rest = negative.where("held").select(F.monotonically_increasing_id().alias("row"), F.struct(F.lit(0).alias("no"), F.lit(0).alias("part")).alias("no"), "grams")
-    top = probabilities(rest, model).agg(F.percentile("p", config.quantile)).first()[0]
-    model.threshold = max(0.5, float(top or 0.0))
-    data.unpersist()
+    judged = []
+    for k in (0, 1):
+        weights, bias = regression(alone, dealt.where(F.col("half") == 1 - k), vocabulary, len(classes), turns, config)
+        other = dealt.where(F.col("half") == k).groupBy("around").agg((F.sum("n") / turns).cast("long").alias("n"))
+        judged.append(probabilities(other.select(F.col("around").alias("row"), F.col("n").alias("no"), F.col("around").alias("grams")), Model(classes, bias, weights, [], 0.5)))
+    model.threshold = upper_quantile(materialize(judged[0].union(judged[1]).select("p", F.col("no").alias("n"))), config.quantile)
     return model
 
 
+def regression(alone: DataFrame, dealt: DataFrame, vocabulary: list[str], k: int, turns: int, config: Config) -> tuple[dict[str, list[float]], list[float]]:
+    """Weights and biases from lessons and dealt pieces; each variant of a lesson weighs 1, whatever it stands among."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel
+
+    pieces_of = dealt.groupBy("variant").agg(F.sum("n").alias("n_all"))
+    among = alone.where("among").join(pieces_of, "variant", "left").join(dealt.select("variant", "around", "n"), "variant", "left")
+    among = among.select("y", F.array_sort(F.array_union("grams", F.coalesce("around", F.array().cast("array<string>")))).alias("grams"), F.coalesce(F.col("n") / F.col("n_all"), F.lit(1.0)).alias("weight"))
+    every = dealt.agg(F.sum("n")).first()[0] or 0
+    share = min(every / turns, config.negatives / 2) / max(every, 1)
+    plain = dealt.groupBy(F.lit(k).cast("int").alias("y"), F.col("around").alias("grams")).agg((F.sum("n") * share).alias("weight"))
+    rows = alone.where("not among").select("y", "grams", F.lit(1.0).alias("weight")).union(among).union(plain)
+    rows = materialize(rows.select((F.col("y") - 1).cast("double").alias("label"), "grams", "weight"))
+    sparse = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features").setBinary(True)
+    data = sparse.transform(rows.repartition(math.ceil(rows.count() / PART))).select("label", "features", "weight")
+    trained = LogisticRegression(family="multinomial", regParam=config.strength, elasticNetParam=1.0, maxIter=40, standardization=False, weightCol="weight").fit(data)
+    # rounded, as tasks add up in any order
+    matrix, bias = trained.coefficientMatrix.toArray().round(4), [round(float(x), 4) for x in trained.interceptVector.toArray()]
+    weights = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(vocabulary) if abs(matrix[:, i]).max() > 0}
+    return weights, bias + [0.0] * (k - len(bias))
+
+
+def upper_quantile(scores: DataFrame, quantile: float) -> float:
+    """The quantile of ``scores(p, n)``, n being how often p occurs, or 0.5 if that is more; to 30 bits, ten at a time."""
+    total = scores.agg(F.sum("n")).first()[0] or 0
+    above = total - math.ceil(quantile * (total - 1))  # so many are to reach it
+    place, rest = F.floor(F.col("p") * (1 << 30)).cast("bigint"), scores.where("p >= 0.5")
+    for bits in (20, 10, 0):
+        at = F.shiftright(place, bits)
+        counts = rest.groupBy(at.alias("b")).agg(F.sum("n").alias("n")).collect()  # 1024 rows at most
+        if not above or sum(r["n"] for r in counts) < above:
+            return 0.5
+        for r in sorted(counts, reverse=True):
+            if r["n"] >= above:
+                break
+            above -= r["n"]
+        rest = rest.where(at == r["b"])
+    return float(rest.agg(F.min("p")).first()[0])
+
+
 def probabilities(rows: DataFrame, model: Model) -> DataFrame:
     """``rows(row, no, grams)`` -> row, no, the best family and its probability p, for rows with any feature."""
     spark, k = rows.sparkSession, len(model.classes)

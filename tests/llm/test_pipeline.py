@@ -248,3 +248,35 @@ def test_licenses_in_a_third_of_the_documents(spark, documents):
     docs = docs.unionAll(docs.select((F.col("doc_id") + 3000).alias("doc_id"), F.regexp_extract("text", "[^\n]*$", 0).alias("text")))
     rows = licenses.report(docs).collect()
     assert all((r["family"] == "MIT") == (r["doc_id"] % 3 == 0) for r in rows)
+
+
+def test_licenses_learn_from_every_piece(spark, documents):
+    """The unknown class is every piece of the corpus, by brute force; the German "mit" is no licence in any document."""
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("not rlike(text, 'MIT License|GNU General|CC BY-NC|Apache License')")
+    config = licenses.Config(negatives=40)
+    words_of = lambda t: re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", t.lower().replace("-\n", "-"))
+    grams_of = lambda ws: {*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False))}
+    templates = [grams_of(words_of(t)) for ts in licenses.TEMPLATES.values() for t in ts]
+    vocabulary, want = set().union(*templates), Counter()
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(9000, "x\n\n" + licenses.NOTICES["MIT"][1]), (9001, "of CC BY-SA 4.0 or the license"), (9002, "the " * 60 + licenses.NOTICES["BSD-3-Clause"][0] + " of the" * 70)]
+    for _, text in rows:
+        for p in (p for p in re.split(r"\n(?:[ \t\x0b-\r]*\n)+", text) if p.split()):
+            ws = words_of(p)
+            parts = [grams_of(ws[at : at + config.piece]) & vocabulary for at in range(0, max(len(ws) - config.piece // 2, 1), config.piece // 2)]
+            close = [any(len(found & g) >= config.contained * len(g) for g in templates) for found in parts]
+            want.update(tuple(sorted(found)) for i, found in enumerate(parts) if not any(close[max(i - 1, 0) : i + 2]))
+    made = licenses.negatives(spark.createDataFrame(rows, "doc_id long, text string"), sorted(vocabulary), config)
+    assert Counter(tuple(sorted(r["grams"])) for r in made.collect()) == want
+    assert sum(want.values()) > 5 * config.negatives
+    assert licenses.scan(docs, licenses.fit(docs, config), config).where("family != 'unknown'").count() == 0
+
+
+def test_upper_quantile(spark):
+    """As Spark's percentile would let pass, with repeated and near scores; half at least."""
+    scores = [0.1] * 50 + [0.6, 0.6, 0.9, 0.9 + 1e-8, 0.95, 0.99, 1.0]
+    table = spark.createDataFrame([(p, n) for p, n in Counter(scores).items()], "p double, n long")
+    for q in (0.5, 0.9, 0.93, 0.96, 0.98, 0.999):
+        cut = table.select(F.percentile("p", q, F.col("n"))).first()[0]
+        got = licenses.upper_quantile(table, q)
+        assert sum(p >= got for p in scores) == sum(p >= max(cut, 0.5) for p in scores)
+    assert licenses.upper_quantile(table.limit(0), 0.9) == 0.5
