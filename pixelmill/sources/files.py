@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from pixelmill.functions.args import ID
 from pixelmill.functions.scalars import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, container_from_extension, extension, file_stem, format_from_extension, sniff_format, valid_file_name
 from pixelmill.operators.pixels import note
-from pixelmill.plans.ranks import global_rank
+from pixelmill.plans.ranks import global_rank, rank_in_groups
 from pixelmill.plans.storage import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no installed copy
@@ -152,73 +152,89 @@ def _parts(name: Column) -> tuple[Column, Column]:
     return stem, F.substring(name, F.length(stem) + 1, F.length(name))
 
 
-def _slot(stem: Column) -> tuple[Column, Column]:
-    """(the stem, the number) of a stem that ends in `` (n)`` as numbering gives it; null for others."""
-    number = F.regexp_extract(stem, r" \(([1-9][0-9]{0,4})\)$", 1).try_cast("int")
-    number = F.when((number >= 2) & (number <= MOST_NAMES), number)
+def _slot(stem: Column, most: int | None) -> tuple[Column, Column]:
+    """(the stem, the number) of a stem that ends in `` (n)`` as numbering up to ``most`` gives it; null for others."""
+    number = F.regexp_extract(stem, r" \(([1-9][0-9]{0,17})\)$", 1).try_cast("bigint")
+    number = F.when((number >= 2) & (F.lit(True) if most is None else number <= most), number)
     return F.when(number.isNotNull(), F.regexp_replace(stem, r" \([0-9]+\)$", "")), number
 
 
-def _free_slots(taken: dict[int, int | None], times: list[int]) -> list[int | None]:
-    """The slots that requests get, in order of their times: the least that isn't taken yet. ``taken`` has since when
-    others hold a slot, None for always, unless a request takes it first."""
-    out, at = [], 1
-    for t in times:
-        while at <= MOST_NAMES and at in taken and (taken[at] is None or taken[at] < t):
-            at += 1
-        out.append(at if at <= MOST_NAMES else None)
-        at += 1
-    return out
+def _passed(held: DataFrame, key: list[str]) -> DataFrame:
+    """The ``held(*key, _slot, _before)`` slots that requests pass over, with ``_free``, the number of others below.
 
+    ``_before`` requests come before a slot is held, so it is passed over if they don't reach it: if more slots below are
+    open to requests than that. A stem's slots go by in order; nothing but the number passed over so far is kept.
+    """
 
-def dedupe_names(named: DataFrame, existing: DataFrame | None = None, overwrite: bool = True) -> tuple[DataFrame, DataFrame]:
+    def run(batches):
+        at, count = None, 0
+        for b in batches:
+            stems, out = list(zip(*(b.column(c).to_pylist() for c in key), strict=True)), []
+            for i, (stem, slot, before) in enumerate(zip(stems, b.column("_slot").to_pylist(), b.column("_before").to_pylist(), strict=True)):
+                if stem != at:
+                    at, count = stem, 0
+                if slot - count > before:
+                    count += 1
+                    out.append((i, slot - count))
+            kept = b.select(key).take(pa.array([i for i, _ in out], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([free for _, free in out], pa.int64())], names=[*key, "_free"])
+
+    fields = ", ".join(f"`{c}` {held.schema[c].dataType.simpleString()}" for c in key)
+    ordered = held.select(*key, "_slot", "_before").repartition(*key).sortWithinPartitions(*key, "_slot")
+    return ordered.mapInArrow(run, f"{fields}, _free bigint")
+
+
+def dedupe_names(named: DataFrame, existing: DataFrame | None = None, overwrite: bool = True, endless: bool = False) -> tuple[DataFrame, DataFrame]:
     """(``named(image_id, directory, file_name, seq, ...)`` with the names that files get; failed notes).
 
     ``overwrite``: the last writer of a name wins. Otherwise later ones become ``stem (2).ext`` and so on past
-    ``existing(directory, file_name)`` too; MOST_NAMES of a stem at most. ``seq`` differs from row to row.
+    ``existing(directory, file_name)`` too; MOST_NAMES of a stem at most, or any number if ``endless``. ``seq`` differs from row to row.
 
     Files of a stem ask, in order of ``seq``, for its slots: 1 is the name itself, n is ``stem (n)``. A slot is theirs unless it
     exists, or a file whose own name it is has come before. So a stem's k-th file gets slot k, but where numbered names
-    are about; those stems alone go to Python, one at a time and never with more than MOST_NAMES files and numbers.
+    are about: there the slots that are passed over are found first, and places among both give the slots. Files of a stem
+    are spread over tasks; one task takes a stem's numbered names, as a stream.
     Stems are settled before those with one number more, whose names they may have taken.
     """
     if overwrite:
         last = Window.partitionBy("directory", "file_name").orderBy(F.desc("seq"))
         return named.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n"), note(named.where("false"), "dedupe", "ok", "")
+    most = None if endless else MOST_NAMES
     key, spark = ["directory", "_stem", "_suffix"], named.sparkSession
     split = lambda df: df.withColumns(dict(zip(("_stem", "_suffix"), _parts(F.col("file_name")), strict=True)))
+    upto = lambda df, c: df if most is None else df.where(F.col(c) <= most)
     keyed = split(named)
     if existing is None:
         existing = spark.createDataFrame([], "directory string, file_name string")
     there = split(existing.select("directory", "file_name").distinct())
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("seq"))
     depth = F.size(F.split(F.regexp_extract("_stem", r"(( \([0-9]+\))+)$", 1), r"\(")) - 1
-    asked = materialize(keyed.select(*key, F.col("seq").cast("bigint").alias("seq")).withColumn("_n", place).where(F.col("_n") <= MOST_NAMES).withColumn("_depth", depth))
+    asked = materialize(upto(rank_in_groups(keyed.select(*key, F.col("seq").cast("bigint").alias("seq")), key, [F.col("seq")], "_n"), "_n").withColumn("_depth", depth))
     # slots that others hold: (stem, slot, since when, or null for always)
-    always = F.lit(None).cast("bigint").alias("_since")
-    parent, number = _slot(F.col("_stem"))
+    always, one = F.lit(None).cast("bigint").alias("_since"), F.lit(1).cast("bigint").alias("_slot")
+    parent, number = _slot(F.col("_stem"), most)
     upper = lambda df, since: df.select("directory", parent.alias("_stem"), "_suffix", number.alias("_slot"), since).where("_slot is not null")
     first = asked.where("_n = 1")
-    held = materialize(there.select(*key, F.lit(1).alias("_slot"), always).union(upper(there, always)).union(upper(first, F.col("seq").alias("_since"))))
-    fields = "directory string, _stem string, _suffix string, seq bigint, _slot int"
-
-    def settle(k, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, taken = left.sort_values("seq"), {}
-        for slot, since in zip(right["_slot"], right["_since"].astype("Int64"), strict=True):
-            taken[slot] = None if pd.isna(since) or taken.get(slot, 0) is None else min(int(since), taken.get(slot, int(since)))
-        slots = _free_slots(taken, left["seq"].tolist())
-        return left.assign(_slot=pd.array(slots, "Int32"))[["directory", "_stem", "_suffix", "seq", "_slot"]]
-
+    held = materialize(there.select(*key, one, always).union(upper(there, always)).union(upper(first, F.col("seq").alias("_since"))))
+    since = F.when(F.count("_since") == F.count("*"), F.min("_since")).alias("_since")
     settled, above = None, None
     for d in range((asked.agg(F.max("_depth")).first()[0] or 0) + 1):
         level, taken = asked.where(F.col("_depth") == d), held
         if above is not None:  # names that the stems before have given away
-            given = above.where("_slot > 1").select("directory", F.concat("_stem", F.lit(" ("), F.col("_slot").cast("string"), F.lit(")")).alias("_stem"), "_suffix", F.lit(1).alias("_slot"), F.col("seq").alias("_since"))
+            given = above.where("_slot > 1").select("directory", F.concat("_stem", F.lit(" ("), F.col("_slot").cast("string"), F.lit(")")).alias("_stem"), "_suffix", one, F.col("seq").alias("_since"))
             taken = held.union(given)
         odd = taken.select(*key).distinct()
-        plain = level.join(odd, key, "left_anti").select(*key, "seq", F.col("_n").alias("_slot"))
-        hard = level.join(odd, key, "left_semi").groupBy(*key).cogroup(taken.join(level.select(*key).distinct(), key, "left_semi").groupBy(*key)).applyInPandas(settle, fields)
-        above = materialize(plain.union(hard))
+        slots = level.join(odd, key, "left_anti").select(*key, "seq", F.col("_n").alias("_slot"))
+        hard = materialize(level.join(odd, key, "left_semi").select(*key, "seq", "_n"))
+        if not hard.isEmpty():
+            taken = materialize(taken.join(hard.select(*key).distinct(), key, "left_semi").groupBy(*key, "_slot").agg(since))
+            both = hard.select(*key, F.col("seq").alias("_since"), F.lit(None).cast("bigint").alias("_slot")).union(taken.where("_since is not null").select(*key, "_since", "_slot"))
+            of_both = rank_in_groups(both, key, [F.col("_since"), F.col("_slot")], "_all").where("_slot is not null")
+            before = rank_in_groups(of_both, key, [F.col("_since"), F.col("_slot")], "_held").select(*key, "_slot", (F.col("_all") - F.col("_held")).alias("_before"))
+            passed = _passed(before.union(taken.where("_since is null").select(*key, "_slot", F.lit(0).cast("bigint"))).where("_slot > _before"), key)
+            # of a place that a request and a slot share, the request has the lower slot
+            places = hard.select(*key, "seq", F.col("_n").alias("_at"), F.lit(0).alias("_kind")).union(passed.select(*key, F.lit(None).cast("bigint"), "_free", F.lit(1)))
+            slots = slots.union(upto(rank_in_groups(places, key, [F.col("_at"), F.col("_kind"), F.col("seq")], "_slot").where("_kind = 0").select(*key, "seq", "_slot"), "_slot"))
+        above = materialize(slots)
         settled = above if settled is None else settled.union(above)
     new = F.when(F.col("_slot") == 1, F.col("file_name")).when(F.col("_slot") > 1, F.concat("_stem", F.lit(" ("), F.col("_slot").cast("string"), F.lit(")"), "_suffix"))
     renamed = keyed.join(settled, [*key, "seq"], "left").withColumn("file_name", new).select(*named.columns)
