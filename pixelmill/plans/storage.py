@@ -94,6 +94,12 @@ def exists(path: str, spark: SparkSession) -> bool:
     return store.exists(at)
 
 
+def located(path: str, spark: SparkSession) -> tuple[str, bool]:
+    """(a path as Spark's readers write it, with its store; whether it exists)."""
+    store, at = _hadoop(path, spark)
+    return store.makeQualified(at).toString(), store.exists(at)
+
+
 def touch(path: str, spark: SparkSession) -> None:
     """An empty file, where Spark keeps its files."""
     store, at = _hadoop(path, spark)

@@ -25,6 +25,7 @@ from pixelmill.functions.scalars import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, cont
 from pixelmill.operators.pixels import note
 from pixelmill.plans.ranks import global_rank, rank_in_groups
 from pixelmill.plans.storage import materialize
+from pixelmill.sources.listing import by_tasks, read_files, walk
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no installed copy
 
@@ -34,14 +35,24 @@ READ_CAP = 1024
 MOST_NAMES = 10_000
 
 
-def _listing(spark: SparkSession, path: str | list[str], recursive: bool) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(path)
+def _listing(spark: SparkSession, path: str | list[str], recursive: bool, keep: Column | None = None, read: str = "") -> DataFrame:
+    """path, length of files that aren't hidden or empty, and their ``content`` or ``checksum`` (``read``). Files that don't fit ``keep`` aren't opened.
+
+    Tasks list folders and read files. Only paths with patterns, and those in stores that pyarrow doesn't know, are listed by Spark's own reader,
+    which holds all paths on the driver.
+    """
+    if (paths := by_tasks(spark, path)) is None:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+        found = reader.load(path).select("path", "length", F.crc32("content").alias("checksum") if read == "checksum" else "content")
+        return found if keep is None else found.where(keep)
+    shown = walk(spark, paths, recursive, hidden=False).where("byte_len > 0").withColumnRenamed("byte_len", "length")
+    kept = shown if keep is None else shown.where(keep)
+    return read_files(kept, sums=read == "checksum") if read else kept
 
 
 def path_id(path: Column) -> Column:
-    """Id of a file: a hash of its path, written alike by every reader (file:/x and file:///x are one)."""
-    return F.xxhash64(F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/"))
+    """Id of a file: a hash of its path, written alike by every reader (/x, file:/x and file:///x are one)."""
+    return F.xxhash64(F.regexp_replace(F.regexp_replace(path, "^/+", "file:/"), "^([a-z0-9]+):/+", "$1:/"))
 
 
 def _missing(found: DataFrame, op: str) -> DataFrame:
@@ -63,14 +74,14 @@ def _ordered(found: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]
 
 def scan_images(spark: SparkSession, path: str | list[str], recursive: bool = False, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(image_id, path, format, byte_len, seq; notes) of the files with an image extension. No content is read."""
-    found = _listing(spark, path, recursive).select("path", F.col("length").alias("byte_len")).where(extension(F.col("path")).isin(*sum(IMAGE_EXTENSIONS.values(), [])))
+    found = _listing(spark, path, recursive, extension(F.col("path")).isin(*sum(IMAGE_EXTENSIONS.values(), []))).select("path", F.col("length").alias("byte_len"))
     listed = found.select(path_id(F.col("path")).alias(ID), "path", format_from_extension(F.col("path")).alias("format"), "byte_len")
     return _ordered(listed, limit)
 
 
 def scan_texts(spark: SparkSession, path: str | list[str], recursive: bool = False) -> tuple[DataFrame, DataFrame]:
     """(image_id, path, text; notes) of text files. Notes tell of those that aren't valid UTF-8, which are left out, and of no text at all."""
-    found = _listing(spark, path, recursive).where(extension(F.col("path")).isin(*TEXT_EXTENSIONS)).withColumn(ID, path_id(F.col("path")))
+    found = _listing(spark, path, recursive, extension(F.col("path")).isin(*TEXT_EXTENSIONS), "content").withColumn(ID, path_id(F.col("path")))
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     texts = found.where(valid).select(ID, "path", F.col("content").cast("string").alias("text"))
     skipped = note(found.where(~valid), "scan", "skipped", F.concat(F.lit("not UTF-8: "), F.col("path")))
@@ -79,13 +90,13 @@ def scan_texts(spark: SparkSession, path: str | list[str], recursive: bool = Fal
 
 def scan_media(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """image_id, path, container, length of video files. No content is read."""
-    found = _listing(spark, path, recursive).where(extension(F.col("path")).isin(*sum(VIDEO_EXTENSIONS.values(), [])))
+    found = _listing(spark, path, recursive, extension(F.col("path")).isin(*sum(VIDEO_EXTENSIONS.values(), [])))
     return found.select(path_id(F.col("path")).alias(ID), "path", container_from_extension(F.col("path")).alias("container"), "length")
 
 
 def read_image(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(image_id, path, format, byte_len, content; failed notes): format by signature first, extension second."""
-    found = _listing(spark, path, False).select(
+    found = _listing(spark, path, False, read="content").select(
         path_id(F.col("path")).alias(ID), "path", F.coalesce(sniff_format(F.col("content")), format_from_extension(F.col("path"))).alias("format"), F.col("length").alias("byte_len"), "content"
     )
     return found.where("format is not null"), note(found.where("format is null"), "read", "failed", F.concat(F.lit("no image: "), F.col("path")))
@@ -93,7 +104,7 @@ def read_image(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, D
 
 def read_text(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(image_id, path, text; failed notes of files that aren't UTF-8)."""
-    found = _listing(spark, path, False).withColumn(ID, path_id(F.col("path")))
+    found = _listing(spark, path, False, read="content").withColumn(ID, path_id(F.col("path")))
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     return found.where(valid).select(ID, "path", F.col("content").cast("string").alias("text")), note(found.where(~valid), "read", "failed", "not UTF-8")
 
@@ -366,7 +377,7 @@ def write_images(images: DataFrame, pixels: DataFrame, directory: str) -> DataFr
 def product_manifest(spark: SparkSession, directory: str) -> DataFrame:
     """name, size, checksum (CRC32) of the files of a directory."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    return _listing(spark, directory, False).select(name.alias("name"), F.col("length").alias("size"), F.crc32("content").alias("checksum"))
+    return _listing(spark, directory, False, read="checksum").select(name.alias("name"), F.col("length").alias("size"), "checksum")
 
 
 def audit_products(manifest: DataFrame, listing: DataFrame) -> DataFrame:

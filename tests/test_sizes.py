@@ -1,5 +1,6 @@
 """File queries and names at sizes where a limit or a field of a header once cut them off."""
 
+import os
 import random
 
 import duckdb
@@ -7,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from pixelmill.plans import queries
 from pixelmill.plans.ranks import rank_in_groups
-from pixelmill.sources import files
+from pixelmill.sources import files, headers, listing
 from tests.test_sinks import given_in_turn
 
 
@@ -56,3 +58,66 @@ def test_widths_beyond_16_bits(spark, tmp_path):
     ids = "id < 9 or id between 65530 and 65550 or id between 131060 and 131080"
     spark.range(140_000).where(ids).coalesce(2).selectExpr("id AS page_id", "'<p>' || repeat('x', cast(id % 50 as int)) AS html").write.parquet(f"{tmp_path}/pages.parquet")
     assert same_as_sql(spark, "s_headers", tmp_path, "pages")
+
+
+def test_scans_keep_no_paths_on_the_driver(spark):
+    """Each listing of s_scan held every path there."""
+    out = __spark_entry__.queries()["s_scan"](spark, "/root/testdata/sf0.001")
+    assert out.inputFiles() and all(f.endswith(".parquet") for f in out.inputFiles())
+
+
+@pytest.mark.parametrize("form", ["{}", "file:{}", "file://{}"])
+def test_scan_of_a_folder_however_it_is_written(spark, tmp_path, form, monkeypatch):
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(queries, "new_folder", lambda *_: form.format(f"{tmp_path}/out"))
+    assert same_as_sql(spark, "s_scan", tmp_path, "embeddings")
+
+
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    top = tmp_path_factory.mktemp("odd names")
+    for name in ("a b (2).png", "c%20d.png", "e#f.txt", "g+h?.txt", "_hidden.txt", ".dot.png", "_metadata.txt", "_k=1.txt", "x.png._COPYING_", "zip.gz", "\u00fc.md", "in/sub.txt", "in/_no/deep.txt", ".git/x.txt"):
+        (top / name).parent.mkdir(exist_ok=True)
+        (top / name).write_bytes(name.encode() * 9)
+    (top / "empty.txt").touch()
+    return top
+
+
+@pytest.mark.parametrize("recursive", [False, True])
+def test_listings_by_tasks_are_as_by_spark(spark, odd, recursive, monkeypatch):
+    def every(path):
+        rows = [sorted(map(tuple, files._listing(spark, path, recursive, read=read).select("path", "length", read).collect())) for read in ("content", "checksum")]
+        return rows, sorted(map(tuple, files._listing(spark, path, recursive).select("path", "length").collect()))
+
+    for path in (f"file://{odd}", f"{odd}/", f"file:{odd}/c%20d.png", [f"{odd}/in", f"{odd}/zip.gz"]):
+        with monkeypatch.context() as m:
+            ours = every(path)
+            m.setattr(files, "by_tasks", lambda *_: None)
+            assert ours == every(path) and ours[1]
+
+
+def test_paths_that_tasks_do_not_list(spark, odd):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.odd.link./in", odd.as_uri())
+    assert listing.by_tasks(spark, f"{odd}/*.txt") is None and listing.by_tasks(spark, "viewfs://odd/in") is None
+    assert [r["byte_len"] for r in files.scan_images(spark, "viewfs://odd/in")[0].orderBy("seq").collect()] == [99, 81]
+    assert {r["text"][:3] for r in files.read_text(spark, f"{odd}/*.txt")[0].collect()} >= {"e#f", "g+h"}
+    for path in (f"{odd}/none", [str(odd), f"file://{odd}/none"]):
+        with pytest.raises(FileNotFoundError):
+            files.scan_images(spark, path)
+
+
+def test_large_files_fill_batches_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "MOST_HELD", 1000)
+    want = {}
+    for i in range(40):
+        want[f"f{i}.md"] = os.urandom(i * 60 + 1)
+        (tmp_path / f"f{i}.md").write_bytes(want[f"f{i}.md"])
+    got = files._listing(spark, str(tmp_path), False, read="content").collect()
+    assert {r["path"].rsplit("/", 1)[-1]: bytes(r["content"]) for r in got} == want
+
+
+def test_headers_of_odd_names(spark, tmp_path):
+    (tmp_path / "a b%20 (2).png").write_bytes(b"\x89PNG\r\n\x1a\n\0\0\0\x0dIHDR\0\0\0\x09\0\0\0\x04\x08\x06")
+    for path in (str(tmp_path), f"file://{tmp_path}/"):
+        r = headers.image_headers(spark, path)[0].first()
+        assert (r["name_stem"], r["width"], r["height"]) == ("a b%20 (2)", 9, 4)
